@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import with_tokens
 from .chat import chat_windows, read_back
 from .common import table
 from .hilbert import hilbert_shards
 from .lines import line_dedup
+from .packing import pack
+from .topk import top_k
 
 #: The fixed extra conversation, to be formatted beside the table's own.
 EXTRA_TEXT = r"\### Assistant: </turn> ok"
@@ -22,6 +25,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_windows(turns, budget=512, history_turns=2, history_tokens=192))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -33,15 +41,51 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def word_bpe() -> str:
+    """The vocabulary file's place; its package is asked for when a query runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = with_tokens(docs, word_bpe(), decoded_col="decoded").select("doc_id", "ids", "decoded")
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe(), capacity=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_exact_topk": op3_exact_topk,
     "op6_line_dedup": op6_line_dedup,
     "op7_hilbert_sharding": op7_hilbert_sharding,
+    "op8_bpe": op8_bpe,
+    "op10_packing": op10_packing,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+        s as (
+            select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+            from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+    """,
     "op6_line_dedup": f"""
         with lines as (
             select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
