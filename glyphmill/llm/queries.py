@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import with_tokens
@@ -14,6 +14,7 @@ from .hilbert import hilbert_shards
 from .lines import line_dedup
 from .packing import pack
 from .topk import top_k
+from .toxicity import fit_toxicity, toxicity
 
 #: The fixed extra conversation, to be formatted beside the table's own.
 EXTRA_TEXT = r"\### Assistant: </turn> ok"
@@ -30,6 +31,28 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model may learn from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+#: A score from here on is taken for label 1.
+TOXIC = 0.7
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = docs.select("doc_id", toxicity(F.col("text"), fit_toxicity(docs, labels), spark).alias("t"))
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        F.col("t.score").alias("score"),
+        (F.col("t.score") >= TOXIC).cast("int").alias("predicted"),
+        F.size("t.example_ids").alias("n_neighbours"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -67,6 +90,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_exact_topk": op3_exact_topk,
+    "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_bpe": op8_bpe,
