@@ -12,6 +12,7 @@ from .chat import chat_windows, read_back
 from .common import table
 from .hilbert import hilbert_shards
 from .lines import line_dedup
+from .media import media_features
 from .packing import pack
 from .topk import top_k
 from .toxicity import fit_toxicity, toxicity
@@ -82,6 +83,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe(), capacity=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_bpe": op8_bpe,
+    "op9_media": op9_media,
     "op10_packing": op10_packing,
 }
 
