@@ -34,7 +34,7 @@ NEVER = np.int64(1) << 40
 #: Characters for which normal form is the identity and letters are known below; all below U+0250.
 _plain = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]*")
 _words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ0-9\xb2\xb3\xb9\xbc-\xbe]+")
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 
 
 def byte_symbols() -> list[str]:
@@ -192,9 +192,8 @@ class WordEncoder:
             guess[k] = self.exact(words[k])
         raw, ends = np.array([k for g in guess for k in g], "<u4").tobytes(), 4 * np.cumsum([len(g) for g in guess])
         start = 0
-        for word, g, end in zip(words, guess, ends.tolist(), strict=True):
+        for word, end in zip(words, ends.tolist(), strict=True):
             self.known[word] = raw[start:end]
-            self.shown[word] = " ".join([self.pieces[k] for k in g])
             start = end
 
     # -- texts
@@ -227,13 +226,15 @@ class WordEncoder:
             if len(self.known) > WORDS_KEPT:
                 self.known.clear()
                 self.shown.clear()
-            if fresh := used - self.known.keys():
-                if words := fresh - self.special.keys():
+            if fresh := [w for w in used if w not in self.known]:
+                if words := [w for w in fresh if w not in self.special]:
                     self.learn(words)
-                for s in fresh & self.special.keys():
-                    self.known[s], self.shown[s] = np.array([self.special[s]], "<u4").tobytes(), s
+                self.known |= {s: np.array([self.special[s]], "<u4").tobytes() for s in fresh if s in self.special}
             ids += [b"".join(map(self.known.__getitem__, p)) for p in parts[at:stop]]
             if decoded:
+                for w in used:
+                    if w not in self.shown:
+                        self.shown[w] = self.decode(np.frombuffer(self.known[w], "<u4").tolist())
                 shown += [" ".join(map(self.shown.__getitem__, p)) for p in parts[at:stop]]
             at = stop
         return ids, shown
