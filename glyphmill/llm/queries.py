@@ -11,6 +11,7 @@ from .bpe import with_tokens
 from .chat import chat_windows, read_back
 from .common import table
 from .hilbert import hilbert_shards
+from .jaccard import near_duplicates
 from .lines import line_dedup
 from .media import media_features
 from .packing import pack
@@ -27,6 +28,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_windows(turns, budget=512, history_turns=2, history_tokens=192))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
@@ -94,6 +99,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_topk": op3_exact_topk,
     "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
