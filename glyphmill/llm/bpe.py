@@ -264,14 +264,14 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = 4 << 20) -> Iterator[t
 def with_tokens(df: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """df with its texts' token ids (little-endian unsigned 32-bit, binary) and, if named, the decoded text."""
     keep = [f for f in df.schema.fields if f.name not in (ids_col, decoded_col)]
-    new = [T.StructField(ids_col, T.BinaryType())] + [T.StructField(decoded_col, T.StringType())] * bool(decoded_col)
+    new = [T.StructField(ids_col, T.BinaryType())] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
             for batch, texts in slices(whole, text_col):
                 ids, decoded = enc.encode(texts, bool(decoded_col))
-                arrays = [pa.array(ids, pa.binary())] + [pa.array(decoded, pa.string())] * bool(decoded_col)
+                arrays = [pa.array(ids, pa.binary())] + ([pa.array(decoded, pa.string())] if decoded_col else [])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(f.name for f in new)])
 
     return df.select(*(f"`{f.name}`" for f in keep)).mapInArrow(run, T.StructType([*keep, *new]))

@@ -109,14 +109,19 @@ def _frames(rows: Iterator[tuple], columns: list[str], chars: int = 4 << 20) ->
         batch.append(row)
         size += 200 + (len(row[2]) if isinstance(row[2], str) else 0)
         if size > chars:
-            yield pd.DataFrame(batch, columns=columns).astype({columns[0]: "Int64"})
+            yield _frame(batch, columns)
             batch, size = [], 0
     if batch:
-        yield pd.DataFrame(batch, columns=columns).astype({columns[0]: "Int64"})
+        yield _frame(batch, columns)
 
 
-def _id(x):
-    return None if x is None or x is pd.NA or x != x else int(x)
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    first, *rest = zip(*rows, strict=True)
+    return pd.DataFrame({columns[0]: pd.array(first, "Int64")} | dict(zip(columns[1:], rest, strict=True)))
+
+
+#: Ids come as a number and a flag: a column with nulls would turn into floats.
+FLAGGED = ["coalesce(conv_id, 0L) as conv_id", "conv_id is null as no_id"]
 
 
 def chat_windows(
@@ -128,8 +133,8 @@ def chat_windows(
         def rows():
             now = None
             for frame in frames:
-                for conv, role, text in zip(frame["conv_id"], frame["role"], frame["text"], strict=True):
-                    conv = _id(conv)
+                for conv, none, role, text in zip(frame["conv_id"].tolist(), frame["no_id"].tolist(), frame["role"], frame["text"], strict=True):
+                    conv = None if none else conv
                     if now is None or now.conv != conv:
                         if now:
                             yield now.close()
@@ -141,7 +146,7 @@ def chat_windows(
         yield from _frames(rows(), [c.split()[0] for c in WINDOWS.split(", ")])
 
     turns = df.selectExpr(f"cast(`{conv_col}` as long) as conv_id", f"`{turn_col}` as turn", f"`{role_col}` as role", f"`{text_col}` as text")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInPandas(run, WINDOWS)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").selectExpr(*FLAGGED, "role", "text").mapInPandas(run, WINDOWS)
 
 
 def parse_window(formatted: str) -> list[tuple[str, str]]:
@@ -166,8 +171,8 @@ def read_back(windows: DataFrame) -> DataFrame:
                 return (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])
 
             for frame in frames:
-                for own, text, repeated, starts, ends in zip(frame["conv_id"], frame["formatted"], frame["n_repeated"], frame["loss_starts"], frame["loss_ends"], strict=True):
-                    own = _id(own)
+                for own, none, text, repeated, starts, ends in zip(frame["conv_id"].tolist(), frame["no_id"].tolist(), frame["formatted"], frame["n_repeated"], frame["loss_starts"], frame["loss_ends"], strict=True):
+                    own = None if none else own
                     if state is None or own != conv:
                         if state:
                             yield done()
@@ -186,4 +191,4 @@ def read_back(windows: DataFrame) -> DataFrame:
 
         yield from _frames(rows(), [c.split()[0] for c in DIGEST.split(", ")])
 
-    return windows.mapInPandas(run, DIGEST)
+    return windows.selectExpr(*FLAGGED, "formatted", "n_repeated", "loss_starts", "loss_ends").mapInPandas(run, DIGEST)

@@ -6,8 +6,8 @@ selection of each query's k best. The tiles' lists are merged in a tree, a bound
 a time, so no task sees more than a tile or the lists of a few tiles. Shard and block counts
 follow the row counts, so that tiles keep their size whatever the input.
 
-Components are turned into floor(scale * x); products are summed in float32, float64 or int64,
-the first in which they are exact.
+Components are turned into floor(scale * x); products are summed in float32, float64 or whole
+numbers of any size, the first in which they are exact.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component, and
 rows without an id, take no part; rows that repeat an id count once, with the smallest vector;
@@ -38,7 +38,7 @@ def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row.ids, np.int64), np.frombuffer(row.data, np.float64).reshape(row.n, row.width)
 
 
-def _shards(df: DataFrame, count: int) -> DataFrame:
+def _shards(df: DataFrame, count: int, scale: float) -> DataFrame:
     """Packed matrices of about equal size, rows in order of id."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +46,7 @@ def _shards(df: DataFrame, count: int) -> DataFrame:
         width = max(map(len, frame["v"]))
         data = np.zeros((len(frame), width))
         for k, v in enumerate(frame["v"]):
-            data[k, : len(v)] = v
+            data[k, : len(v)] = np.floor(scale * np.asarray(v, float))
         ids = frame["id"].to_numpy(np.int64)
         keep = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1) != 0)
         for k in keep[np.diff(keep, append=len(ids)) > 1]:  # ids that repeat: the smallest vector
@@ -62,8 +62,11 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     width = max(q.shape[1], c.shape[1])
     q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width
-    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-    return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
+    if most < 1 << 53:
+        kind = np.float32 if most < 1 << 24 else np.float64
+        return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)  # any size, slowly; scores beyond 62 bits stand at the limit
+    return np.clip(whole(q) @ whole(c).T, int(LOW) + 1, -int(LOW)).astype(np.int64)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +99,14 @@ def top_k(
     df: DataFrame, is_query: Column, *, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, block_rows: int = 1024
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the highest integer inner product for each query row."""
-    value = F.transform(F.col(f"`{vec_col}`"), lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    value = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     sound = F.forall(F.col(f"`{vec_col}`"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = df.where(F.col(f"`{id_col}`").isNotNull() & F.coalesce(sound, F.lit(False)) & (F.size(F.col(f"`{vec_col}`")) > 0))
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), value.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     n_shards, n_blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
-    shards = _shards(rows, n_shards)
-    blocks = _shards(rows.where("q"), n_blocks).withColumnRenamed("shard", "block")
+    shards = _shards(rows, n_shards, scale)
+    blocks = _shards(rows.where("q"), n_blocks, scale).withColumnRenamed("shard", "block")
 
     # every tile is one key; both sides are sent once for each tile that needs them
     left = blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "data")), "block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
