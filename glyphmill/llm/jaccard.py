@@ -36,6 +36,7 @@ from .components import components
 U = np.uint64
 #: Odd multipliers; any would do.
 P, A, B, C = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
+COUNTED = 2_000_000
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 _fold = np.arange(256, dtype=np.uint8)
@@ -111,18 +112,23 @@ def _two(data: bytes) -> tuple[int, int]:
 
 
 def _common(docs: DataFrame, size: int, least: int) -> np.ndarray:
-    """Shingles of many documents, the commonest last. Tasks report what they meet three times."""
+    """Shingles of many documents, the commonest last. Tasks report what they meet three times among COUNTED shingles."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, total = np.unique(np.concatenate(held), return_counts=True)
+        keep = total >= 3
+        return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(total[keep])], ["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
         for whole in batches:
             for _, texts in slices(whole, "text", 1 << 20):
-                got = np.concatenate([found, *shingles(texts, size)])
-                ones = np.concatenate([total, np.ones(len(got) - len(total), np.int64)])
-                found, at = np.unique(got, return_inverse=True)
-                total = np.bincount(at, ones, len(found)).astype(np.int64)
-        keep = total >= 3
-        yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(total[keep])], ["token", "n"])
+                held.append(np.concatenate(shingles(texts, size)))
+                if sum(map(len, held)) > COUNTED:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
 
     sums = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # at most (all shingles) / least rows; least grows with the table
@@ -312,10 +318,10 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
     return rows.select("doc_id", "n", "s1", "s2").join(member.select("s1", "s2", "doc"), ["s1", "s2"], "left"), links
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, **options) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of each row."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows, links = jaccard_links(docs, size=size, percent=percent)
+    rows, links = jaccard_links(docs, size=size, percent=percent, **options)
     found = components(links)
     out = rows.join(found, F.col("doc") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("component_id"))
