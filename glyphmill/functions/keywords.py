@@ -176,7 +176,7 @@ def post_process(
         col = step(col)
     if original:
         base = F.coalesce(F.col(text), F.lit(""))
-        col = F.filter(col, lambda x: (F.length(base) == 0) | _span_valid(x["keyword"], base, ratio))
+        col = F.filter(col, lambda x: (F.length(base) == 0) | near_in_text(x["keyword"], base, ratio))
     return top_n(col, n)
 
 
@@ -195,8 +195,10 @@ def _span(keyword: Column, text: Column) -> Column:
     return F.when((n == 0) | (F.length(k) == 0), F.lit(-1)).when(F.contains(text, k), F.length(k)).otherwise(F.coalesce(least, F.lit(-1)))
 
 
-def _span_valid(keyword: Column, text: Column, ratio: float) -> Column:
+def near_in_text(keyword: Column, text: Column, ratio: float = 2.0) -> Column:
+    """span_valid for columns and lambda variables; a keyword that stands in the text as it is needs no search."""
     k = F.replace(keyword, F.lit(" "), F.lit(""))
     every = F.size(F.array_except(F.split(k, ""), F.split(text, ""))) == 0
     span = _span(keyword, text)
-    return every & (span >= 0) & (span <= ratio * F.length(k))
+    near = every & (span >= 0) & (span <= ratio * F.length(k))
+    return F.when(F.contains(text, k) & (k != ""), F.lit(ratio >= 1)).otherwise(near)

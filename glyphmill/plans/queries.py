@@ -229,7 +229,15 @@ def kw_min_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("id", f"{K.min_span('w', 't')} as span", f"coalesce({K.span_valid('w', 't')}, false) as ok")
 
 
-# the characters of each line of `benchmark`'s first words against every document would be a cross join; each document is asked for its own language's name
+@query("kw_in_original", f"with {WORDS_SQL}, s as (select * from r where contains(lower(text), keyword)) select l.id, count(s.keyword) as n, md5(coalesce(string_agg(s.keyword, '|' order by pos), '')) as h from l left join s on l.id = s.id group by l.id")
+def kw_in_original(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of a turn, and one whose letters stand nowhere together."""
+    odd = F.array(F.struct(F.lit("").alias("reasoning"), F.lit("qxzj").alias("keyword"), F.lit(0.4).alias("score"), F.lit(1 << 30).alias("pos")))
+    lists = _lists(spark, sf_dir).select("id", F.lower("text").alias("low"), F.concat("kws", odd).alias("kws"))
+    kept = lists.select("id", K.words_only(F.filter("kws", lambda k: K.near_in_text(k["keyword"], F.col("low")))).alias("w"))
+    return kept.select("id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", "|").cast("binary")).alias("h"))
+
+
 _span_word = "case lang when 'en' then 'thing' when 'de' then 'deutsch' when 'fr' then 'monde' else 'mundo' end"
 
 
@@ -334,6 +342,14 @@ normal_query("kw_normalize_new", "new", f"case doc_id % 7 when 0 then [{_item('w
 normal_query("kw_normalize_old", "old", f"case doc_id % 7 when 0 then [{_item(quoted('r'), 0.5)}, {_item(quoted('s'), 0.5)}] when 1 then [{_item('w', 0.25)}, {_item(quoted('x'), 0.5)}] when 5 then [{_item(quoted('a'), 0.5)}, {_item(quoted('a'), 0.5)}, {_item(quoted('a'), 0.5)}] else [] end")
 
 
+@query("kw_post_process_result", f"with {ANSWERS} select doc_id, case doc_id % 7 when 0 then case when length(w) between 1 and 40 and trim(w) <> '' then w || '|ab' else 'ab' end when 5 then 'bc|bcdef' else '' end as keywords from a where doc_id % 7 <> 1")
+def kw_post_process_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed answers to final keywords: only where the first item is a list, normalised and processed."""
+    rows = answers(spark, sf_dir).withColumn("kws", K.normalize(J.keyword_items(J.greedy_object(F.col("raw")), ("keywords",)))).withColumn("none", F.lit(""))
+    done = K.post_process("kws", "none", longest=40, time=False, date=False)
+    return rows.where("doc_id % 7 <> 1").select("doc_id", F.array_join(K.words_only(done), "|").alias("keywords"))
+
+
 # ---- rewards ----
 
 
