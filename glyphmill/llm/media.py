@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import shuffle_partitions, stored
+from .common import shuffle_partitions, shuffles_released, stored
 
 FRAME, LEAST, MEAN_BITS, MOST = 64, 512, 11, 8192
 RATE = 8000
@@ -225,12 +225,14 @@ def store_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     manifest = stored(docs.mapInArrow(_manifest, f"doc_id {dict(docs.dtypes)['doc_id']}, {MANIFEST}"), "media-manifest")
     lists = manifest.groupBy("media").agg(F.min("digests").alias("digests"))
     owners = lists.select("media", F.explode(F.array_distinct("digests")).alias("digest")).groupBy("digest").agg(F.min("media").alias("media"))
-    own = owners.groupBy("media").agg(F.collect_list("digest").alias("own"))
+    # a table of its own, so that its shuffles are gone before payloads move
+    own = stored(owners.groupBy("media").agg(F.collect_list("digest").alias("own")), "media-own")
     n = shuffle_partitions(spark)
     payloads = docs.select("text").mapInArrow(_payloads, PAYLOADS).repartition(n, "media")
     rows = payloads.join(own.hint("merge"), "media", "left").sortWithinPartitions("media").mapInArrow(_owned, STORE)
     name = f"media_store_{uuid.uuid4().hex}"
-    rows.write.bucketBy(n, "media").saveAsTable(name)
+    with shuffles_released(spark):
+        rows.write.bucketBy(n, "media").saveAsTable(name)
     return manifest, spark.table(name)
 
 
