@@ -7,7 +7,8 @@ payload digest, has one row for each distinct payload: its ordered chunk list an
 those chunks alone that it owns. To read a payload back, its chunks owned elsewhere are joined
 in by digest, the parts are put in order, and the rebuilt payload must hash to its key.
 
-Only digests are exchanged to find owners. Payload bytes move once, compressed, and each task
+Only digests are exchanged to find owners. Payload bytes move once, compressed by block
+sorting, which does best on short texts, and each task
 sends a payload that it meets again only once, so groups of copies don't pile up.
 
 Defined results: a null or empty text is one frame of zeros; equal texts share one stored
@@ -17,6 +18,7 @@ table gives an empty table; columns other than the id and the text take no part.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import re
 import struct
@@ -136,9 +138,7 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    pack, sent = zstandard.ZstdCompressor(level=9), set()
+    sent: set[bytes] = set()
     for whole in batches:
         for _, texts in slices(whole, "text"):
             fresh = {}
@@ -151,29 +151,27 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if fresh:
                 data = list(fresh.values())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(fresh), pa.binary()), pa.array(cuts(data), pa.list_(pa.int32())), pa.array([pack.compress(p) for p in data], pa.binary())],
+                    [pa.array(list(fresh), pa.binary()), pa.array(cuts(data), pa.list_(pa.int32())), pa.array([bz2.compress(p) for p in data], pa.binary())],
                     ["media", "sizes", "packed"],
                 )
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of payload digest: the first of each, with the bytes that it owns."""
-    import zstandard
-
-    pack, unpack, last = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor(), None
+    last = None
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             if r["media"] == last:
                 continue
             last, seen, kept, owned, names = r["media"], set(r["own"] or []), [], [], []
-            for c in parts(unpack.decompress(r["packed"]), r["sizes"]):
+            for c in parts(bz2.decompress(r["packed"]), r["sizes"]):
                 names.append(d := digest(c))
                 owned.append(d in seen)
                 if d in seen:
                     seen.discard(d)  # a chunk that comes back within the payload is kept once
                     kept.append(c)
-            rows.append((last, names, r["sizes"], owned, pack.compress(b"".join(kept))))
+            rows.append((last, names, r["sizes"], owned, bz2.compress(b"".join(kept))))
         if rows:
             kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["media", "digests", "sizes", "owned", "packed"])
@@ -181,32 +179,26 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks that a row owns and others ask for."""
-    import zstandard
-
-    pack, unpack = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             wanted = set(r["wanted"])
             own = [i for i, o in enumerate(r["owned"]) if o]
-            for i, c in zip(own, parts(unpack.decompress(r["packed"]), [r["sizes"][i] for i in own]), strict=True):
+            for i, c in zip(own, parts(bz2.decompress(r["packed"]), [r["sizes"][i] for i in own]), strict=True):
                 if (d := r["digests"][i]) in wanted:
-                    rows.append((d, pack.compress(c)))
+                    rows.append((d, bz2.compress(c)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["digest", "chunk"])
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Media rebuilt from the store, verified, and what they hold."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            found = {x["digest"]: unpack.decompress(x["chunk"]) for x in r["foreign"] or []}
+            found = {x["digest"]: bz2.decompress(x["chunk"]) for x in r["foreign"] or []}
             own = [i for i, o in enumerate(r["owned"]) if o]
-            found |= zip([r["digests"][i] for i in own], parts(unpack.decompress(r["packed"]), [r["sizes"][i] for i in own]), strict=True)
+            found |= zip([r["digests"][i] for i in own], parts(bz2.decompress(r["packed"]), [r["sizes"][i] for i in own]), strict=True)
             media = wav(b"".join([found[d] for d in r["digests"]]))
             samples = samples_of(media)
             key = hashlib.sha256(samples)
