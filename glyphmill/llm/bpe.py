@@ -30,11 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import give_back
+
 NEVER = np.int64(1) << 40
 #: Characters for which normal form is the identity and letters are known below; all below U+0250.
 _plain = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]*")
 _words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ0-9\xb2\xb3\xb9\xbc-\xbe]+")
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -81,6 +83,7 @@ class WordEncoder:
         order = np.argsort(codes)
         self.codes, self.code_rank = codes[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.whole: dict[int, bool] = {}
+        self.keep = WORDS_KEPT  # words in the table, about 200 bytes each
         self.known: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
 
@@ -219,11 +222,11 @@ class WordEncoder:
         ids, shown, at = [], [], 0
         while at < len(parts):  # in runs, so that the table may be emptied between them
             stop, n = at, 0
-            while stop < len(parts) and n < WORDS_KEPT:
+            while stop < len(parts) and n < self.keep:
                 n += len(parts[stop])
                 stop += 1
             used = set().union(*parts[at:stop])
-            if len(self.known) > WORDS_KEPT:
+            if len(self.known) > self.keep:
                 self.known.clear()
                 self.shown.clear()
             if fresh := [w for w in used if w not in self.known]:
@@ -250,7 +253,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def slices(batch: pa.RecordBatch, text: str, chars: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def slices(batch: pa.RecordBatch, text: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """The batch in pieces of bounded text."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(column.is_valid()) * 64 + np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), float))
@@ -268,10 +271,11 @@ def with_tokens(df: DataFrame, path: str, *, text_col: str = "text", ids_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        enc.keep = WORDS_KEPT
         for whole in batches:
             for batch, texts in slices(whole, text_col):
                 ids, decoded = enc.encode(texts, bool(decoded_col))
                 arrays = [pa.array(ids, pa.binary())] + ([pa.array(decoded, pa.string())] if decoded_col else [])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(f.name for f in new)])
 
-    return df.select(*(f"`{f.name}`" for f in keep)).mapInArrow(run, T.StructType([*keep, *new]))
+    return df.select(*(f"`{f.name}`" for f in keep)).mapInArrow(give_back(run), T.StructType([*keep, *new]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import stored
+from .common import give_back, stored
 from .components import components
 
 U = np.uint64
@@ -130,7 +130,7 @@ def _common(docs: DataFrame, size: int, least: int) -> np.ndarray:
         if held:
             yield counted(held)
 
-    sums = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    sums = docs.select("text").mapInArrow(give_back(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # at most (all shingles) / least rows; least grows with the table
     rows = sums.orderBy("n", "token").collect()
     return np.array([r["token"] for r in rows], np.int64)
@@ -174,7 +174,7 @@ def _members(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "s1", "s2", "grp", "rare", "often"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, grp long, rare array<long>, often array<long>")
+    return docs.mapInArrow(give_back(run), f"doc_id {kind}, n long, s1 long, s2 long, grp long, rare array<long>, often array<long>")
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield from pairs(rest)
 
-    return postings.repartition("token").sortWithinPartitions("token", "n", "grp").mapInArrow(run, "ga long, gb long, na long, nb long, often long")
+    return postings.repartition("token").sortWithinPartitions("token", "n", "grp").mapInArrow(give_back(run), "ga long, gb long, na long, nb long, often long")
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:
@@ -300,7 +300,7 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
             for batch, part in slices(whole, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingles(part, size)], pa.binary())], ["doc", "shingles"])
 
-    whole = stored(texts.mapInArrow(sets, f"doc {dict(docs.dtypes)['doc_id']}, shingles binary"), "jaccard-shingles")
+    whole = stored(texts.mapInArrow(give_back(sets), f"doc {dict(docs.dtypes)['doc_id']}, shingles binary"), "jaccard-shingles")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +312,7 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
 
     sides = pairs.join(whole.withColumnsRenamed({"doc": "a", "shingles": "x"}), "a").join(whole.withColumnsRenamed({"doc": "b", "shingles": "y"}), "b")
     ids = f"a {dict(pairs.dtypes)['a']}, b {dict(pairs.dtypes)['b']}"
-    one_by_one = sides.select("a", "b", "x", "y").mapInArrow(verified, ids)
+    one_by_one = sides.select("a", "b", "x", "y").mapInArrow(give_back(verified), ids)
     tiled = tiles.join(whole, "doc").select("cell", "i", "j", "doc", "shingles").groupBy("cell", "i", "j").applyInPandas(_tile(percent), ids)
     links = stored(one_by_one.union(tiled).distinct(), "jaccard-links")
     return rows.select("doc_id", "n", "s1", "s2").join(member.select("s1", "s2", "doc"), ["s1", "s2"], "left"), links

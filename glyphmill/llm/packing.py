@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, slices
+from .common import give_back
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -97,13 +98,17 @@ class _Block:
         self.rows, self.total = [], 0
 
 
-def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, piece: int = 512, end_id: int = 1, block_windows: int = 384) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, piece: int = 512, end_id: int = 1, block_windows: int = 384, words_kept: int = 800_000) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+
+    ``words_kept`` bounds the encoder's table of words in each Python worker, about 200 bytes each.
+    """
     kind = dict(df.dtypes)[id_col]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, block = encoder(path), _Block(capacity, piece)
+        enc.keep = words_kept
         first, id_type = TaskContext.get().partitionId() << 33, None
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -124,4 +129,4 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
         if out := list(block.part()):
             yield batch(out)
 
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(give_back(run), f"doc_id {kind}, {PIECES}")

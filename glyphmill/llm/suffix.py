@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import stored
+from .common import give_back, stored
 from .jaccard import U, _letters, _power, mix
 
 ANCHOR = 32
 CHUNK, SHARD = 1 << 16, 1 << 14
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 def runs(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -239,8 +239,8 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
         if rest is not None:
             yield from settle(rest)
 
-    routed = docs.mapInArrow(local, ROWS).repartition("anchor").sortWithinPartitions("anchor")
-    marks = stored(routed.mapInArrow(meet, ROWS), "repeat-marks")
+    routed = docs.mapInArrow(give_back(local), ROWS).repartition("anchor").sortWithinPartitions("anchor")
+    marks = stored(routed.mapInArrow(give_back(meet), ROWS), "repeat-marks")
 
     asked = marks.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("runs"))
 
@@ -255,7 +255,7 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "doc", "a", "piece"])
 
-    pieces = docs.join(asked, "doc").mapInArrow(cut, "anchor long, doc long, a long, piece binary")
+    pieces = docs.join(asked, "doc").mapInArrow(give_back(cut), "anchor long, doc long, a long, piece binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[int, int]] = {}
@@ -282,7 +282,7 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
         if held:
             yield flush()
 
-    merged = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(merge, "doc long, a long, b long")
+    merged = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(give_back(merge), "doc long, a long, b long")
     spans = marks.where("kind = 1").select("doc", "a", "b").union(merged)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
