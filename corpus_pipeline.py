@@ -53,8 +53,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, one row for each piece of a document."""
-    pieces = pack(docs.select("doc_id", "text"), word_bpe(), capacity=2048)
+    """Sequences of at most 2048 tokens, one row for each piece of a document. The workers also hold what earlier stages left, hence the smaller table."""
+    pieces = pack(docs.select("doc_id", "text"), word_bpe(), capacity=2048, words_kept=400_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
