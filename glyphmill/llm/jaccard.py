@@ -7,15 +7,19 @@ one group. An inverted index over group prefixes gives pairs of groups, which ar
 size and by the number of shared prefix shingles, then expanded and verified on whole sets.
 
 Common shingles would pair all members of a family of near copies. Their lists go another
-way: members are dealt to tiles of two blocks, each tile counts overlaps as a matrix product
-and returns a spanning forest of its links, so a list costs rows in proportion to its length
-for each block, and every pair that shares a prefix shingle is still verified. Which shingles
-count as common only steers the work; the result doesn't depend on it.
+way: members are dealt to tiles of two blocks, and each tile counts overlaps as a matrix
+product. A pair belongs to the smallest common prefix shingle that it shares, and within its
+list to one tile, so every pair that shares a prefix shingle is verified and every link comes
+out once. A tile returns its links as lists of neighbours, a row for each document, with their
+numbers and a spanning forest, which is all that the components need. Which shingles count as
+common only steers the work; the result doesn't depend on it.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with
 fewer words than a shingle the whole sequence is one; rows that repeat a text, with whatever
 ids, are linked; rows without an id get no component; a document without links is its own
-component; an empty table gives an empty table; other columns take no part.
+component; an empty table gives an empty table; other columns take no part. The links of a row
+are all other rows with an id that reach the threshold, repeats of its own text among them;
+for rows without an id their number is null.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,11 +141,19 @@ def _common(docs: DataFrame, size: int, least: int) -> np.ndarray:
     return np.array([r["token"] for r in rows], np.int64)
 
 
-def _members(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
+def _prefix(s: np.ndarray, percent: int, tokens: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set in two parts: rare shingles, and common ones (tokens, sorted) by rank."""
+    p = prefix_length(len(s), percent)
+    if not len(tokens):
+        return s[:p], s[:0]
+    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+    hot = tokens[at] == s
+    rare = s[~hot][:p]
+    return rare, s[hot][np.argsort(ranks[at[hot]])][: p - len(rare)]
+
+
+def _members(docs: DataFrame, size: int, percent: int, sent: Broadcast) -> DataFrame:
     """Of each row: set size, set hash, group, and, once for each set and task, its prefix in two parts."""
-    order = np.argsort(common)
-    tokens, ranks = common[order], order
-    sent = docs.sparkSession.sparkContext.broadcast((tokens, ranks))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,14 +167,7 @@ def _members(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
                     if not n:
                         rows.append((0, None, None, None, None, None))
                         continue
-                    p = prefix_length(n, percent)
-                    if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        hot = tokens[at] == s
-                        rare = s[~hot][:p]
-                        often = s[hot][np.argsort(ranks[at[hot]])][: p - len(rare)]
-                    else:
-                        rare, often = s[:p], s[:0]
+                    rare, often = _prefix(s, percent, tokens, ranks)
                     one = _two(s.tobytes())
                     group = _two(np.concatenate([rare, often, [n]]).tobytes())[0]
                     if one in seen:
@@ -234,41 +240,68 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    used, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(used), -1)
+    place[shared] = np.arange(len(shared))
+    col = place[col]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)  # counts stay below 2**24
+    for lo in range(0, len(shared), 2048):
+        a, b = np.searchsorted(col, (lo, lo + 2048))
+        part = np.zeros((len(sets), min(2048, len(shared) - lo)), np.float32)
+        part[row[a:b], col[a:b] - lo] = 1
+        overlap += part @ part.T
+    return overlap.astype(np.int64)
+
+
 def _tile(percent: int):
+    """Of each document, the links that belong to the tile: near, each once; tree, those of a forest; links, the rows at the other ends of all."""
+
+    def rows(doc: np.ndarray, near: list[np.ndarray], tree: list[np.ndarray], links: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"doc": doc, "near": pd.Series(near, dtype=object), "tree": pd.Series(tree, dtype=object), "links": links})
+
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        cell, i, j = key
         frame = frame.drop_duplicates("doc")
-        docs = frame["doc"].to_numpy(np.int64)
+        often = [np.frombuffer(x, np.int64) for x in frame["often"]]
+        # a pair with a smaller common shingle is another list's; a large group's own list comes behind all of them
+        open_ = np.triu(_overlaps([s[s < cell] if (s == cell).any() else s for s in often]) == 0, 1)
+        if i != j:
+            own = frame["own"].to_numpy()
+            open_ &= own[:, None] != own[None, :]
+        use = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+        if not len(use):
+            return rows(np.zeros(0, np.int64), [], [], np.zeros(0, np.int64))
+        frame, open_ = frame.iloc[use], open_[np.ix_(use, use)]
+        docs, k = frame["doc"].to_numpy(np.int64), frame["k"].to_numpy(np.int64)
         sets = [np.frombuffer(x, np.int64) for x in frame["shingles"]]
         n = np.array([len(s) for s in sets])
-        row = np.repeat(np.arange(len(sets)), n)
-        used, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(count > 1)
-        place = np.full(len(used), -1)
-        place[shared] = np.arange(len(shared))
-        col = place[col]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        overlap = np.zeros((len(sets), len(sets)), np.float32)  # counts stay below 2**24
-        for lo in range(0, len(shared), 2048):
-            a, b = np.searchsorted(col, (lo, lo + 2048))
-            part = np.zeros((len(sets), min(2048, len(shared) - lo)), np.float32)
-            part[row[a:b], col[a:b] - lo] = 1
-            overlap += part @ part.T
-        both = overlap.astype(np.int64)
-        x, y = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
-        kept = _forest(np.column_stack([x, y]))
-        return pd.DataFrame({"a": docs[kept[:, 0]], "b": docs[kept[:, 1]]})
+        both = _overlaps(sets)
+        linked = open_ & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+        tree = np.zeros_like(linked)
+        kept = _forest(np.column_stack(np.nonzero(linked)))
+        tree[kept[:, 0], kept[:, 1]] = True
+        links = (linked | linked.T) @ k
+        some = np.flatnonzero(links)
+        return rows(docs[some], [docs[linked[x]] for x in some], [docs[tree[x]] for x in some], links[some])
 
     return run
 
 
-def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n, s1, s2 of each row; links a, b between representatives of different sets that connect all that is linked)."""
-    spark = docs.sparkSession
+def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: doc_id, n, s1, s2, doc, n_links of each row; links: every pair a < b of representatives of different sets that reach the threshold, once; tree: links that connect all that is linked)."""
     least = max(common_least, docs.count() // common_share)
-    rows = stored(_members(docs, size, percent, _common(docs, size, least)), "jaccard-members")
+    common = _common(docs, size, least)
+    order = np.argsort(common)
+    sent = docs.sparkSession.sparkContext.broadcast((common[order], order))
+    rows = stored(_members(docs, size, percent, sent), "jaccard-members")
     found = rows.where("n > 0")
-    member = found.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("grp").alias("grp")).where("doc is not null")
+    member = found.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.count("doc_id").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp")).where("doc is not null")
     member = stored(member, "jaccard-sets")
     group = member.select("grp", "doc")
 
@@ -288,40 +321,58 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
     lists = found.where("size(often) > 0").select("s1", "s2", F.explode("often").alias("cell")).join(member.select("s1", "s2", "doc"), ["s1", "s2"]).select("cell", "doc")
     cells = stored(lists.union(crowd.where(F.col("m") > 32).select(F.col("grp").alias("cell"), "doc")).distinct(), "jaccard-cells")
     blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("k")).join(cells.groupBy("cell").count().where("count > 1"), "cell", "left_semi")
-    mine = cells.join(blocks, "cell").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
-    tiles = mine.select("cell", "doc", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).select("cell", "doc", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    mine = cells.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+    tiles = mine.select("cell", "doc", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).select("cell", "doc", "own", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"))
 
-    wanted = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(cells.select("doc")).distinct(), "jaccard-wanted")
-    small = wanted.count() <= 500_000  # 8 bytes each; beyond that both sides are shuffled
-    texts = docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("doc"), "left_semi")
+    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(cells.select("doc")).distinct()
+    wanted = stored(member.join(asked, "doc", "left_semi").groupBy("doc").agg(F.max("k").alias("k")), "jaccard-wanted")
+    small = wanted.count() <= 500_000  # 16 bytes each; beyond that both sides are shuffled
+    texts = docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("doc")).select("doc", "text", "k")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, part in slices(whole, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingles(part, size)], pa.binary())], ["doc", "shingles"])
+                found = shingles(part, size)
+                often = [_prefix(s, percent, *sent.value)[1] for s in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (found, often)), batch.column(2)], ["doc", "shingles", "often", "k"])
 
-    whole = stored(texts.mapInArrow(give_back(sets), f"doc {dict(docs.dtypes)['doc_id']}, shingles binary"), "jaccard-shingles")
+    whole = stored(texts.mapInArrow(give_back(sets), f"doc {dict(docs.dtypes)['doc_id']}, shingles binary, often binary, k long"), "jaccard-shingles")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shared(x: bytes, y: bytes) -> int:
+            return len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+            for x, y, often_x, often_y in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "often_x", "often_y")), strict=True):
+                if often_x and often_y and shared(often_x, often_y):
+                    keep.append(False)  # a tile's
+                    continue
+                both = shared(x, y)
                 keep.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "ka", "kb"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = pairs.join(whole.withColumnsRenamed({"doc": "a", "shingles": "x", "often": "often_x", "k": "ka"}), "a").join(whole.withColumnsRenamed({"doc": "b", "shingles": "y", "often": "often_y", "k": "kb"}), "b")
+    one_by_one = sides.select("a", "b", "ka", "kb", "x", "y", "often_x", "often_y").mapInArrow(give_back(verified), "a long, b long, ka long, kb long")
+    single = stored(one_by_one.distinct(), "jaccard-links")  # rows that repeat an id bring their pairs again
+    tiled = tiles.join(whole, "doc").select("cell", "i", "j", "doc", "own", "shingles", "often", "k").groupBy("cell", "i", "j")
+    tiled = stored(tiled.applyInPandas(_tile(percent), "doc long, near array<long>, tree array<long>, links long"), "jaccard-tiles")
+
+    def listed(column: str) -> DataFrame:
+        far = tiled.select("doc", F.explode(column).alias("other"))
+        return single.select("a", "b").union(far.select(F.least("doc", "other"), F.greatest("doc", "other")))
 
-    sides = pairs.join(whole.withColumnsRenamed({"doc": "a", "shingles": "x"}), "a").join(whole.withColumnsRenamed({"doc": "b", "shingles": "y"}), "b")
-    ids = f"a {dict(pairs.dtypes)['a']}, b {dict(pairs.dtypes)['b']}"
-    one_by_one = sides.select("a", "b", "x", "y").mapInArrow(give_back(verified), ids)
-    tiled = tiles.join(whole, "doc").select("cell", "i", "j", "doc", "shingles").groupBy("cell", "i", "j").applyInPandas(_tile(percent), ids)
-    links = stored(one_by_one.union(tiled).distinct(), "jaccard-links")
-    return rows.select("doc_id", "n", "s1", "s2").join(member.select("s1", "s2", "doc"), ["s1", "s2"], "left"), links
+    ends = single.select(F.col("a").alias("doc"), F.col("kb").alias("links")).union(single.select("b", "ka")).union(tiled.select("doc", "links"))
+    more = ends.groupBy("doc").agg(F.sum("links").alias("more"))
+    members = rows.select("doc_id", "n", "s1", "s2").join(member.select("s1", "s2", "doc", "k"), ["s1", "s2"], "left").join(more, "doc", "left")
+    links = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("k") - 1, F.lit(0)) + F.coalesce("more", F.lit(0)))
+    return members.select("doc_id", "n", "s1", "s2", "doc", links.alias("n_links")), listed("near"), listed("tree")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, **options) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of each row."""
+    """doc_id, n_shingles, component_id (the smallest id reachable by links) and n_links (all rows it is linked with itself) of each row."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows, links = jaccard_links(docs, size=size, percent=percent, **options)
-    found = components(links)
+    rows, _, tree = jaccard_links(docs, size=size, percent=percent, **options)
+    found = components(tree)
     out = rows.join(found, F.col("doc") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("component_id"), "n_links")

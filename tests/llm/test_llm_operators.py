@@ -132,6 +132,34 @@ def test_jaccard(spark, options, monkeypatch):
     assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("options", [{}, {"common_least": 2, "common_share": 10**9, "block": 3}, {"common_least": 10**9}])
+def test_jaccard_links(spark, options):
+    """Every link of families of different near copies, once, however the shingles are parted; also in a large group (one prefix, one size)."""
+    texts = corpus() + [" ".join(f"fam{(i * 7 + (i == j)) % 97}" + ("x" if i == j else "") for i in range(60)) for j in range(60)]
+    group = sorted((" ".join(f"g{k}" for k in range(40)) + f" h{j}" for j in range(500)), key=lambda t: jaccard._prefix(jaccard.shingles([t], 5)[0], 80, np.zeros(0, np.int64), None)[0].tolist())
+    texts += group[:80]
+    sets = brute_sets(texts)
+    near = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and 100 * len(a & b) >= 80 * len(a | b)}
+    degree = Counter(x for pair in near for x in pair)
+    df = docs(spark, texts)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(df, **options).collect()}
+    assert got == {i: degree[i] for i in range(len(texts))} and max(degree.values()) > 40
+    rows, links, tree = jaccard.jaccard_links(df.select("doc_id", "text"), **options)
+    first = {}
+    for i, x in enumerate(sets):
+        first.setdefault(frozenset(x), i)
+    want = sorted((i, j) for i, j in near if sets[i] != sets[j] and first[frozenset(sets[i])] == i and first[frozenset(sets[j])] == j)
+    assert sorted(map(tuple, links.collect())) == want
+    assert {tuple(r) for r in tree.collect()} <= set(want)
+
+
+def test_jaccard_links_of_repeated_rows(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base), (3, base), (3, base), (4, base), (5, base + " y"), (5, base + " y"), (6, ""), (None, "z")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, -1 if r["n_links"] is None else r["n_links"]) for r in got) == [(0, -1), (0, -1), (3, 4), (3, 4), (4, 4), (5, 4), (5, 4), (6, 0)]
+
+
 def test_jaccard_edges(spark):
     assert jaccard.near_duplicates(docs(spark, [], True)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
