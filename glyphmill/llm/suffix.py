@@ -178,10 +178,16 @@ def _gone(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _settled(cols: list[np.ndarray], length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Runs in order of (anchor, whole, doc, first start), and which of them are not the first of their kind."""
+    """Different runs in order of (anchor, whole, doc, first start), and which of them are not the first of their kind.
+
+    Rows that repeat an id and a text bring the same run at the same place again; that is one run, no repeat.
+    """
     order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
     cols = [c[order] for c in cols]
-    again = np.zeros(len(order), bool)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
+    cols = [c[fresh] for c in cols]
+    again = np.zeros(len(cols[0]), bool)
     again[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
     return cols, again
 

@@ -263,6 +263,20 @@ def test_suffix(spark):
     assert suffix.remove_repeats(odd).count() == 4
 
 
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_suffix_of_repeated_rows(spark, partitions):
+    """Rows that repeat an id and a text count as one document: each keeps what the document alone would keep."""
+    make = lambda seed, n: " ".join(random.Random(seed).choices([f"w{k}" for k in range(500)], k=n))
+    passage = make(1, 60)
+    texts = [passage, make(2, 50) + passage + make(3, 50), "é" * 300, make(4, 90), passage + make(5, 40)]
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    got = suffix.remove_repeats(df).collect()
+    want = [bytes(b for b, g in zip(raw, gone, strict=True) if not g) for raw, gone in brute_repeats(texts)]
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in got) == sorted((i, want[i]) for i, _ in rows)
+    assert want[0] == passage.encode() and want[3] == texts[3].encode()
+
+
 def test_merged_transforms(monkeypatch):
     random.seed(3)
     monkeypatch.setattr(suffix, "SHARD", 200)
