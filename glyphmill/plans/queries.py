@@ -350,6 +350,13 @@ def kw_post_process_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("doc_id % 7 <> 1").select("doc_id", F.array_join(K.words_only(done), "|").alias("keywords"))
 
 
+@query("kw_post_process_answers")
+def kw_post_process_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every parsed answer to final keywords, mixed items too, with the time, date and in-original filters on."""
+    rows = answers(spark, sf_dir).withColumn("kws", K.normalize(J.keyword_items(J.greedy_object(F.col("raw")), ("keywords",))))
+    return rows.select("doc_id", F.array_join(K.words_only(K.post_process("kws", "w", longest=40)), "|").alias("keywords"))
+
+
 # ---- rewards ----
 
 

@@ -28,3 +28,30 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(duck.execute(queries.ORACLE_SQL[name]).df())
     else:
         assert len(got)
+
+
+def brute_near(word, text):
+    """The least span of text that holds the word's letters in order, greedily from each start, is at most twice the word."""
+    k, spans = word.replace(" ", ""), []
+    for i in [i for i, c in enumerate(text) if c == k[:1]]:
+        at = i
+        for c in k[1:]:
+            at = text.find(c, at + 1)
+            if at < 0:
+                break
+        else:
+            spans.append(at - i + 1)
+    return not text or k in text or bool(spans) and min(spans) <= 2 * len(k)
+
+
+def test_post_process_answers(spark, tmp_path):
+    """All seven kinds of answer, the mixed items of kind 1 among them."""
+    texts = ["abc bcdef", "a lone word", "ab", "b c d", "bxcxdxexf", "zzz", "", "b cd ef", "x" * 60 + " ab", "acb"]
+    docs = [(k, texts[(k // 7 + k) % len(texts)]) for k in range(70)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["keywords"] for r in queries.QUERIES["kw_post_process_answers"](spark, str(tmp_path)).collect()}
+    items = {0: lambda w: [w, "ab"], 1: lambda w: [w], 5: lambda w: ["bc", "bcdef"]}
+    for k, w in docs:
+        kept = [x for x in items.get(k % 7, lambda w: [])(w) if x.strip() and len(x) <= 40 and brute_near(x, w)]
+        assert got[k] == "|".join(dict.fromkeys(kept)), (k, w)
+    assert any(got[k] for k, _ in docs if k % 7 == 1)
