@@ -523,6 +523,12 @@ def fb_textrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fallback.textrank(_turns(spark, sf_dir), rounds=2)
 
 
+@query("fb_textrank_settled")
+def fb_textrank_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the operator's own number of rounds, which SQL would have to unroll."""
+    return fallback.textrank(_turns(spark, sf_dir))
+
+
 @query("fb_route", f"with {ANSWERS}, {OBJ} select doc_id, case when obj is not null and doc_id % 7 <> 3 then 'model' when length(w) > 0 then 'fallback' else 'error' end as route from o")
 def fb_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("doc_id", F.when(J.parse_response(F.col("raw"), ["keywords"]).isNotNull(), "model").when(F.length("w") > 0, "fallback").otherwise("error").alias("route"))

@@ -55,3 +55,31 @@ def test_post_process_answers(spark, tmp_path):
         kept = [x for x in items.get(k % 7, lambda w: [])(w) if x.strip() and len(x) <= 40 and brute_near(x, w)]
         assert got[k] == "|".join(dict.fromkeys(kept)), (k, w)
     assert any(got[k] for k, _ in docs if k % 7 == 1)
+
+
+def brute_textrank(text, rounds):
+    words = [w for w in text.split(" ") if len(w) >= 3]
+    weight = {}
+    for i, a in enumerate(words):
+        for b in words[i + 1 : i + 5]:
+            if a != b:
+                weight[a, b] = weight.get((a, b), 0) + 1
+                weight[b, a] = weight.get((b, a), 0) + 1
+    out = {a: sum(w for (x, _), w in weight.items() if x == a) for a, _ in weight}
+    rank = dict.fromkeys(out, 1.0)
+    for _ in range(rounds):
+        rank = {v: 0.15 + 0.85 * sum(rank[a] * w / out[a] for (a, b), w in weight.items() if b == v) for v in rank}
+    best = sorted((-round(r / max(rank.values()), 6), v) for v, r in rank.items())[:8]
+    return [(v, min(-2 * r, 1.0)) for r, v in best]
+
+
+def test_textrank_settled(spark, tmp_path):
+    texts = ["one two three four five six seven one three nine ten one eleven two", "alpha beta alpha gamma delta epsilon zeta eta beta theta iota kappa lambda alpha", "red green red blue"]
+    rows = [(k, 0, "user", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {}
+    for r in sorted(queries.QUERIES["fb_textrank_settled"](spark, str(tmp_path)).collect(), key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"] // 1000, {})[r["keyword"]] = r["score"]
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(dict(brute_textrank(t, 10)), abs=5e-6), k
+    assert any(got[k] != pytest.approx(dict(brute_textrank(t, 2)), abs=5e-6) for k, t in enumerate(texts))
