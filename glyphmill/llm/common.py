@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: The bytes that the contracts call white space: space and \x09 to \x0D.
@@ -17,6 +18,25 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+_mixers = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers scattered, one to one; the multipliers are odd, any would do."""
+    x = (x ^ (x >> np.uint64(32))) * _mixers[0]
+    x = (x ^ (x >> np.uint64(29))) * _mixers[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that the table doesn't use, whether or not the session minds case."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any(f"{lead}{w}".lower() in taken for w in wanted):
+        lead += "_"
+    return [f"{lead}{w}" for w in wanted]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -259,8 +259,9 @@ def test_suffix(spark):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(raw), sum(gone), spans, kept), i
     assert sum(r["n_removed"] for r in got.values()) > 1000
     assert suffix.remove_repeats(docs(spark, [], True)).count() == 0
-    odd = spark.createDataFrame([(None, "q" * 300), (1, "é" * 300), (1, "é" * 300), (2, "xé" + "é" * 80)], "doc_id long, text string")
-    assert suffix.remove_repeats(odd).count() == 4
+    odd = spark.createDataFrame([(None, "q" * 300, 1, "s"), (1, "é" * 300, 2, "t"), (1, "é" * 300, 3, "u"), (2, "xé" + "é" * 80, 4, "v")], "doc_id long, text string, _doc long, __spans string")
+    found = suffix.remove_repeats(odd)
+    assert sorted((r["_doc"], r["__spans"]) for r in found.collect()) == [(1, "s"), (2, "t"), (3, "u"), (4, "v")]
 
 
 @pytest.mark.parametrize("partitions", [1, 8])
@@ -277,6 +278,45 @@ def test_suffix_of_repeated_rows(spark, partitions):
     assert want[0] == passage.encode() and want[3] == texts[3].encode()
 
 
+def test_suffix_of_repeated_ids(spark):
+    """Rows that share an id and differ in their texts are documents of their own: text found once stays."""
+    make = lambda seed, n: " ".join(random.Random(seed).choices([f"w{k}" for k in range(500)], k=n))
+    one, two, three = make(11, 70), make(12, 70), make(13, 30)
+    df = spark.createDataFrame([(1, one), (2, one), (2, two), (5, three + two), (5, None), (5, "")], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_bytes"]): bytes(r["kept"]) for r in suffix.remove_repeats(df).collect()}
+    size = lambda t: len(t.encode())
+    assert got == {(1, size(one)): one.encode(), (2, size(one)): b"", (2, size(two)): two.encode(), (5, size(three + two)): three.encode(), (5, 0): b""}
+
+
+def test_suffix_with_crowded_minimisers(spark, monkeypatch):
+    """Every choice of crowded minimisers gives the same rows, and none is left to one long list."""
+    random.seed(14)
+    header = " ".join(random.choices([f"h{k}" for k in range(900)], k=40))
+    texts = [header + " " + " ".join(random.choices([f"w{k}" for k in range(900)], k=random.randint(5, 60))) for _ in range(120)]
+    want = brute_repeats(texts)
+    for crowd in (2, 10**9):
+        monkeypatch.setattr(suffix, "LOOK", 1)
+        monkeypatch.setattr(suffix, "CROWD", crowd)
+        plain = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").withColumn("key", F.lit(0).cast("long"))
+        assert (len(suffix._crowded(plain, 100, 32)) > 0) == (crowd == 2)
+        got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeats(docs(spark, texts)).collect()}
+        assert got == {i: bytes(b for b, g in zip(raw, gone, strict=True) if not g) for i, (raw, gone) in enumerate(want)}
+
+
+def test_routes_follow_the_window():
+    """A window gets one route whatever surrounds it, and however much of it a task reads at once."""
+    random.seed(15)
+    piece = bytes(random.choices(b"abcdefgh ", k=400))
+    routes = []
+    for pad in (b"", bytes(random.choices(b"xyz", k=1 << 17)), b"a" * 5000):
+        _, first, last, route, _ = suffix.runs([pad + piece], 100, 32)
+        at = {}
+        for a, b, r in zip(first.tolist(), last.tolist(), route.tolist(), strict=True):
+            at.update(dict.fromkeys(range(a - len(pad), b - len(pad) + 1), r))
+        routes.append([at[k] for k in range(301)])
+    assert routes[0] == routes[1] == routes[2]
+
+
 def test_merged_transforms(monkeypatch):
     random.seed(3)
     monkeypatch.setattr(suffix, "SHARD", 200)
