@@ -4,104 +4,148 @@ A document is its set of distinct word shingles, as 64-bit hashes. In one global
 very common shingles last, two sets that reach the threshold share a shingle within a short
 prefix. Documents with equal sets are one member; members with the same prefix and size are
 one group. An inverted index over group prefixes gives pairs of groups, which are filtered by
-size and by the number of shared prefix shingles, then expanded and verified on whole sets.
-
-Common shingles would pair all members of a family of near copies. Their lists go another
-way: members are dealt to tiles of two blocks, and each tile counts overlaps as a matrix
-product. A pair belongs to the smallest common prefix shingle that it shares, and within its
-list to one tile, so every pair that shares a prefix shingle is verified and every link comes
-out once. A tile returns its links as lists of neighbours, a row for each document, with their
-numbers and a spanning forest, which is all that the components need. Which shingles count as
-common only steers the work; the result doesn't depend on it.
+size and by the number of shared prefix shingles, then expanded, and the members are verified
+on their words: a tile or a batch of pairs numbers its words and shingles anew, by the words
+themselves, so that hashes only propose.
+
+Long lists would pair all members of a family of near copies. Their shingles become cells:
+members are dealt to tiles of two blocks, and each tile counts overlaps as a matrix product. A
+pair belongs to the smallest cell that it shares, and within a cell to one tile, so every pair
+that shares a prefix shingle is verified and every link comes out once. A first round of tiles
+without texts finds the members that have a pair to verify there, and texts are sent to those
+alone. A tile returns its links as lists of neighbours, a row for each document, with their
+numbers and a spanning forest, which is all that the components need. Which shingles become
+cells only steers the work; the result doesn't depend on it.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with
-fewer words than a shingle the whole sequence is one; rows that repeat a text, with whatever
-ids, are linked; rows without an id get no component; a document without links is its own
-component; an empty table gives an empty table; other columns take no part. The links of a row
-are all other rows with an id that reach the threshold, repeats of its own text among them;
-for rows without an id their number is null.
+fewer words than a shingle the whole sequence is one; very long texts are read whole; rows that
+repeat a text, with whatever ids, are linked; rows that repeat an id with another text are
+documents of their own, and all rows of an id that are linked with anything lie in components
+of their own texts; rows without an id get no component of their own, but that of equal texts;
+a document without links is its own component; an empty table gives an empty table; other
+columns take no part, whatever their names. The links of a row are all other rows with an id
+that reach the threshold, repeats of its own text among them; for rows without an id their
+number is null.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import give_back, stored
+from .common import give_back, mix, stored
 from .components import components
 
 U = np.uint64
 #: Odd multipliers; any would do.
-P, A, B, C = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
+P, A, C = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xE7037ED1A0B428DB)
 COUNTED = 2_000_000
-_space = np.zeros(256, bool)
-_space[[0x20, *range(0x09, 0x0E)]] = True
-_fold = np.arange(256, dtype=np.uint8)
-_fold[65:91] += 32
+#: Lists longer than this are cells.
+LISTED = 64
+WORDS_KEPT = 200_000
+PART = 1 << 22
+_blank = re.compile(rb"[\x20\x09-\x0d]")
+
 
+class _Hashes(dict):
+    """64-bit hashes of words; the table is bounded, words beyond it are hashed each time."""
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(32))) * A
-    x = (x ^ (x >> U(29))) * B
-    return x ^ (x >> U(32))
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < WORDS_KEPT and len(word) < 64:
+            self[word] = h
+        return h
 
 
-_letters = mix(np.arange(1, 257, dtype=U) * P)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_hashes = _Hashes()
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of P and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        back = U(pow(int(P), -1, 1 << 64))
-        for k, base in enumerate((P, back)):
-            step = np.full(n, base, U)
-            step[0] = 1
-            _powers[k] = np.cumprod(step, dtype=U)
-    return _powers[0], _powers[1]
+def words(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z in lower case, in portions. bytes.split and bytes.lower know just the contract's white space and letters."""
+    at = 0
+    while at < len(raw):
+        cut = _blank.search(raw, at + PART) if at + PART < len(raw) else None
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].lower().split()
+        at = end
 
 
 def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    raw = [(t or "").encode() for t in texts]
-    data = _fold[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    blank = _space[data]
-    edges = np.flatnonzero(np.diff(blank, prepend=True))
-    starts, ends = edges[::2], edges[1::2]
-    power, back = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_letters[data] * power[: len(data)], out=sums[1:], dtype=U)
-    words = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U) * C)
-    bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
-    first = np.searchsorted(starts, bounds)
-    n = len(words) - size + 1
+    parts, ends, total = [], [], 0
+    for t in texts:
+        for some in words((t or "").encode()):
+            parts.append(np.fromiter(map(_hashes.__getitem__, some), U, len(some)))
+            total += len(some)
+        ends.append(total)
+    flat = np.concatenate(parts) if parts else np.zeros(0, U)
+    n = len(flat) - size + 1
     runs = np.zeros(max(n, 0), U)
     for k in range(size if n > 0 else 0):
-        runs = runs * P + words[k : k + n]
+        runs = runs * P + flat[k : k + n]
     runs = mix(runs)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    out, a = [], 0
+    for b in ends:
         if b - a >= size:
             out.append(np.unique(runs[a : b - size + 1]).view(np.int64))
         elif b > a:
             with np.errstate(over="ignore"):
                 h = U(b - a) * C
-                for w in words[a:b]:
+                for w in flat[a:b]:
                     h = h * A + w
             out.append(mix(np.array([h], U)).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
+        a = b
     return out
 
 
+def packed(text: str | None) -> bytes:
+    """A text's words, one blank between two, in little room."""
+    return zlib.compress(b" ".join(w for some in words((text or "").encode()) for w in some), 1)
+
+
+def exact_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of the distinct shingles of packed texts, none of them empty; shingles have one number if, and only if, they are the same words."""
+    index: dict[bytes, int] = {}
+    flat, lengths = [], []
+    for t in texts:
+        found = [index.setdefault(w, len(index)) for w in zlib.decompress(t).split(b" ")]
+        found += [-1] * (size - len(found))  # fewer words: the whole sequence
+        flat.append(np.array(found, np.int64))
+        lengths.append(len(found))
+    flat, lengths = np.concatenate(flat), np.array(lengths)
+    counts = lengths - size + 1
+    text = np.repeat(np.arange(len(texts)), counts)
+    start = np.arange(len(text)) + np.repeat(np.cumsum(lengths) - lengths - np.cumsum(counts) + counts, counts)
+    code = np.zeros(len(start), U)
+    scattered = mix(flat.view(U) + P)
+    for k in range(size):
+        code = code * P + scattered[start + k]
+    order = np.argsort(code, kind="stable")
+    start, text, code = start[order], text[order], code[order]
+    fresh, same = np.ones(len(code), bool), np.ones(len(code), bool)
+    fresh[1:] = code[1:] != code[:-1]
+    for k in range(size):
+        same[1:] &= flat[start[1:] + k] == flat[start[:-1] + k]
+    if (same | fresh).all():
+        number = np.cumsum(fresh)
+    else:  # a clash of codes: by the words at once
+        number = np.unique(flat[start[:, None] + np.arange(size)], axis=0, return_inverse=True)[1].ravel() + 1
+    pairs = np.unique(text * (len(number) + 1) + number)
+    return pairs // (len(number) + 1), pairs % (len(number) + 1)
+
+
 def least_overlap(sizes, percent: int):
     """The smallest intersection of two sets with this sum of sizes that reaches the threshold."""
     return -(-percent * sizes // (100 + percent))
@@ -112,7 +156,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _two(data: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(data, digest_size=16).digest()
+    d = xxhash.xxh3_128_digest(data)
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
@@ -178,23 +222,27 @@ def _members(docs: DataFrame, size: int, percent: int, sent: Broadcast) -> DataF
                         rows.append((n, *one, group, rare, often))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "s1", "s2", "grp", "rare", "often"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "tk", "n", "s1", "s2", "grp", "rare", "often"])
+
+    return docs.withColumn("tk", F.xxhash64("text")).mapInArrow(give_back(run), f"doc_id {kind}, tk long, n long, s1 long, s2 long, grp long, rare array<long>, often array<long>")
+
 
-    return docs.mapInArrow(give_back(run), f"doc_id {kind}, n long, s1 long, s2 long, grp long, rare array<long>, often array<long>")
+LISTS = "token long, ga long, gb long, na long, nb long"
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups on the same list whose sizes allow a link; rows come sorted by token, size and group."""
+    """Of each list its pairs of groups whose sizes allow a link (token null), or, if it is long, its groups (gb null)."""
+    names = LISTS.replace(" long", "").split(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        names = ["token", "n", "grp", "often"]
+        rest, long = None, None  # rows of the last token, at most LISTED; the last token, if its list is long
+
+        def batch(*cols: np.ndarray | None) -> pa.RecordBatch:
+            n = next(len(c) for c in cols if c is not None)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in cols], names)
 
         def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, n, grp, often = cols
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])
-            token, n, grp, often = (c[fresh] for c in (token, n, grp, often))
+            token, n, grp = cols
             out, step = [], 1
             left = np.arange(len(token))
             while len(left):  # each row with the step-th row after it
@@ -207,19 +255,32 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 swap = grp[a] > grp[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grp[a], grp[b], n[a], n[b], np.minimum(often[a], often[b]))], ["ga", "gb", "na", "nb", "often"])
+                yield batch(None, grp[a], grp[b], n[a], n[b])
 
-        for batch in batches:
-            cols = [np.asarray(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)) for c in names]
+        for rows in batches:
+            cols = [np.asarray(rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False)) for c in ("token", "n", "grp")]
             if rest is not None:
                 cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last token's list may go on
-            yield from pairs([c[:cut] for c in cols])
-            rest = [c[cut:] for c in cols]
+            fresh = np.ones(len(cols[0]), bool)  # tasks may bring a group more than once
+            fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])
+            cols = [c[fresh] for c in cols]
+            if not len(cols[0]):
+                continue
+            head = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            count = np.diff(np.append(head, len(cols[0])))
+            crowded = np.repeat(count > LISTED, count)
+            if long is not None:
+                crowded |= cols[0] == long
+            if crowded.any():
+                yield batch(cols[0][crowded], cols[2][crowded], None, cols[1][crowded], None)
+            last = cols[0] == cols[0][-1]  # the last token's list may go on
+            yield from pairs([c[~crowded & ~last] for c in cols])
+            long = cols[0][-1] if crowded[-1] else None
+            rest = None if crowded[-1] else [c[last] for c in cols]
         if rest is not None:
             yield from pairs(rest)
 
-    return postings.repartition("token").sortWithinPartitions("token", "n", "grp").mapInArrow(give_back(run), "ga long, gb long, na long, nb long, often long")
+    return postings.repartition("token").sortWithinPartitions("token", "n", "grp").mapInArrow(give_back(run), LISTS)
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:
@@ -240,26 +301,59 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    used, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count > 1)
+def _overlaps(row: np.ndarray, number: np.ndarray, count: int) -> np.ndarray:
+    """The sizes of the intersections of every two of ``count`` sets, given as (row, number)."""
+    used, col, times = np.unique(number, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
     place = np.full(len(used), -1)
     place[shared] = np.arange(len(shared))
     col = place[col]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)  # counts stay below 2**24
+    overlap = np.zeros((count, count), np.float32)  # counts stay below 2**24
     for lo in range(0, len(shared), 2048):
         a, b = np.searchsorted(col, (lo, lo + 2048))
-        part = np.zeros((len(sets), min(2048, len(shared) - lo)), np.float32)
+        part = np.zeros((count, min(2048, len(shared) - lo)), np.float32)
         part[row[a:b], col[a:b] - lo] = 1
         overlap += part @ part.T
     return overlap.astype(np.int64)
 
 
-def _tile(percent: int):
+def _meeting(lists: list[np.ndarray]) -> np.ndarray:
+    """Which of the lists share a number; one that isn't empty does with itself."""
+    sizes = np.array([len(x) for x in lists])
+    row = np.repeat(np.arange(len(lists)), sizes)
+    flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(row) else np.zeros(0, np.int64)
+    return (_overlaps(row, flat, len(lists)) > 0) | np.diag(sizes > 0)
+
+
+def _open(frame: pd.DataFrame, column: str, apart: bool) -> np.ndarray:
+    """Pairs (upper triangle) that are this tile's: no smaller cell in common, not on one side of a pair of groups, and, in a tile of two blocks, from different ones."""
+    kinds, kind = {}, np.empty(len(frame), np.int64)
+    for x, key in enumerate(zip(frame[column].map(lambda c: tuple(np.asarray(c).tolist())), frame["tag"].tolist(), strict=True)):
+        kind[x] = kinds.setdefault(key, len(kinds))
+    tag = np.array([t for _, t in kinds])
+    closed = _meeting([np.array(c, np.int64) for c, _ in kinds]) | ((tag[:, None] == tag[None, :]) & (tag[:, None] != 0))
+    open_ = np.triu(~closed[kind[:, None], kind[None, :]], 1)
+    if apart:
+        own = frame["own"].to_numpy()
+        open_ &= own[:, None] != own[None, :]
+    return open_
+
+
+SPOTS = "cell long, i int, j int, doc long, own int, tag long, at int"
+
+
+def _asked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """The members of a tile that may have a pair there, told by their first few smaller cells."""
+    cell, i, j = key
+    open_ = _open(frame, "lead", i != j)
+    use = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+    some = frame.iloc[use]
+    return pd.DataFrame({"cell": cell, "i": i, "j": j, "doc": some["doc"], "own": some["own"], "tag": some["tag"], "at": some["at"]}).astype({"cell": "int64", "i": "int32", "j": "int32"})
+
+
+def _tile(size: int, percent: int):
     """Of each document, the links that belong to the tile: near, each once; tree, those of a forest; links, the rows at the other ends of all."""
 
     def rows(doc: np.ndarray, near: list[np.ndarray], tree: list[np.ndarray], links: np.ndarray) -> pd.DataFrame:
@@ -267,21 +361,15 @@ def _tile(percent: int):
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         cell, i, j = key
-        frame = frame.drop_duplicates("doc")
-        often = [np.frombuffer(x, np.int64) for x in frame["often"]]
-        # a pair with a smaller common shingle is another list's; a large group's own list comes behind all of them
-        open_ = np.triu(_overlaps([s[s < cell] if (s == cell).any() else s for s in often]) == 0, 1)
-        if i != j:
-            own = frame["own"].to_numpy()
-            open_ &= own[:, None] != own[None, :]
+        open_ = _open(frame, "before", i != j)
         use = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
         if not len(use):
             return rows(np.zeros(0, np.int64), [], [], np.zeros(0, np.int64))
         frame, open_ = frame.iloc[use], open_[np.ix_(use, use)]
         docs, k = frame["doc"].to_numpy(np.int64), frame["k"].to_numpy(np.int64)
-        sets = [np.frombuffer(x, np.int64) for x in frame["shingles"]]
-        n = np.array([len(s) for s in sets])
-        both = _overlaps(sets)
+        row, number = exact_sets(frame["packed"].tolist(), size)
+        n = np.bincount(row, minlength=len(docs))
+        both = _overlaps(row, number, len(docs))
         linked = open_ & (100 * both >= percent * (n[:, None] + n[None, :] - both))
         tree = np.zeros_like(linked)
         kept = _forest(np.column_stack(np.nonzero(linked)))
@@ -293,86 +381,111 @@ def _tile(percent: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: doc_id, n, s1, s2, doc, n_links of each row; links: every pair a < b of representatives of different sets that reach the threshold, once; tree: links that connect all that is linked)."""
+def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 512, block_shingles: int = 300_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: doc_id, n, s1, s2, doc (its set's number), first_id (its set's smallest id), n_links and text_hash of each row; links: every pair a < b of numbers of different sets that reach the threshold, once; tree: links that connect all that is linked).
+    """
     least = max(common_least, docs.count() // common_share)
     common = _common(docs, size, least)
     order = np.argsort(common)
     sent = docs.sparkSession.sparkContext.broadcast((common[order], order))
     rows = stored(_members(docs, size, percent, sent), "jaccard-members")
     found = rows.where("n > 0")
-    member = found.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.count("doc_id").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp")).where("doc is not null")
-    member = stored(member, "jaccard-sets")
-    group = member.select("grp", "doc")
-
-    postings = found.where("rare is not null").select(F.explode("rare").alias("token"), "n", "grp", F.size("often").cast("long").alias("often"))
-    shared = _pairs(postings, percent).groupBy("ga", "gb").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("often").alias("often"))
-    # an intersection has the shared prefix shingles, and else only shingles behind the prefix that ends first
+    sets = found.groupBy("s1", "s2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk"))).alias("first"), F.count("doc_id").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp"))
+    # a set goes by a number of its own, as its id may be that of other sets too
+    member = stored(sets.where("first is not null").select("s1", "s2", "k", "n", "grp", "first.*", F.monotonically_increasing_id().alias("doc")), "jaccard-sets")
+
+    postings = found.where("rare is not null").select(F.explode("rare").alias("token"), "n", "grp")
+    lists = stored(_pairs(postings, percent), "jaccard-lists")
+    own = lists.where("gb is null").select(F.col("ga").alias("grp"), F.col("token").alias("cell"))
+    own = own.union(found.where("size(often) > 0").select("grp", F.explode("often"))).groupBy("grp").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    group = member.groupBy("grp").agg(F.count("*").alias("m")).join(own, "grp", "left").select("grp", "m", F.coalesce("cells", F.array().cast("array<long>")).alias("cells"))
+    group = stored(group, "jaccard-groups")
+    inner = member.select("grp", "doc")
+
+    # pairs of groups: an intersection has the shared prefix shingles, and else only shingles behind the prefix that ends first
+    shared = lists.where("gb is not null").groupBy("ga", "gb").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    for x in "ab":
+        shared = shared.join(group.selectExpr(f"grp as g{x}", f"m as m{x}", f"cells as cells{x}"), f"g{x}")
     behind = F.greatest(*(F.expr(f"n{x} - (n{x} - ceil({percent} * n{x} / 100) + 1)") for x in "ab"))
-    shared = shared.where(F.col("c") + F.col("often") + behind >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)))
-    across = shared.join(group.withColumnsRenamed({"grp": "ga", "doc": "a"}), "ga").join(group.withColumnsRenamed({"grp": "gb", "doc": "b"}), "gb").select("a", "b")
-    many = group.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1")
-    crowd = group.join(many, "grp")
-    few = crowd.where(F.col("m") <= 32).select("grp", "doc")
+    shared = shared.where(F.col("c") + F.least(F.size("cellsa"), F.size("cellsb")) + behind >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)))
+    shared = stored(shared.where("not arrays_overlap(cellsa, cellsb)").select("ga", "gb", (F.col("ma") * F.col("mb")).alias("m")), "jaccard-groups-near")  # a cell's otherwise
+    plain = group.where("size(cells) = 0 and m > 1")
+    few = inner.join(plain.where("m <= 32").select("grp"), "grp")
     within = few.withColumnRenamed("doc", "a").join(few.withColumnRenamed("doc", "b"), "grp").where("a < b").select("a", "b")
-    pairs = stored(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "jaccard-pairs")
-
-    # lists of common shingles, and large groups, by cell
-    lists = found.where("size(often) > 0").select("s1", "s2", F.explode("often").alias("cell")).join(member.select("s1", "s2", "doc"), ["s1", "s2"]).select("cell", "doc")
-    cells = stored(lists.union(crowd.where(F.col("m") > 32).select(F.col("grp").alias("cell"), "doc")).distinct(), "jaccard-cells")
-    blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("k")).join(cells.groupBy("cell").count().where("count > 1"), "cell", "left_semi")
-    mine = cells.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
-    tiles = mine.select("cell", "doc", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).select("cell", "doc", "own", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"))
-
-    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(cells.select("doc")).distinct()
-    wanted = stored(member.join(asked, "doc", "left_semi").groupBy("doc").agg(F.max("k").alias("k")), "jaccard-wanted")
-    small = wanted.count() <= 500_000  # 16 bytes each; beyond that both sides are shuffled
-    texts = docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("doc")).select("doc", "text", "k")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    across = shared.where("m <= 1024").join(inner.toDF("ga", "a"), "ga").join(inner.toDF("gb", "b"), "gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(across.union(within).where("a <> b").distinct(), "jaccard-pairs")
+
+    # cells: of each group's members, of large groups without cells, and of pairs of large groups
+    listed = group.select("grp", "cells", F.posexplode("cells").alias("at", "cell")).select("grp", "cell", F.lit(0).cast("long").alias("tag"), "at", F.expr("slice(cells, 1, least(at, 4))").alias("lead"))
+    none = F.array().cast("array<long>").alias("lead")
+    large = plain.where("m > 32").select("grp", F.col("grp").alias("cell"), F.lit(0).cast("long").alias("tag"), F.lit(0).alias("at"), none)
+    sides = shared.where("m > 1024").select(F.explode(F.array("ga", "gb")).alias("grp"), F.xxhash64("ga", "gb").alias("cell"))
+    sides = sides.join(group.select("grp", "cells"), "grp").select("grp", "cell", F.col("grp").alias("tag"), F.size("cells").alias("at"), F.expr("slice(cells, 1, 4)").alias("lead"))
+    cells = stored(listed.union(large).union(sides).join(member.select("grp", "doc", "n"), "grp"), "jaccard-cells")
+    blocks = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
+    blocks = blocks.select("cell", F.ceil(F.greatest(F.col("m") / block, F.col("w") / block_shingles)).cast("int").alias("parts"))
+    mine = cells.drop("grp").join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int"))
+    tiles = mine.select("cell", "doc", "own", "tag", "at", "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    tiles = tiles.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o"))
+    spots = stored(tiles.groupBy("cell", "i", "j").applyInPandas(_asked, SPOTS), "jaccard-spots")
+
+    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(spots.select("doc")).distinct()
+    wanted = member.join(asked, "doc", "left_semi").join(group.select("grp", "cells"), "grp").select("doc", "k", "cells", F.col("doc_id").alias("id"), F.col("tk").alias("t"))
+    texts = docs.withColumn("tk", F.xxhash64("text")).join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("tk") == F.col("t"))).select("doc", "text", "k", "cells")
+
+    def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, part in slices(whole, "text", 1 << 20):
-                found = shingles(part, size)
-                often = [_prefix(s, percent, *sent.value)[1] for s in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (found, often)), batch.column(2)], ["doc", "shingles", "often", "k"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(packed, part), pa.binary()), batch.column(2), batch.column(3)], ["doc", "packed", "k", "cells"])
 
-    whole = stored(texts.mapInArrow(give_back(sets), f"doc {dict(docs.dtypes)['doc_id']}, shingles binary, often binary, k long"), "jaccard-shingles")
+    # rows that repeat an id and a text come once
+    whole = stored(texts.dropDuplicates(["doc"]).mapInArrow(give_back(shrunk), "doc long, packed binary, k long, cells array<long>"), "jaccard-texts")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shared(x: bytes, y: bytes) -> int:
-            return len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
-
         for batch in batches:
-            keep = []
-            for x, y, often_x, often_y in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "often_x", "often_y")), strict=True):
-                if often_x and often_y and shared(often_x, often_y):
-                    keep.append(False)  # a tile's
-                    continue
-                both = shared(x, y)
-                keep.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
+            x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("x", "y"))
+            a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b"))
+            keep, at = [], 0
+            while at < len(x):  # a few texts at a time, each once
+                texts, stop, size_held = {}, at, 0
+                while stop < len(x) and size_held < 1 << 20:
+                    for doc, text in ((a[stop], x[stop]), (b[stop], y[stop])):
+                        if doc not in texts:
+                            texts[doc] = text
+                            size_held += len(text)
+                    stop += 1
+                place = {doc: k for k, doc in enumerate(texts)}
+                row, number = exact_sets(list(texts.values()), size)
+                cut = np.searchsorted(row, np.arange(len(texts) + 1))
+                for k in range(at, stop):
+                    one, two = (number[cut[p] : cut[p + 1]] for p in (place[a[k]], place[b[k]]))
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(one) + len(two) - both))
+                at = stop
             yield batch.select(["a", "b", "ka", "kb"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = pairs.join(whole.withColumnsRenamed({"doc": "a", "shingles": "x", "often": "often_x", "k": "ka"}), "a").join(whole.withColumnsRenamed({"doc": "b", "shingles": "y", "often": "often_y", "k": "kb"}), "b")
-    one_by_one = sides.select("a", "b", "ka", "kb", "x", "y", "often_x", "often_y").mapInArrow(give_back(verified), "a long, b long, ka long, kb long")
-    single = stored(one_by_one.distinct(), "jaccard-links")  # rows that repeat an id bring their pairs again
-    tiled = tiles.join(whole, "doc").select("cell", "i", "j", "doc", "own", "shingles", "often", "k").groupBy("cell", "i", "j")
-    tiled = stored(tiled.applyInPandas(_tile(percent), "doc long, near array<long>, tree array<long>, links long"), "jaccard-tiles")
+    both = pairs.join(whole.selectExpr("doc as a", "packed as x", "k as ka"), "a").join(whole.selectExpr("doc as b", "packed as y", "k as kb"), "b").select("a", "b", "ka", "kb", "x", "y")
+    single = stored(both.mapInArrow(give_back(verified), "a long, b long, ka long, kb long"), "jaccard-links")
+    tiled = spots.join(whole, "doc").select("cell", "i", "j", "doc", "own", "tag", F.expr("slice(cells, 1, at)").alias("before"), "packed", "k")
+    tiled = stored(tiled.groupBy("cell", "i", "j").applyInPandas(_tile(size, percent), "doc long, near array<long>, tree array<long>, links long"), "jaccard-tiles")
 
-    def listed(column: str) -> DataFrame:
+    def listed_pairs(column: str) -> DataFrame:
         far = tiled.select("doc", F.explode(column).alias("other"))
         return single.select("a", "b").union(far.select(F.least("doc", "other"), F.greatest("doc", "other")))
 
     ends = single.select(F.col("a").alias("doc"), F.col("kb").alias("links")).union(single.select("b", "ka")).union(tiled.select("doc", "links"))
     more = ends.groupBy("doc").agg(F.sum("links").alias("more"))
-    members = rows.select("doc_id", "n", "s1", "s2").join(member.select("s1", "s2", "doc", "k"), ["s1", "s2"], "left").join(more, "doc", "left")
+    members = rows.select("doc_id", "tk", "n", "s1", "s2").join(member.select("s1", "s2", "doc", "k", F.col("doc_id").alias("first_id")), ["s1", "s2"], "left").join(more, "doc", "left")
     links = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("k") - 1, F.lit(0)) + F.coalesce("more", F.lit(0)))
-    return members.select("doc_id", "n", "s1", "s2", "doc", links.alias("n_links")), listed("near"), listed("tree")
+    return members.select("doc_id", "n", "s1", "s2", "doc", "first_id", links.alias("n_links"), F.col("tk").alias("text_hash")), listed_pairs("near"), listed_pairs("tree")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links) and n_links (all rows it is linked with itself) of each row."""
+    """doc_id, n_shingles, component_id (the smallest id reachable by links), n_links (all rows it is linked with itself) and text_hash (xxhash64 of the text, which tells rows of one id apart) of each row."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows, _, tree = jaccard_links(docs, size=size, percent=percent, **options)
     found = components(tree)
-    out = rows.join(found, F.col("doc") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("component_id"), "n_links")
+    named = rows.join(found, F.col("doc") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc"))
+    least = named.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least"))
+    out = named.join(least, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "n_links", "text_hash")

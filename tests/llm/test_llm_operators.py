@@ -132,25 +132,28 @@ def test_jaccard(spark, options, monkeypatch):
     assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("options", [{}, {"common_least": 2, "common_share": 10**9, "block": 3}, {"common_least": 10**9}])
-def test_jaccard_links(spark, options):
+@pytest.mark.parametrize(("options", "listed"), [({}, 64), ({"common_least": 10**9}, 10**9), ({"common_least": 10**9, "block": 7}, 5), ({"common_least": 50, "common_share": 10**9, "block_shingles": 900}, 3)])
+def test_jaccard_links(spark, options, listed, monkeypatch):
     """Every link of families of different near copies, once, however the shingles are parted; also in a large group (one prefix, one size)."""
     texts = corpus() + [" ".join(f"fam{(i * 7 + (i == j)) % 97}" + ("x" if i == j else "") for i in range(60)) for j in range(60)]
     group = sorted((" ".join(f"g{k}" for k in range(40)) + f" h{j}" for j in range(500)), key=lambda t: jaccard._prefix(jaccard.shingles([t], 5)[0], 80, np.zeros(0, np.int64), None)[0].tolist())
+    monkeypatch.setattr(jaccard, "LISTED", listed)
     texts += group[:80]
     sets = brute_sets(texts)
     near = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and 100 * len(a & b) >= 80 * len(a | b)}
     degree = Counter(x for pair in near for x in pair)
     df = docs(spark, texts)
-    got = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(df, **options).collect()}
-    assert got == {i: degree[i] for i in range(len(texts))} and max(degree.values()) > 40
     rows, links, tree = jaccard.jaccard_links(df.select("doc_id", "text"), **options)
+    got = {r["doc_id"]: r["n_links"] for r in rows.collect()}
+    assert got == {i: degree[i] for i in range(len(texts))} and max(degree.values()) > 40
     first = {}
     for i, x in enumerate(sets):
         first.setdefault(frozenset(x), i)
     want = sorted((i, j) for i, j in near if sets[i] != sets[j] and first[frozenset(sets[i])] == i and first[frozenset(sets[j])] == j)
-    assert sorted(map(tuple, links.collect())) == want
-    assert {tuple(r) for r in tree.collect()} <= set(want)
+    name = {r["doc"]: r["first_id"] for r in rows.where("doc is not null").collect()}
+    named = lambda df: sorted(tuple(sorted((name[r["a"]], name[r["b"]]))) for r in df.collect())
+    assert named(links) == want
+    assert set(named(tree)) <= set(want)
 
 
 def test_jaccard_links_of_repeated_rows(spark):
@@ -160,6 +163,40 @@ def test_jaccard_links_of_repeated_rows(spark):
     assert sorted((r["doc_id"] or 0, -1 if r["n_links"] is None else r["n_links"]) for r in got) == [(0, -1), (0, -1), (3, 4), (3, 4), (4, 4), (5, 4), (5, 4), (6, 0)]
 
 
+def test_jaccard_by_words(spark):
+    """Words that a polynomial modulo 2**64 can't tell apart; and codes that clash within a tile."""
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, other), (3, thue + " " + "x y z q r"), (4, other + " " + "x y z q r")]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0)}
+
+
+def test_exact_sets(monkeypatch):
+    texts = ["a b c d e f g", "b c d e f", "a", "A  B", "a b c d e a b c d e a b c d e", "é " * 9]
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(jaccard, "mix", lambda x: x % np.uint64(2))
+        row, number = jaccard.exact_sets([jaccard.packed(t) for t in texts], 5)
+        sets = [set(number[row == k].tolist()) for k in range(len(texts))]
+        want = brute_sets(texts)
+        for i, a in enumerate(want):
+            assert len(sets[i]) == len(a)
+            for j, b in enumerate(want):
+                assert len(sets[i] & sets[j]) == len(a & b)
+
+
+def test_jaccard_of_repeated_ids(spark):
+    """Rows that share an id and differ in their texts are documents of their own."""
+    make = lambda seed: " ".join(random.Random(seed).choices([f"w{k}" for k in range(500)], k=60))
+    x, y = make(21), make(22)
+    rows = [(1, x), (2, x), (2, y), (7, y + " zz"), (9, make(23))]
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (7, 2, 1), (9, 9, 0)]
+
+
 def test_jaccard_edges(spark):
     assert jaccard.near_duplicates(docs(spark, [], True)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
