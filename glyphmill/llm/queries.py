@@ -56,7 +56,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         F.col("t.score").alias("score"),
         (F.col("t.score") >= TOXIC).cast("int").alias("predicted"),
-        F.size("t.example_ids").alias("n_neighbours"),
+        F.col("t.example_ids").cast("array<long>").alias("neighbour_ids"),
+        F.col("t.cosines").alias("cosines"),
     )
 
 

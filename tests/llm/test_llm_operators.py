@@ -257,21 +257,83 @@ def test_toxicity(spark):
     assert np.mean([(got[i]["t"]["score"] >= 0.7) == truth[i] for i in held]) > 0.98
     assert all(0 <= r["t"]["score"] <= 1 for r in got.values()) and got[600]["t"]["score"] == got[601]["t"]["score"] < 0.3
     assert got[6]["t"]["example_ids"] and got[6]["t"]["cosines"][0] > 0
+    assert got[601]["t"]["score"] == got[602]["t"]["score"]  # no term in common with any example
+    same = docs(spark, texts[:200] + texts[:200])
+    twice = same.select("text", toxicity.toxicity(F.col("text"), model, spark)["score"].alias("s")).groupBy("text").agg(F.count_distinct("s").alias("n")).where("n > 1").count()
+    assert not twice
+    loose = spark.createDataFrame([(None, texts[6]), (None, None)], "doc_id long, text string").withColumn("score", F.lit("x"))
+    assert sorted(r["s"] for r in loose.select(toxicity.toxicity(F.col("text"), model, spark)["score"].alias("s")).collect()) == sorted([got[6]["t"]["score"], got[600]["t"]["score"]])
+    assert toxicity.fit_toxicity(docs(spark, [], True), labels).index is None
     none = toxicity.fit_toxicity(df, labels.limit(0))
     assert {r["s"] for r in df.select(toxicity.toxicity(F.col("text"), none, spark)["score"].alias("s")).collect()} == {0.0}
 
 
 def test_block_max_is_exact():
     random.seed(8)
-    idf = np.ones(30)
-    examples = [toxicity.unit(sorted(random.sample(range(30), random.randint(1, 6))), idf) for _ in range(700)]
-    index = toxicity.BlockMaxIndex(examples, 30)
-    for _ in range(60):
-        q = toxicity.unit(sorted(random.sample(range(30), 4)), idf)
-        ids, cosines = index.nearest(q, 15)
-        weights = dict(q)
-        every = np.array([sum(weights.get(t, 0) * w for t, w in e) for e in examples])
-        assert np.allclose(cosines, -np.sort(-every)[:15]) and np.allclose(every[ids], cosines)
+    examples = []
+    for _ in range(1500):
+        terms = np.array(sorted(random.sample(range(60), random.randint(1, 6))), np.int64)
+        examples.append((terms, toxicity.unit(np.ones(len(terms)), np.arange(1.0, 61.0)[terms])))
+    order = toxicity.arranged(examples, 60)
+    assert sorted(order) == list(range(1500))
+    examples = [examples[i] for i in order]
+    index = toxicity.BlockMaxIndex(examples, 60)
+    for leave in (-1, 7):
+        for _ in range(60):
+            terms = np.array(sorted(random.sample(range(60), 4)), np.int64)
+            weights = toxicity.unit(np.array([1, 2, 1, 5]), np.ones(4))
+            ids, cosines = index.nearest(terms, weights, 15, leave)
+            known = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+            every = np.array([sum(known.get(t, 0) * w for t, w in zip(*map(np.ndarray.tolist, e), strict=True)) for e in examples])
+            if leave >= 0:
+                every[leave] = -1
+            assert np.allclose(cosines, -np.sort(-every)[:15]) and np.allclose(every[ids], cosines)
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Terms, weights, neighbours and evidence over the labels of the small tables, all written out again."""
+    import math
+
+    from glyphmill.llm.queries import held_out
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~held_out(F.col("doc_id")))
+    model = toxicity.fit_toxicity(table, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] in texts}
+    tf = {i: Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    n1 = sum(truth.values())
+    n = {1: n1, 0: len(truth) - n1}
+
+    def weight(w):
+        hold = {c: sum(1 for i, y in truth.items() if y == c and w in tf[i]) for c in (0, 1)}
+        g = 0.0
+        for c in (0, 1):
+            for a, q in ((hold[c], sum(hold.values()) / len(truth)), (n[c] - hold[c], 1 - sum(hold.values()) / len(truth))):
+                g += a * math.log(a / (n[c] * q)) if a else 0.0
+        idf = math.log((1 + len(texts)) / (1 + sum(w in t for t in tf.values()))) + 1
+        return idf * (1 + 2 * max(g, 0))
+
+    weights = {w: weight(w) for w in {w for i in truth for w in tf[i]}}
+    assert set(model.ids) == set(weights)
+
+    def vector(i):
+        v = {w: (1 + math.log(c)) * weights[w] for w, c in tf[i].items() if w in weights}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else {}
+
+    examples = {i: vector(i) for i in truth if tf[i]}
+    got = table.select("doc_id", toxicity.toxicity(F.col("text"), model, spark).alias("t")).collect()
+    lonely = 0
+    for r in got:
+        v = vector(r["doc_id"])
+        cosine = {i: sum(x * e.get(w, 0.0) for w, x in v.items()) for i, e in examples.items()}
+        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[:15]
+        assert np.allclose(r["t"]["cosines"], best)
+        assert all(abs(cosine[int(i)] - c) < 1e-9 for i, c in zip(r["t"]["example_ids"], r["t"]["cosines"], strict=True))
+        lonely += not best and bool(texts[r["doc_id"]])
+    assert lonely < 0.05 * len(got)
 
 
 def brute_repeats(texts, n=100):
