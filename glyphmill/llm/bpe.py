@@ -1,7 +1,7 @@
 """Byte-pair encoding by speculation and verification, and decoding.
 
-For each new word, greedy longest match proposes tokens. A proposal is the exact encoding if
-every token encodes to itself and no two neighbours would have merged across their border
+For all new words at once, greedy longest match proposes tokens, by steps of all words through
+one trie of the pieces. A proposal is the exact encoding if every token encodes to itself and no two neighbours would have merged across their border
 first; that test runs on arrays of all new neighbouring pairs at once. Only words that fail
 it are merged exactly. Encoded words are kept in a bounded table, so that a text costs one
 split and one join.
@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from .common import give_back
 
 NEVER = np.int64(1) << 40
+#: Words of more bytes are merged one by one.
+WIDEST = 64
 #: Characters for which normal form is the identity and letters are known below; all below U+0250.
 _plain = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]*")
 _words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -82,11 +84,38 @@ class WordEncoder:
         codes = np.array([a << 32 | b for a, b in self.merges], np.int64)
         order = np.argsort(codes)
         self.codes, self.code_rank = codes[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.made = np.zeros(len(model["merges"]), np.int64)
+        for rank, made in self.merges.values():
+            self.made[rank] = made
+        inner, last = ([self.ids.get(c + end, 0) for c in self.symbols] for end in ("", self.end))
+        self.inner, self.last = np.array(inner, np.int64), np.array(last, np.int64)
+        self.grow()
         self.whole: dict[int, bool] = {}
         self.keep = WORDS_KEPT  # words in the table, about 200 bytes each
         self.known: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
 
+    def grow(self) -> None:
+        """The trie of all pieces over bytes and, as symbol 256, the end mark: its edges in order, and the piece at each node."""
+        edges: dict[int, int] = {}
+        pieces = [-1]
+        for piece, k in self.ids.items():
+            marked = bool(self.end) and piece.endswith(self.end) and piece != self.end
+            body = piece[: -len(self.end)] if marked else piece
+            if not all(c in self.bytes for c in body):
+                continue
+            node = 0
+            for symbol in [*(self.bytes[c] for c in body), *[256] * marked]:
+                code = node * 257 + symbol
+                if code not in edges:
+                    edges[code] = len(pieces)
+                    pieces.append(-1)
+                node = edges[code]
+            pieces[node] = k
+        codes = np.fromiter(edges, np.int64, len(edges))
+        order = np.argsort(codes)
+        self.edges, self.child, self.piece = codes[order], np.fromiter(edges.values(), np.int64, len(edges))[order], np.array(pieces)
+
     # -- one word
 
     def starts(self, word: str) -> list[str]:
@@ -168,35 +197,112 @@ class WordEncoder:
             until_y[right], y[right] = self.rank[y[right]], self.left[y[right]]
         return ok
 
-    def exact(self, word: str) -> list[int]:
-        """The word by the file's own merging."""
-        if not self.end:
-            return self.merged(self.starts(word))
-        return [t.id for t in self.library.model.tokenize("".join(map(self.symbols.__getitem__, word.encode())))]
+    def pair_rank(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The rank at which two neighbours merge; NEVER if they don't, or if one is missing (-1)."""
+        code = first << 32 | second
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.codes[at] == code) & (second >= 0), self.code_rank[at], NEVER)
+
+    def merged_many(self, words: list[str]) -> list[list[int]]:
+        """Exact merging of many words; each round merges one pair of every word that has any."""
+        raw = [w.encode() for w in words]
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.array([len(r) for r in raw])
+        for low, wide in ((0, 8), (8, 12), (12, 20), (20, WIDEST)):
+            own = np.flatnonzero((sizes > low) & (sizes <= wide))
+            if not len(own):
+                continue
+            size = sizes[own]
+            ids = np.full((len(own), wide + 1), -1)
+            ids[:, :wide][np.arange(wide) < size[:, None]] = self.inner[np.frombuffer(b"".join([raw[k] for k in own.tolist()]), np.uint8)]
+            ends = np.arange(len(own)), size - 1
+            ids[ends] = self.last[np.array([raw[k][-1] for k in own.tolist()])]
+            rank = np.full((len(own), wide), NEVER)
+            there = np.arange(wide) < size[:, None] - 1
+            rank[there] = self.pair_rank(ids[:, :wide][there], ids[:, 1:][there])
+            live, column = np.arange(len(own)), np.arange(wide)
+            done = ids.copy()
+            while len(live):
+                at = rank.argmin(axis=1)  # the leftmost of least rank
+                rows = np.arange(len(live))
+                best = rank[rows, at]
+                go = best < NEVER
+                if not go.all():
+                    done[live[~go]] = ids[~go]
+                    live, ids, rank, at, best = live[go], ids[go], rank[go], at[go], best[go]
+                    rows = np.arange(len(live))
+                made = self.made[best]
+                # what stands behind the pair moves up by one
+                behind = column > at[:, None]
+                ids[:, :wide] = np.where(behind, ids[:, 1:], ids[:, :wide])
+                ids[rows, at] = made
+                rank[:, :-1] = np.where(behind[:, :-1], rank[:, 1:], rank[:, :-1])
+                rank[rows, at] = self.pair_rank(made, ids[rows, at + 1])
+                ahead = np.flatnonzero(at)
+                rank[ahead, at[ahead] - 1] = self.pair_rank(ids[ahead, at[ahead] - 1], made[ahead])
+            for k, row in zip(own.tolist(), done.tolist(), strict=True):
+                out[k] = row[: row.index(-1)]
+        for k in np.flatnonzero(sizes > WIDEST).tolist():
+            out[k] = self.merged(self.starts(words[k]))
+        return out
+
+    def proposed(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word, token) of greedy longest match; the last token holds the end mark."""
+        sizes = np.array([len(r) for r in raw])
+        text = np.full(int(sizes.sum()) + len(raw), 256)
+        end = np.cumsum(sizes + 1) - 1
+        text[np.delete(np.arange(len(text)), end)] = np.frombuffer(b"".join(raw), np.uint8)
+        word, at = np.arange(len(raw)), end - sizes
+        node, best, upto = np.zeros(len(raw), np.int64), np.full(len(raw), -1), at.copy()
+        words, tokens = [], []
+        while len(word):
+            symbol = text[at]
+            code = node * 257 + symbol
+            place = np.minimum(np.searchsorted(self.edges, code), len(self.edges) - 1)
+            step = self.edges[place] == code
+            node = np.where(step, self.child[place], 0)
+            at = at + 1
+            # without an end mark a piece may reach the end, with one only a marked piece does
+            fits = step & (self.piece[node] >= 0) & ((symbol == 256) | (at < end + (not self.end)))
+            best, upto = np.where(fits, self.piece[node], best), np.where(fits, at, upto)
+            if (over := ~step | (symbol == 256)).any():
+                words.append(word[over])
+                tokens.append(best[over])
+                at, node = np.where(over, upto, at), np.where(over, 0, node)
+                best = np.where(over, -1, best)
+                if (done := over & (upto >= end + bool(self.end))).any():
+                    word, at, node, best, upto, end = (x[~done] for x in (word, at, node, best, upto, end))
+        word = np.concatenate(words)
+        order = np.argsort(word, kind="stable")
+        return word[order], np.concatenate(tokens)[order]
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words that aren't known yet."""
         words = list(words)
-        guess = [self.greedy(w) for w in words]
-        flat = np.array([k for g in guess for k in g], np.int64)
-        ends = np.cumsum([len(g) for g in guess])
-        inner = np.ones(max(len(flat) - 1, 0), bool)
-        inner[ends[:-1] - 1] = False  # borders between words
-        at = np.flatnonzero(inner)
-        pairs, back = np.unique(flat[at] << 32 | flat[at + 1], return_inverse=True)
+        raw = [w.encode() for w in words]
+        brief = [k for k, r in enumerate(raw) if len(r) <= WIDEST]
+        word, flat = self.proposed([raw[k] for k in brief]) if brief else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        word = np.array(brief, np.int64)[word]
+        inner = np.flatnonzero(word[1:] == word[:-1])  # the left sides of pairs
+        pairs, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
         fits = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
         used, place = np.unique(flat, return_inverse=True)
         sound = np.array([self.stands(k) for k in used.tolist()], bool)[place]
-        word_of = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
-        failed = np.zeros(len(words), bool)
-        failed[word_of[at[~fits]]] = True
-        failed[word_of[~sound]] = True
-        for k in np.flatnonzero(failed).tolist():
-            guess[k] = self.exact(words[k])
-        raw, ends = np.array([k for g in guess for k in g], "<u4").tobytes(), 4 * np.cumsum([len(g) for g in guess])
+        failed = np.ones(len(words), bool)
+        failed[brief] = False
+        failed[word[inner[~fits]]] = True
+        failed[word[~sound]] = True
+        good = ~failed[word]
+        codes, ends = flat[good].astype("<u4").tobytes(), np.cumsum(np.bincount(word[good], minlength=len(words)))
+        self.store([words[k] for k in np.flatnonzero(~failed).tolist()], codes, ends[~failed])
+        again = [words[k] for k in np.flatnonzero(failed).tolist()]
+        merged = self.merged_many(again)
+        self.store(again, np.array([k for m in merged for k in m], "<u4").tobytes(), np.cumsum([len(m) for m in merged]))
+
+    def store(self, words: list[str], codes: bytes, ends: np.ndarray) -> None:
         start = 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.known[word] = raw[start:end]
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.known[word] = codes[start:end]
             start = end
 
     # -- texts

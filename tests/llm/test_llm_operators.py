@@ -466,6 +466,11 @@ def test_bpe_speculation():
     random.seed(10)
     words = {"".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(1, 12))) for _ in range(3000)}
     kept = 0
+    long = {w * 9 + "é" for w in list(words)[:50]} | {"a" * k for k in (1, 2, 3, 7, 8, 9, 12, 13, 20, 21, 63, 64, 65, 200)}
+    some = sorted(words | long)
+    assert coder.merged_many(some) == [coder.merged(coder.starts(w)) for w in some]
+    word, token = coder.proposed([w.encode() for w in some])
+    assert [token[word == k].tolist() for k in range(len(some))] == [coder.greedy(w) for w in some]
     for w in words:
         guess, exact = coder.greedy(w), coder.merged(coder.starts(w))
         pairs = np.array(list(zip(guess, guess[1:], strict=False)), np.int64).reshape(-1, 2)
