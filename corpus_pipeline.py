@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, line dedup, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir), docs being what its predecessor kept, written as
-Parquet and read again. All but the last return the columns of ``documents``.
+Parquet and read again. All but the last return the columns of ``documents``; other columns of
+their input are left out, whatever their names. Defined results of every stage: nulls in any
+column are kept as they are (a null text is scored, split, matched and packed as an empty one);
+very long texts are read whole; repeated rows are rows of their own but for the near copies, of
+which one stays; ties go to the smaller id; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import stored, table
+from glyphmill.llm.common import drop_stored, standing, stored, table
 from glyphmill.llm.jaccard import near_duplicates
 from glyphmill.llm.lines import line_dedup
 from glyphmill.llm.packing import pack
@@ -41,10 +45,16 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays; those without an id or text stay."""
-    groups = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies stays: that of the smallest id, then of the smallest hash of its text, any one of rows that repeat both. Rows without an id or words stay."""
+    rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    key = ["doc_id", "text_hash"]
+    groups = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80).where("doc_id is not null and component_no is not null")
+    members = groups.groupBy(*key).agg(F.min("component_no").alias("component_no"), F.count("*").alias("n"))
+    kept = members.groupBy("component_no").agg(F.min(F.struct(*key, "n")).alias("k")).select("k.*")
+    gone = members.select(*key).join(kept.select(*key), key, "left_anti")
+    twice = kept.where("n > 1").select(*key)
+    once = rows.join(gone, key, "left_anti").join(twice, key, "left_anti")
+    return once.unionByName(rows.join(twice, key, "left_semi").dropDuplicates(key)).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +81,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each on what the one before it wrote."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each on what the one before it wrote; what a stage leaves behind goes once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), standing()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{name}")
+            drop_stored(spark, before, keep=docs)
     return docs

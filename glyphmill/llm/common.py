@@ -42,13 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a temporary one only where none is set, as in tests."""
+    """The checkpoint folder that the session names. Where none is set, a local master, as in tests, gets a temporary one; a cluster has no folder that all its machines see."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         named = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
@@ -68,13 +70,50 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Folders of stored tables that still stand, in order.
+_standing: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and the rows survive lost executors."""
+    """df as a Parquet table in the shared folder: lineage ends here and the rows survive lost executors.
+
+    The table stands until ``drop`` is called with it or ``drop_stored`` for the session.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _standing.append(path)
     with shuffles_released(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _standing:
+        _standing.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing unwritten reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_path)
+
+
+def drop_stored(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables stored since there were ``since``, but for ``keep``. To be called once the results that read them are written."""
+    kept = getattr(keep, "stored_path", None)
+    for path in _standing[since:]:
+        if path != kept:
+            _delete(spark, path)
+
+
+def standing() -> int:
+    """How many stored tables stand."""
+    return len(_standing)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

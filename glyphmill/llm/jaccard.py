@@ -30,7 +30,6 @@ number is null.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import give_back, mix, stored
+from .common import drop, give_back, mix, stored
 from .components import components
 
 U = np.uint64
@@ -52,67 +51,69 @@ P, A, C = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xE7037ED1A0B428DB)
 COUNTED = 2_000_000
 #: Lists longer than this are cells.
 LISTED = 64
-WORDS_KEPT = 200_000
-PART = 1 << 22
-_blank = re.compile(rb"[\x20\x09-\x0d]")
+#: How many of the smaller cells the first round of tiles looks at; the second looks at all.
+LEAD = 16
+#: Words of more bytes are hashed by a library call.
+LONG = 512
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; the table is bounded, words beyond it are hashed each time."""
+_space = np.zeros(256, bool)
+_space[[0x20, *range(0x09, 0x0E)]] = True
+#: The first 0 to 8 bytes of a little-endian number.
+_bytes = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U)
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORDS_KEPT and len(word) < 64:
-            self[word] = h
-        return h
 
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, 64-bit hashes) of the words of lower-cased bytes that end with white space.
 
-_hashes = _Hashes()
-
-
-def words(raw: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, A-Z in lower case, in portions. bytes.split and bytes.lower know just the contract's white space and letters."""
-    at = 0
-    while at < len(raw):
-        cut = _blank.search(raw, at + PART) if at + PART < len(raw) else None
-        end = cut.start() if cut else len(raw)
-        yield raw[at:end].lower().split()
-        at = end
+    A word is taken in eight bytes at a time, each scattered before the next; very long ones are hashed by their bytes at once.
+    """
+    data = np.frombuffer(raw + bytes(8), np.uint8)
+    edges = np.flatnonzero(np.diff(_space[data[:-8]], prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))  # the eight bytes from each place
+    size = ends - starts
+    h = size.astype(U) * C
+    live, at, left = np.arange(len(starts)), starts, size
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[at] & _bytes[np.minimum(left, 8)])) * P
+        go = (left > 8) & (size[live] <= LONG)
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return starts, h
 
 
 def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    parts, ends, total = [], [], 0
-    for t in texts:
-        for some in words((t or "").encode()):
-            parts.append(np.fromiter(map(_hashes.__getitem__, some), U, len(some)))
-            total += len(some)
-        ends.append(total)
-    flat = np.concatenate(parts) if parts else np.zeros(0, U)
-    n = len(flat) - size + 1
+    raw = [(t or "").encode() for t in texts]
+    # bytes.lower knows A-Z alone
+    starts, words = word_hashes((b"\n".join(raw) + b"\n").lower())
+    first = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raw]))
+    n = len(words) - size + 1
     runs = np.zeros(max(n, 0), U)
     for k in range(size if n > 0 else 0):
-        runs = runs * P + flat[k : k + n]
+        runs = runs * P + words[k : k + n]
     runs = mix(runs)
-    out, a = [], 0
-    for b in ends:
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
             out.append(np.unique(runs[a : b - size + 1]).view(np.int64))
         elif b > a:
             with np.errstate(over="ignore"):
                 h = U(b - a) * C
-                for w in flat[a:b]:
+                for w in words[a:b]:
                     h = h * A + w
             out.append(mix(np.array([h], U)).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
-        a = b
     return out
 
 
 def packed(text: str | None) -> bytes:
     """A text's words, one blank between two, in little room."""
-    return zlib.compress(b" ".join(w for some in words((text or "").encode()) for w in some), 1)
+    # bytes.split and bytes.lower know just the contract's white space and letters
+    return zlib.compress(b" ".join((text or "").encode().lower().split()), 1)
 
 
 def exact_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -361,6 +362,7 @@ def _tile(size: int, percent: int):
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         cell, i, j = key
+        frame = frame.drop_duplicates("doc")  # rows that repeat an id and a text
         open_ = _open(frame, "before", i != j)
         use = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
         if not len(use):
@@ -381,7 +383,7 @@ def _tile(size: int, percent: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 512, block_shingles: int = 300_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 1024, block_shingles: int = 600_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: doc_id, n, s1, s2, doc (its set's number), first_id (its set's smallest id), n_links and text_hash of each row; links: every pair a < b of numbers of different sets that reach the threshold, once; tree: links that connect all that is linked).
     """
     least = max(common_least, docs.count() // common_share)
@@ -414,13 +416,14 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
     within = few.withColumnRenamed("doc", "a").join(few.withColumnRenamed("doc", "b"), "grp").where("a < b").select("a", "b")
     across = shared.where("m <= 1024").join(inner.toDF("ga", "a"), "ga").join(inner.toDF("gb", "b"), "gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(across.union(within).where("a <> b").distinct(), "jaccard-pairs")
+    drop(lists)
 
     # cells: of each group's members, of large groups without cells, and of pairs of large groups
-    listed = group.select("grp", "cells", F.posexplode("cells").alias("at", "cell")).select("grp", "cell", F.lit(0).cast("long").alias("tag"), "at", F.expr("slice(cells, 1, least(at, 4))").alias("lead"))
+    listed = group.select("grp", "cells", F.posexplode("cells").alias("at", "cell")).select("grp", "cell", F.lit(0).cast("long").alias("tag"), "at", F.expr(f"slice(cells, 1, least(at, {LEAD}))").alias("lead"))
     none = F.array().cast("array<long>").alias("lead")
     large = plain.where("m > 32").select("grp", F.col("grp").alias("cell"), F.lit(0).cast("long").alias("tag"), F.lit(0).alias("at"), none)
     sides = shared.where("m > 1024").select(F.explode(F.array("ga", "gb")).alias("grp"), F.xxhash64("ga", "gb").alias("cell"))
-    sides = sides.join(group.select("grp", "cells"), "grp").select("grp", "cell", F.col("grp").alias("tag"), F.size("cells").alias("at"), F.expr("slice(cells, 1, 4)").alias("lead"))
+    sides = sides.join(group.select("grp", "cells"), "grp").select("grp", "cell", F.col("grp").alias("tag"), F.size("cells").alias("at"), F.expr(f"slice(cells, 1, {LEAD})").alias("lead"))
     cells = stored(listed.union(large).union(sides).join(member.select("grp", "doc", "n"), "grp"), "jaccard-cells")
     blocks = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
     blocks = blocks.select("cell", F.ceil(F.greatest(F.col("m") / block, F.col("w") / block_shingles)).cast("int").alias("parts"))
@@ -428,18 +431,21 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
     tiles = mine.select("cell", "doc", "own", "tag", "at", "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
     tiles = tiles.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o"))
     spots = stored(tiles.groupBy("cell", "i", "j").applyInPandas(_asked, SPOTS), "jaccard-spots")
+    drop(cells, shared)
 
     asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(spots.select("doc")).distinct()
-    wanted = member.join(asked, "doc", "left_semi").join(group.select("grp", "cells"), "grp").select("doc", "k", "cells", F.col("doc_id").alias("id"), F.col("tk").alias("t"))
-    texts = docs.withColumn("tk", F.xxhash64("text")).join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("tk") == F.col("t"))).select("doc", "text", "k", "cells")
+    wanted = stored(member.join(asked, "doc", "left_semi").select("doc", "k", "grp", F.col("doc_id").alias("id"), F.col("tk").alias("t")), "jaccard-wanted")
+    keys = wanted.select("id", "t", "doc", "k", "grp")
+    small = wanted.count() <= 1_000_000  # 40 bytes each; beyond that both sides are shuffled
+    texts = docs.withColumn("tk", F.xxhash64("text")).join(F.broadcast(keys) if small else keys, (F.col("doc_id") == F.col("id")) & (F.col("tk") == F.col("t"))).select("doc", "text", "k", "grp")
 
     def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, part in slices(whole, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(packed, part), pa.binary()), batch.column(2), batch.column(3)], ["doc", "packed", "k", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(packed, part), pa.binary()), batch.column(2), batch.column(3)], ["doc", "packed", "k", "grp"])
 
-    # rows that repeat an id and a text come once
-    whole = stored(texts.dropDuplicates(["doc"]).mapInArrow(give_back(shrunk), "doc long, packed binary, k long, cells array<long>"), "jaccard-texts")
+    # rows that repeat an id and a text come more than once
+    whole = stored(texts.mapInArrow(give_back(shrunk), "doc long, packed binary, k long, grp long"), "jaccard-texts")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,9 +471,10 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
             yield batch.select(["a", "b", "ka", "kb"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(whole.selectExpr("doc as a", "packed as x", "k as ka"), "a").join(whole.selectExpr("doc as b", "packed as y", "k as kb"), "b").select("a", "b", "ka", "kb", "x", "y")
-    single = stored(both.mapInArrow(give_back(verified), "a long, b long, ka long, kb long"), "jaccard-links")
-    tiled = spots.join(whole, "doc").select("cell", "i", "j", "doc", "own", "tag", F.expr("slice(cells, 1, at)").alias("before"), "packed", "k")
+    single = stored(both.mapInArrow(give_back(verified), "a long, b long, ka long, kb long").distinct(), "jaccard-links")
+    tiled = spots.join(whole, "doc").join(group.select("grp", "cells"), "grp").select("cell", "i", "j", "doc", "own", "tag", F.expr("slice(cells, 1, at)").alias("before"), "packed", "k")
     tiled = stored(tiled.groupBy("cell", "i", "j").applyInPandas(_tile(size, percent), "doc long, near array<long>, tree array<long>, links long"), "jaccard-tiles")
+    drop(whole, spots, pairs)
 
     def listed_pairs(column: str) -> DataFrame:
         far = tiled.select("doc", F.explode(column).alias("other"))
@@ -481,11 +488,11 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links), n_links (all rows it is linked with itself) and text_hash (xxhash64 of the text, which tells rows of one id apart) of each row."""
+    """doc_id, n_shingles, component_id (the smallest id reachable by links), n_links (all rows it is linked with itself), text_hash (xxhash64 of the text, which tells rows of one id apart) and component_no (a component's own number, null without shingles or id) of each row."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows, _, tree = jaccard_links(docs, size=size, percent=percent, **options)
     found = components(tree)
     named = rows.join(found, F.col("doc") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc"))
     least = named.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least"))
     out = named.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "n_links", "text_hash")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "n_links", "text_hash", F.col("component").alias("component_no"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import free_names, give_back, mix, stored
+from .common import drop, free_names, give_back, mix, stored
 
 U = np.uint64
 ANCHOR = 32
@@ -262,6 +262,7 @@ def _crowded(docs: DataFrame, length: int, anchor: int) -> np.ndarray:
     looked = stored(docs.where(F.pmod(F.xxhash64("doc", "key"), F.lit(LOOK)) == 0).select("text").mapInArrow(give_back(run), "anchor long, w1 long"), "repeat-look")
     least = max(CROWD, looked.count() // 100_000)
     found = looked.distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("anchor").collect()
+    drop(looked)
     return np.sort(np.array([r["anchor"] for r in found], np.int64).view(U))
 
 

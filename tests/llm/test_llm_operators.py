@@ -52,8 +52,8 @@ def test_lines(spark):
         assert (got[i]["text"], got[i]["n_lines"], got[i]["n_dropped"]) == ("\n".join(kept), len(ls), len(ls) - len(kept)), i
     assert any(r["n_dropped"] for r in got.values())
     assert lines.line_dedup(docs(spark, [], True)).count() == 0
-    same = spark.createDataFrame([(None, "a\nb")] * 11, "doc_id long, text string")
-    assert [r["text"] for r in lines.line_dedup(same).collect()] == [""] * 11
+    same = spark.createDataFrame([(None, "a\nb", 7, "x", "y")] * 11, "doc_id long, text string, __drop long, _k1 string, __lines string")
+    assert [(r["text"], r["__drop"], r["_k1"], r["__lines"]) for r in lines.line_dedup(same).collect()] == [("", 7, "x", "y")] * 11
 
 
 @pytest.mark.parametrize("dims", [2, 3])
@@ -174,6 +174,20 @@ def test_jaccard_by_words(spark):
     assert got == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0)}
 
 
+def test_word_hashes():
+    """One hash for one word, whatever surrounds it; other words have others, also long ones and those that differ late."""
+    random.seed(16)
+    words = {bytes(random.choices(b"ab\x00\xc3", k=n)) for n in (1, 2, 7, 8, 9, 16, 17, 40, 511, 512, 513, 5000) for _ in range(60)}
+    words = sorted(words) + [w + b"z" for w in words]
+    seen = {}
+    for _ in range(3):
+        random.shuffle(words)
+        raw = b"".join(w + bytes(random.choices(b" \t\n\x0b\x0c\r", k=random.randint(1, 3))) for w in words)
+        for w, h in zip(words, jaccard.word_hashes(raw)[1].tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_exact_sets(monkeypatch):
     texts = ["a b c d e f g", "b c d e f", "a", "A  B", "a b c d e a b c d e a b c d e", "é " * 9]
     for clash in (False, True):
