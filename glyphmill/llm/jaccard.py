@@ -12,8 +12,8 @@ Long lists would pair all members of a family of near copies. Their shingles bec
 members are dealt to tiles of two blocks, and each tile counts overlaps as a matrix product. A
 pair belongs to the smallest cell that it shares, and within a cell to one tile, so every pair
 that shares a prefix shingle is verified and every link comes out once. A first round of tiles
-without texts finds the members that have a pair to verify there, and texts are sent to those
-alone. A tile returns its links as lists of neighbours, a row for each document, with their
+without texts finds the members that have a pair to verify there, by sizes, cells and a bound
+from their prefixes, and texts are sent to those alone. A tile returns its links as lists of neighbours, a row for each document, with their
 numbers and a spanning forest, which is all that the components need. Which shingles become
 cells only steers the work; the result doesn't depend on it.
 
@@ -345,13 +345,30 @@ def _open(frame: pd.DataFrame, column: str, apart: bool) -> np.ndarray:
 SPOTS = "cell long, i int, j int, doc long, own int, tag long, at int"
 
 
-def _asked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """The members of a tile that may have a pair there, told by their first few smaller cells."""
-    cell, i, j = key
-    open_ = _open(frame, "lead", i != j)
-    use = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
-    some = frame.iloc[use]
-    return pd.DataFrame({"cell": cell, "i": i, "j": j, "doc": some["doc"], "own": some["own"], "tag": some["tag"], "at": some["at"]}).astype({"cell": "int64", "i": "int32", "j": "int32"})
+def _asked(percent: int):
+    """The members of a tile that may have a pair there: by their sizes, their first few smaller cells, and what their prefixes share."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        cell, i, j = key
+        open_ = _open(frame, "lead", i != j)
+        n = frame["n"].to_numpy(np.int64)
+        open_ &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        use = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+        if len(use):
+            some, open_ = frame.iloc[use], open_[np.ix_(use, use)]
+            n = n[use]
+            lists = [np.unique(x) for x in some["sketch"]]
+            sizes, whole = (np.array([len(x) for x in c]) for c in (lists, some["sketch"]))
+            # shingles of one set that share their 32 bits count as one, so these are added; an empty sketch bounds nothing
+            shared = _overlaps(np.repeat(np.arange(len(use)), sizes), np.concatenate(lists), len(use)) + np.minimum(*np.broadcast_arrays((whole - sizes)[:, None], (whole - sizes)[None, :]))
+            behind = n - prefix_length(n, percent)
+            enough = shared + np.maximum(behind[:, None], behind[None, :]) >= least_overlap(n[:, None] + n[None, :], percent)
+            open_ &= enough | (sizes == 0)[:, None] | (sizes == 0)[None, :]
+            use = use[open_.any(axis=0) | open_.any(axis=1)]
+        some = frame.iloc[use]
+        return pd.DataFrame({"cell": cell, "i": i, "j": j, "doc": some["doc"], "own": some["own"], "tag": some["tag"], "at": some["at"]}).astype({"cell": "int64", "i": "int32", "j": "int32"})
+
+    return run
 
 
 def _tile(size: int, percent: int):
@@ -400,6 +417,10 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
     lists = stored(_pairs(postings, percent), "jaccard-lists")
     own = lists.where("gb is null").select(F.col("ga").alias("grp"), F.col("token").alias("cell"))
     own = own.union(found.where("size(often) > 0").select("grp", F.explode("often"))).groupBy("grp").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    own = stored(own, "jaccard-own")
+    # 32 bits of each prefix shingle, for a bound of what two groups share there
+    with_cells = found.where("rare is not null").select("grp", "rare", "often").join(own.select("grp"), "grp", "left_semi")
+    sketch = with_cells.groupBy("grp").agg(F.first(F.transform(F.concat("rare", "often"), lambda x: x.bitwiseAND((1 << 31) - 1).cast("int"))).alias("sketch"))
     group = member.groupBy("grp").agg(F.count("*").alias("m")).join(own, "grp", "left").select("grp", "m", F.coalesce("cells", F.array().cast("array<long>")).alias("cells"))
     group = stored(group, "jaccard-groups")
     inner = member.select("grp", "doc")
@@ -424,13 +445,14 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
     large = plain.where("m > 32").select("grp", F.col("grp").alias("cell"), F.lit(0).cast("long").alias("tag"), F.lit(0).alias("at"), none)
     sides = shared.where("m > 1024").select(F.explode(F.array("ga", "gb")).alias("grp"), F.xxhash64("ga", "gb").alias("cell"))
     sides = sides.join(group.select("grp", "cells"), "grp").select("grp", "cell", F.col("grp").alias("tag"), F.size("cells").alias("at"), F.expr(f"slice(cells, 1, {LEAD})").alias("lead"))
-    cells = stored(listed.union(large).union(sides).join(member.select("grp", "doc", "n"), "grp"), "jaccard-cells")
+    cells = listed.union(large).union(sides).join(sketch, "grp", "left").withColumn("sketch", F.coalesce("sketch", F.array().cast("array<int>"))).join(member.select("grp", "doc", "n"), "grp")
+    cells = stored(cells, "jaccard-cells")
     blocks = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
     blocks = blocks.select("cell", F.ceil(F.greatest(F.col("m") / block, F.col("w") / block_shingles)).cast("int").alias("parts"))
     mine = cells.drop("grp").join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int"))
-    tiles = mine.select("cell", "doc", "own", "tag", "at", "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    tiles = mine.select("cell", "doc", "n", "own", "tag", "at", "lead", "sketch", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
     tiles = tiles.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o"))
-    spots = stored(tiles.groupBy("cell", "i", "j").applyInPandas(_asked, SPOTS), "jaccard-spots")
+    spots = stored(tiles.groupBy("cell", "i", "j").applyInPandas(_asked(percent), SPOTS), "jaccard-spots")
     drop(cells, shared)
 
     asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(spots.select("doc")).distinct()
@@ -474,7 +496,7 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
     single = stored(both.mapInArrow(give_back(verified), "a long, b long, ka long, kb long").distinct(), "jaccard-links")
     tiled = spots.join(whole, "doc").join(group.select("grp", "cells"), "grp").select("cell", "i", "j", "doc", "own", "tag", F.expr("slice(cells, 1, at)").alias("before"), "packed", "k")
     tiled = stored(tiled.groupBy("cell", "i", "j").applyInPandas(_tile(size, percent), "doc long, near array<long>, tree array<long>, links long"), "jaccard-tiles")
-    drop(whole, spots, pairs)
+    drop(whole, spots, pairs, own)
 
     def listed_pairs(column: str) -> DataFrame:
         far = tiled.select("doc", F.explode(column).alias("other"))
