@@ -11,7 +11,7 @@ Only digests are exchanged to find owners. Payload bytes move once, compressed b
 sorting, which does best on short texts, and each task
 sends a payload that it meets again only once, so groups of copies don't pile up.
 
-Defined results: a null or empty text is one frame of zeros; equal texts share one stored
+Defined results: a null or empty text is one frame of zeros; very long texts are stored whole; equal texts share one stored
 payload and have equal values; repeated rows give repeated rows; null ids are kept; an empty
 table gives an empty table; columns other than the id and the text take no part.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import shuffle_partitions, shuffles_released, stored
+from .common import drop, shuffle_partitions, shuffles_released, stored
 
 FRAME, LEAST, MEAN_BITS, MOST = 64, 512, 11, 8192
 RATE = 8000
@@ -210,8 +210,11 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], re.findall(r"(\w+) \w+(?:,|$)", FACTS))
 
 
-def store_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(manifest: doc_id, n_bytes, media, digests, sizes of each row; the store: one row for each payload, a table bucketed by payload digest)."""
+def store_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(manifest: doc_id, n_bytes, media, digests, sizes of each row; the name of the store: one row for each payload, a table bucketed by payload digest).
+
+    The table lies in ``spark.sql.warehouse.dir``, which must be a folder that all machines share; it is the caller's to drop.
+    """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     manifest = stored(docs.mapInArrow(_manifest, f"doc_id {dict(docs.dtypes)['doc_id']}, {MANIFEST}"), "media-manifest")
@@ -225,7 +228,8 @@ def store_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     name = f"media_store_{uuid.uuid4().hex}"
     with shuffles_released(spark):
         rows.write.bucketBy(n, "media").saveAsTable(name)
-    return manifest, spark.table(name)
+    drop(own)
+    return manifest, name
 
 
 def read_media(manifest: DataFrame, store: DataFrame) -> DataFrame:
@@ -242,12 +246,10 @@ def read_media(manifest: DataFrame, store: DataFrame) -> DataFrame:
 
 def media_features(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_bytes of each row, with the facts of its media as read back from the store."""
-    manifest, store = store_media(df, id_col=id_col, text_col=text_col)
-    facts = stored(read_media(manifest, store), "media-facts")
-    df.sparkSession.sql(f"drop table {store_name(store)}")
+    spark = df.sparkSession
+    manifest, name = store_media(df, id_col=id_col, text_col=text_col)
+    try:
+        facts = stored(read_media(manifest, spark.table(name)), "media-facts")
+    finally:
+        spark.sql(f"drop table {name}")
     return manifest.select("doc_id", "n_bytes", "media").join(facts, "media").drop("media")
-
-
-def store_name(store: DataFrame) -> str:
-    """The table's name, from its plan."""
-    return re.search(r"media_store_\w+", store._jdf.queryExecution().analyzed().toString())[0]

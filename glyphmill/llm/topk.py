@@ -9,10 +9,12 @@ follow the row counts, so that tiles keep their size whatever the input.
 Components are turned into floor(scale * x); products are summed in float32, float64 or whole
 numbers of any size, the first in which they are exact.
 
-Defined results: vectors that are null, empty, or hold a null or non-finite component, and
-rows without an id, take no part; rows that repeat an id count once, with the smallest vector;
-shorter vectors are padded with zeros; ties go to the smaller id; fewer than k candidates give
-fewer rows; an empty table gives no row; other columns take no part.
+Defined results: vectors that are null or hold a null or non-finite component, and rows without
+an id, take no part; an empty vector scores 0 with all others, and shorter vectors are padded
+with zeros; rows that repeat an id are rows of their own: each is a candidate for the others,
+and each that is a query brings its own list; ties go to the smaller id; scores beyond the
+range of a long stand at its ends and tie there; fewer than k candidates give fewer rows; an
+empty table gives no row; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,17 +44,13 @@ def _shards(df: DataFrame, count: int, scale: float) -> DataFrame:
     """Packed matrices of about equal size, rows in order of id."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
         width = max(map(len, frame["v"]))
         data = np.zeros((len(frame), width))
         for k, v in enumerate(frame["v"]):
             data[k, : len(v)] = np.floor(scale * np.asarray(v, float))
         ids = frame["id"].to_numpy(np.int64)
-        keep = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1) != 0)
-        for k in keep[np.diff(keep, append=len(ids)) > 1]:  # ids that repeat: the smallest vector
-            same = np.flatnonzero(ids == ids[k])
-            data[k] = min(data[same].tolist())
-        return _pack(key[0], ids[keep], data[keep])
+        order = np.argsort(ids, kind="stable")
+        return _pack(key[0], ids[order], data[order])
 
     return df.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("shard"), "id", "v").groupBy("shard").applyInPandas(run, PACKED)
 
@@ -65,20 +63,36 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if most < 1 << 53:
         kind = np.float32 if most < 1 << 24 else np.float64
         return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
-    whole = np.frompyfunc(int, 1, 1)  # any size, slowly; scores beyond 62 bits stand at the limit
-    return np.clip(whole(q) @ whole(c).T, int(LOW) + 1, -int(LOW)).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)  # any size, slowly
+    return np.clip(whole(q) @ whole(c).T, int(LOW) + 1, (1 << 63) - 1).astype(np.int64)
+
+
+def own_places(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Where each query stands among the candidates: the first row with its id and vector, -1 if none has. Rows that repeat both are alike, so any of them will do."""
+    width = max(q.shape[1], c.shape[1])
+    q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
+    out = np.full(len(queries), -1)
+    at, end = np.searchsorted(ids, queries), np.searchsorted(ids, queries, side="right")
+    live = np.flatnonzero(at < end)
+    while len(live):
+        same = (q[live] == c[at[live]]).all(axis=1)
+        out[live[same]] = at[live[same]]
+        at[live] += 1
+        live = live[~same]
+        live = live[at[live] < end[live]]
+    return out
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row; ids (the same shape) of -1 << 63 stand for no candidate."""
     if scores.shape[1] > k:
         # all above the k-th best score, then the smallest ids at that score
-        edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        edge = ~np.partition(~scores, k - 1, axis=1)[:, k - 1 : k]  # ~x falls as x rises, without overflow
         rows, cols = np.nonzero(scores >= edge)
     else:
         rows, cols = (x.ravel() for x in np.indices(scores.shape))
     s, i = scores[rows, cols], ids[rows, cols]
-    order = np.lexsort((i, -s, rows))
+    order = np.lexsort((i, ~s, rows))
     rows, s, i = rows[order], s[order], i[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
     width = min(k, scores.shape[1])
@@ -88,7 +102,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return out_i, out_s
 
 
-NONE, LOW = np.int64(-(1 << 63)), np.int64(-(1 << 62))
+NONE = LOW = np.int64(-(1 << 63))
 
 
 def _lists(block: int, part: int, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
@@ -96,12 +110,12 @@ def _lists(block: int, part: int, queries: np.ndarray, ids: np.ndarray, scores:
 
 
 def top_k(
-    df: DataFrame, is_query: Column, *, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, block_rows: int = 1024
+    df: DataFrame, is_query: Column, *, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, block_rows: int = 4096
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the highest integer inner product for each query row."""
     value = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     sound = F.forall(F.col(f"`{vec_col}`"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = df.where(F.col(f"`{id_col}`").isNotNull() & F.coalesce(sound, F.lit(False)) & (F.size(F.col(f"`{vec_col}`")) > 0))
+    rows = df.where(F.col(f"`{id_col}`").isNotNull() & F.coalesce(sound, F.lit(False)))
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), value.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     n_shards, n_blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
@@ -118,9 +132,8 @@ def top_k(
             for row in frame.itertuples():
                 queries = np.frombuffer(row.q_ids, np.int64)
                 ids, data = _unpack(row)
-                scores = products(np.frombuffer(row.q_data, np.float64).reshape(row.q_n, row.q_width), data)
-                own = np.searchsorted(ids, queries)
-                own = np.where(ids[np.minimum(own, len(ids) - 1)] == queries, own, -1)
+                asked = np.frombuffer(row.q_data, np.float64).reshape(row.q_n, row.q_width)
+                scores, own = products(asked, data), own_places(queries, asked, ids, data)
                 scores[np.flatnonzero(own >= 0), own[own >= 0]] = LOW
                 found, at = best(np.broadcast_to(ids, scores.shape), scores, k)
                 yield _lists(row.block, row.shard, queries, found, at)

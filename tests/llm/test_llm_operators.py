@@ -19,7 +19,7 @@ SCHEMA = f"doc_id long, text string, lang string, source string, {CLASH}"
 
 
 def docs(spark, texts, empty=False):
-    """Rows with a null id, null metadata, repeated rows and extra columns."""
+    """Rows with null metadata and extra columns."""
     rows = [(i, t, ["en", "de", None][i % 3], f"src{i % 4}") for i, t in enumerate(texts)]
     extra = tuple([None] * CLASH.count(",")) + (None,)
     return spark.createDataFrame([] if empty else [(*r, *extra) for r in rows], SCHEMA).repartition(3)
@@ -79,6 +79,11 @@ def test_shards(spark):
     order = [r["curve"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
     assert order == sorted(order)
     assert hilbert.hilbert_shards(docs(spark, [], True), dims=["lang", "source"]).count() == 0
+    # whole strings order, however much they share at their beginnings, and beside one that shares nothing
+    urls = [f"https://example.org/a/very/long/common/path/that/goes/on/and/on/for/more/than/64/characters/{i:03}" for i in range(64)] + ["other"]
+    rows = spark.createDataFrame([(i, "t", u) for i, u in enumerate(urls)], "doc_id long, text string, source string")
+    cells = [r["__c0"] for r in hilbert.quantised(rows, ["source"], 4).orderBy("source").collect()]
+    assert cells == sorted(cells) and len(set(cells)) == 16
     assert hilbert.hilbert_shards(docs(spark, texts[:3]), dims=["lang"], n_shards=40).count() == 3
 
 
@@ -237,18 +242,19 @@ def test_components(spark):
 def test_topk(spark):
     random.seed(6)
     rows = [(i, [random.choice([-0.5, 0.0, 0.25, 1.0]) for _ in range(6)]) for i in range(120)]
-    rows += [(120, None), (140, [float("nan")] + [0.0] * 5), (160, [None] + [0.0] * 5), (None, [1.0] * 6), (40, rows[40][1]), (180, []), (200, [1.0, 1.0])]
+    rows += [(120, None), (140, [float("nan")] + [0.0] * 5), (160, [None] + [0.0] * 5), (None, [1.0] * 6), (40, rows[40][1]), (40, rows[41][1]), (180, []), (200, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).repartition(3)
-    vec = {i: [int(np.floor(64 * x)) for x in v] + [0] * (6 - len(v)) for i, v in rows if i is not None and v and all(x is not None and x == x for x in v)}
-    want = set()
-    for q in [i for i in vec if i % 20 == 0]:
-        scored = sorted((-sum(a * b for a, b in zip(vec[q], vec[i], strict=True)), i) for i in vec if i != q)[:20]
-        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
-    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=16, block_rows=3).collect()}
-    assert got == want
+    vec = [(i, [int(np.floor(64 * x)) for x in v] + [0] * (6 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and x == x for x in v)]
+    want = []
+    for a, (q, x) in enumerate(vec):
+        if q % 20 == 0:
+            scored = sorted((-sum(s * t for s, t in zip(x, y, strict=True)), i) for b, (i, y) in enumerate(vec) if a != b)[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=16, block_rows=3).collect()]
+    assert sorted(got) == sorted(want) and sum(q == 180 for q, *_ in got) == 20
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     huge = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 2.0]), (2, [-3e38, 0.0])], "vec_id long, embedding array<double>")
-    assert [r["vec_id"] for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
+    assert [tuple(r)[2:] for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, 1 - (1 << 63))]
 
 
 def test_toxicity(spark):
@@ -496,12 +502,12 @@ def test_bpe_speculation():
 
 def test_media(spark):
     texts = corpus()
-    manifest, store = media.store_media(docs(spark, texts))
-    stored = store.collect()
+    manifest, name = media.store_media(docs(spark, texts))
+    stored = spark.table(name).collect()
     assert len(stored) == len({media.payload(t)[1] for t in texts})
     owned = [d for r in stored for d, o in zip(r["digests"], r["owned"], strict=True) if o]
     assert len(owned) == len(set(owned)) and {d for r in stored for d in r["digests"]} == set(owned)
-    spark.sql(f"drop table {media.store_name(store)}")
+    spark.sql(f"drop table {name}")
     got = media.media_features(docs(spark, texts).union(docs(spark, texts[:2]))).collect()
     assert len(got) == len(texts) + 2
     for r in got:
@@ -541,6 +547,20 @@ def test_packing(spark, library):
     assert packing.pack(docs(spark, [], True), word_bpe()).count() == 0
 
 
+def test_rows_without_id(spark, library):
+    """Null ids beside others, in every operator that takes documents one by one."""
+    rows = spark.createDataFrame([(None, "one two", "en"), (None, None, None), (3, "one two", "de"), (3, "", "en")], "doc_id long, text string, lang string")
+    ids = library.encode("one two", add_special_tokens=False).ids
+    coded = bpe.with_tokens(rows, word_bpe(), decoded_col="decoded").collect()
+    assert sorted((str(r["doc_id"]), len(r["ids"]) // 4) for r in coded) == [("3", 0), ("3", len(ids)), ("None", 0), ("None", len(ids))]
+    pieces = packing.pack(rows, word_bpe(), capacity=16).collect()
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in pieces) == [("3", 1), ("3", len(ids) + 1), ("None", 1), ("None", len(ids) + 1)]
+    facts = media.media_features(rows).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"]) for r in facts) == [("3", 0, 64), ("3", 7, 64), ("None", 0, 64), ("None", 7, 64)]
+    placed = hilbert.hilbert_shards(rows, dims=["lang"], n_shards=2).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in placed) == [("3", 16), ("3", 23), ("None", 16), ("None", 23)] and Counter(r["shard"] for r in placed) == {0: 2, 1: 2}
+
+
 def test_differencing():
     random.seed(12)
     sizes = np.array([random.randint(1, 512) for _ in range(600)])
