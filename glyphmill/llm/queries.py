@@ -30,7 +30,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +121,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": r"""
+        with recursive words as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+            from documents),
+        sets as (
+            select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+            from words),
+        one as (select doc_id, len(s) as n, unnest(s) as x from sets),
+        links as (
+            select a.doc_id as a, b.doc_id as b from one a join one b on a.x = b.x and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach(a, b) as (select doc_id, doc_id from sets union select r.a, l.b from reach r join links l on r.b = l.a)
+        select doc_id, len(s)::bigint as n_shingles, (select min(b) from reach where a = doc_id) as component_id, (select count(*) from links where a = doc_id) as n_links from sets
+    """,
+    "op5_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+        w as (
+            select doc_id, unnest(range(0, n - 99)) as s, unnest(list_transform(range(0, n - 99), lambda i: md5(substr(h, 2 * i + 1, 200)))) as m
+            from d where n >= 100),
+        again as (select doc_id, s from w qualify row_number() over (partition by m order by doc_id, s) > 1),
+        parts as (select doc_id, s, case when s <= lag(s) over o + 100 then 0 else 1 end as fresh from again window o as (partition by doc_id order by s)),
+        runs as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as k from parts),
+        spans as (select doc_id, k, min(s) as a, max(s) + 100 as b from runs group by doc_id, k),
+        gaps as (
+            select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from spans
+            union all select d.doc_id, coalesce(max(x.b), 0), any_value(d.n) from d left join spans x using (doc_id) group by d.doc_id),
+        kept as (select g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a) as k from gaps g join d using (doc_id) group by g.doc_id)
+        select d.doc_id, n as n_bytes, coalesce((select sum(b - a) from spans x where x.doc_id = d.doc_id), 0)::bigint as n_removed,
+            (select count(*) from spans x where x.doc_id = d.doc_id) as n_spans, sha256(unhex(k)) as kept_sha256
+        from d join kept using (doc_id)
+    """,
     "op3_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
