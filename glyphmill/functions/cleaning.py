@@ -102,14 +102,15 @@ def collapse_marks(text: Column) -> Column:
 @F.pandas_udf(StringType())
 def _unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
-        yield t.map(html.unescape, na_action="ignore")
+        yield t.map(lambda x: html.unescape(x) if "&" in x else x, na_action="ignore")
 
 
 def unescape_html(text: Column, udf: bool = True) -> Column:
-    """Entities decoded; then five common ones once more. Without udf, only a chain of common entities is decoded."""
-    if udf:
-        # rows without an ampersand never reach Python's decoder
-        text = F.when(F.contains(text, F.lit("&")), _unescape(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+    """Entities decoded; then five common ones once more. Without udf, only a chain of common entities is decoded.
+
+    The text stands once in the expression, so that all steps before it are computed once.
+    """
+    text = _unescape(text) if udf else text
     for entity, char in (("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text

@@ -154,9 +154,12 @@ def words_only(kws: Column) -> Column:
 
 def post_process(
     kws: str, text: str, *, least: float | None = None, english: bool = True, stopwords: list[str] | None = None, contains: bool = False, time: bool = True, date: bool = True,
-    longest: int = 6, original: bool = True, ratio: float = 2.0, n: int | None = 8, dedupe_words: bool = True,
+    longest: int = 6, original: bool = True, ratio: float = 2.0, n: int | None = 8, dedupe_words: bool = True, backfill: bool = True,
 ) -> Column:
-    """All steps in order, for columns named ``kws`` and ``text``; no row leaves its partition."""
+    """All steps in order, for columns named ``kws`` and ``text``; no row leaves its partition.
+
+    ``backfill`` changes nothing: it would fill up from the list that has passed the filters, of which none is left out when fewer than n are chosen.
+    """
     steps: list[Callable[[Column], Column]] = [drop_empty, sort_by_score]
     if dedupe_words:
         steps.append(dedupe)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,10 +38,34 @@ PRESETS["sentiment"] = replace(PRESETS["keyword"], format_weight=0.3, quality_we
 PRESETS["entity"] = replace(PRESETS["keyword"], format_weight=0.25, quality_weight=0.25, accuracy_weight=0.4, required=("entities",))
 
 
+Words = Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Reward:
+    """A configuration with the caller's hooks: ``words`` takes the keywords from an object's JSON text (the default takes scored ones); validators are kept for the caller by name."""
+
+    config: RewardConfig
+    words: Words | None = None
+    validators: dict[str, Callable] = field(default_factory=dict)
+
+    def parts(self, completion: Column, solution: Column, prompt: Column) -> dict[str, Column]:
+        return reward_parts(completion, solution, prompt, self.config, self.words)
+
+
 def register(name: str, config: RewardConfig) -> None:
     PRESETS[name] = config
 
 
+def names() -> list[str]:
+    return list(PRESETS)
+
+
+def create(name: str = "default", config: RewardConfig | None = None, words: Words | None = None, validators: dict[str, Callable] | None = None) -> Reward:
+    """A reward by a registered name; unknown names mean the given configuration, or the default one."""
+    return Reward(config or PRESETS.get(name, RewardConfig()), words, validators or {})
+
+
 def thinking_score(thinking: Column, c: RewardConfig) -> Column:
     n = F.length(thinking)
     some = F.lit(0.5) + F.when(n.between(c.min_thinking, c.max_thinking), 0.3).otherwise(0.0)
@@ -110,13 +135,18 @@ def has_content(obj: Column) -> Column:
     return F.when(F.array_contains(F.json_object_keys(obj), "keywords"), own).otherwise(F.coalesce(some, F.lit(False)))
 
 
-def reward_parts(completion: Column, solution: Column, prompt: Column, c: RewardConfig = PRESETS["keyword"]) -> dict[str, Column]:
+def parse_solution(solution: Column, words: Words | None = None) -> Column:
+    """The keywords of a reference answer: those of the object between its outer braces, none if it doesn't parse."""
+    return (words or scored_keywords)(reward_json(solution, F.lit(None).cast("string")))
+
+
+def reward_parts(completion: Column, solution: Column, prompt: Column, c: RewardConfig = PRESETS["keyword"], words: Words | None = None) -> dict[str, Column]:
     """Each part and the total, by name."""
     thinking = extract_thinking(completion, c.thinking_tag)
     obj = reward_json(completion, thinking, c.thinking_tag)
-    words, gold = scored_keywords(obj), scored_keywords(reward_json(solution, F.lit(None).cast("string")))
-    penalty = hallucination_penalty(words, source_text(prompt), c) if c.check_source else F.lit(0.0)
-    parts = {"thinking": thinking_score(thinking, c), "format": format_score(obj, c), "quality": quality_score(obj, c), "penalty": penalty, "f1": f1(words, gold)}
+    found, gold = (words or scored_keywords)(obj), parse_solution(solution, words)
+    penalty = hallucination_penalty(found, source_text(prompt), c) if c.check_source else F.lit(0.0)
+    parts = {"thinking": thinking_score(thinking, c), "format": format_score(obj, c), "quality": quality_score(obj, c), "penalty": penalty, "f1": f1(found, gold)}
     parts = {k: F.coalesce(v, F.lit(0.0)) for k, v in parts.items()}
     start = parts["thinking"] + parts["format"]
     given = F.coalesce(solution, F.lit("")) != ""

@@ -51,6 +51,7 @@ class FieldSpec:
     item_kind: Kind | None = None
     item_schema: TaskSchema | None = None
     default: Any = None
+    examples: list[Any] | None = None
 
     def json_schema(self) -> dict:
         out: dict[str, Any] = {"type": "array" if self.kind is Kind.ARRAY_OF_OBJECTS and self.item_schema else self.kind.value, "description": self.description}
@@ -62,10 +63,11 @@ class FieldSpec:
             out |= {k: v for k, v in (("minimum", self.min_value), ("maximum", self.max_value)) if v is not None}
         if self.kind is Kind.ARRAY:
             out |= {k: v for k, v in (("minItems", self.min_length), ("maxItems", self.max_length)) if v is not None}
-            out |= {"items": {"type": self.item_kind.value}} if self.item_kind else {}
+            items = {"type": self.item_kind.value} if self.item_kind else self.item_schema.json_schema() if self.item_schema else None
+            out |= {"items": items} if items else {}
         if self.kind is Kind.ARRAY_OF_OBJECTS and self.item_schema:
             out["items"] = self.item_schema.json_schema()
-        return out
+        return out | ({"examples": self.examples} if self.examples else {})
 
     def spark_type(self) -> T.DataType:
         if self.kind is Kind.ARRAY:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import preprocess_training, strip
+from ..functions.jsonx import parse_dpo, parse_first_last_brace
+from ..functions.prompts import dpo_prompt, keyword_prompt
+from .extraction import Client, settled
+
 MESSAGE = "struct<role:string,content:string>"
 
 
@@ -32,15 +40,69 @@ def sample_size(name: str) -> int:
 
 
 def indexed(df: DataFrame, order: str, *partition: str) -> DataFrame:
-    """A 0-based index in input order, within a partition column if the table is large."""
-    return df.withColumn("index", (F.row_number().over(Window.partitionBy(*partition).orderBy(order)) - 1).cast("long"))
+    """A 0-based ``index`` in the given order, within the partition columns if there are any.
+
+    Rows are sorted by range over all tasks; an index is a row's place in its task's part of its
+    group and the counts of the parts before, one small row for each. No group is one task's.
+    """
+    keys = [*partition, order]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = settled(df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    part = [F.shiftright("__at", 33).alias("__part")]
+    counts = sorted_.select(*partition, *part, "__at").groupBy(*partition, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*partition).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    there = F.lit(True)
+    left, right = sorted_.select("*", *part).alias("l"), starts.alias("r")
+    for c in [*partition, "__part"]:
+        there &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    index = (F.col("l.__at") - F.col("r.__first") + F.col("r.__before")).cast("long").alias("index")
+    return left.join(right, there).select(*(F.col(f"l.`{c}`") for c in df.columns), index)
 
 
 def sft_record(index: Column, comment: Column, clean: Column, raw: Column, keywords: Column) -> Column:
     return F.struct(index.alias("index"), comment.alias("original_comment"), clean.alias("preprocessed_comment"), raw.alias("raw_response"), keywords.alias("keywords"))
 
 
-def envelope(df: DataFrame, category: str, record: Column, index: str, count_name: str) -> DataFrame:
-    """One row for each category: {category, count, results in order of index} as JSON."""
-    rows = df.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), record.alias("r")))), lambda x: x["r"]).alias("results"))
-    return rows.select("category", F.to_json(F.struct("category", F.col("n").alias(count_name), "results"), {"ignoreNullFields": "false"}).alias("json"))
+def dpo_record(index: Column, comment: Column, clean: Column, raw: Column, parsed: Column) -> Column:
+    return F.struct(index.alias("index"), comment.alias("original_comment"), clean.alias("preprocessed_comment"), raw.alias("raw_response"), parsed.alias("parsed_result"))
+
+
+def generated(df: DataFrame, client_factory: Callable[[], Client], kind: str = "dpo", store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(index, comment) -> index, record: clean, drop what is empty then, prompt, call, parse; without an answer the record has nulls. ``kind`` is dpo or sft.
+
+    Answers are written before they are parsed (``store``, else a checkpoint), so none is asked for twice.
+    """
+    clean = df.select("index", F.col("comment").cast("string").alias("comment"), preprocess_training(F.col("comment")).alias("clean")).where(strip(F.col("clean")) != "")
+    system, user = (dpo_prompt if kind == "dpo" else keyword_prompt)(F.col("clean"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = client_factory()
+        for frame in frames:
+            raw = [client(s, u, {}) for s, u in zip(frame["system"], frame["user"], strict=True)]
+            yield frame[["index", "comment", "clean"]].assign(raw=pd.Series(raw, index=frame.index, dtype=object))
+
+    asked = clean.select("index", "comment", "clean", system.alias("system"), user.alias("user"))
+    asked = (store or settled)(asked.mapInPandas(run, f"index {dict(df.dtypes)['index']}, comment string, clean string, raw string"))
+    columns = [F.col(c) for c in ("index", "comment", "clean", "raw")]
+    record = dpo_record(*columns, parse_dpo(F.col("raw"))) if kind == "dpo" else sft_record(*columns, F.get_json_object(parse_first_last_brace(F.col("raw")), "$.keywords"))
+    return asked.select("index", record.alias("record"))
+
+
+def envelope_lines(df: DataFrame, category: str, record: Column, index: str, count_name: str) -> DataFrame:
+    """category, at, line: the lines of one JSON text for each category, {category, count, results in order of index}; a record is a line.
+
+    Records stay rows; only a category's count and last index are put together.
+    """
+    rows = df.select(F.col(category).alias("category"), F.col(index).cast("long").alias("at"), F.to_json(record, {"ignoreNullFields": "false"}).alias("line"))
+    ends = rows.groupBy("category").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    lines = rows.alias("l").join(ends.alias("r"), F.col("l.category").eqNullSafe(F.col("r.category"))).select("l.category", "at", F.concat("line", F.when(F.col("at") < F.col("last"), ",").otherwise("")).alias("line"))
+    name = F.to_json(F.array("category"), {"ignoreNullFields": "false"})
+    head = ends.select("category", (F.col("first") - 1).alias("at"), F.concat(F.lit('{"category":'), F.substr(name, F.lit(2), F.length(name) - 2), F.lit(f',"{count_name}":'), F.col("n").cast("string"), F.lit(',"results":[')).alias("line"))
+    return lines.union(head).union(ends.select("category", (F.col("last") + 1).alias("at"), F.lit("]}").alias("line")))
+
+
+def write_envelopes(lines: DataFrame, path: str) -> None:
+    """A folder for each category; its files, in order of name, hold the lines of its JSON text."""
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(tasks, "category", "at").sortWithinPartitions("category", "at").select("category", "line").write.partitionBy("category").text(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, fields
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning, jsonx, keywords, prompts
-from ..functions.schema import TaskSchema
+from ..functions.schema import SchemaRegistry, TaskSchema
 from . import fallback
 
 
@@ -43,6 +44,11 @@ class Config:
     filter_not_in_original: bool = True
     max_keyword_length: int = 6
     model_name: str = "default"
+    schema_name: str | None = None
+
+    def task_schema(self) -> TaskSchema | None:
+        """The registered schema that the configuration names."""
+        return SchemaRegistry.get(self.schema_name) if self.schema_name else None
 
     @classmethod
     def from_dict(cls, values: dict) -> Config:
@@ -139,38 +145,49 @@ def ask(df: DataFrame, client_factory: Callable[[], Client], config: Config, req
     return df.mapInPandas(run, ", ".join([*kept, "raw string", "attempts int"]))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, so that no later step calls the model again. A local master without one gets a temporary folder; a cluster must name one."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share, or give a store")
+            named = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
+        sc.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def extract(df: DataFrame, schema: TaskSchema, client_factory: Callable[[], Client], config: Config = Config(), builder: prompts.PromptBuilder | None = None, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """id, text -> id, data, keywords, error, is_fallback, attempts, schema_errors.
+    """id, text -> id, data, keywords, error, is_fallback, attempts, schema_errors; a row for each row, also where ids are null ("unknown") or repeated.
 
-    ``store`` materialises the answers (write and read, or checkpoint); without it the answers
-    are checkpointed if the session has a checkpoint folder.
+    ``store`` materialises the answers (write and read); without it they are checkpointed. Data
+    of the fallback are triples of method, keyword and score.
     """
     clean = df.select(F.coalesce(F.col("id").cast("string"), F.lit("unknown")).alias("id"), cleaning.preprocess_inference(F.col("text"), config.enable_preprocess, config.max_comment_length).alias("text"))
     pair = (builder.build(F.col("text")) if builder else prompts.default_prompt(F.col("text"), schema, config.short_text_len))
-    asked = ask(clean.where("text <> ''").select("id", "text", pair[0].alias("system"), pair[1].alias("user")), client_factory, config, schema.required())
-    if store:
-        asked = store(asked)
-    elif df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        asked = asked.checkpoint()
+    asked = ask(clean.where("text <> ''").select(F.monotonically_increasing_id().alias("row"), "id", "text", pair[0].alias("system"), pair[1].alias("user")), client_factory, config, schema.required())
+    asked = (store or settled)(asked.drop("system", "user"))
     parsed = asked.withColumn("data", jsonx.parse_response(F.col("raw"), schema.required()))
     checked = parsed.withColumn("schema_errors", F.when(F.col("data").isNotNull(), schema.errors(F.try_parse_json("data"))))
-    kws = checked.withColumn("__kw", keywords.normalize(F.coalesce(F.try_variant_get(F.try_parse_json("data"), "$.keywords", "array<variant>"), F.array().cast("array<variant>"))))
+    kws = checked.withColumn("kw", keywords.normalize(F.coalesce(F.try_variant_get(F.try_parse_json("data"), "$.keywords", "array<variant>"), F.array().cast("array<variant>"))))
     done = keywords.post_process(
-        "__kw", "text", stopwords=keywords.STOPWORDS if config.filter_stopwords else None, time=config.filter_time, date=config.filter_date,
+        "kw", "text", stopwords=keywords.STOPWORDS if config.filter_stopwords else None, time=config.filter_time, date=config.filter_date,
         longest=config.max_keyword_length if config.filter_long else 0, original=config.filter_not_in_original, n=config.post_process_top_n,
-    ) if config.enable_post_process else F.col("__kw")
+    ) if config.enable_post_process else F.col("kw")
     good = kws.where("data is not null").select("id", "data", F.transform(done, lambda k: k["keyword"]).alias("keywords"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("is_fallback"), "attempts", "schema_errors")
-    failed = parsed.where("data is null").select("id", "text", "attempts")
+    failed = parsed.where("data is null").select("row", "id", "text", "attempts")
     if config.enable_fallback:
-        found = fallback.extract(failed.select("id", "text"), config.fallback_method, config.fallback_top_k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k"))
-        failed = failed.join(found, "id", "left")
+        found = fallback.extract(failed.select(F.col("row").alias("id"), "text"), config.fallback_method, config.fallback_top_k).groupBy(F.col("id").alias("row")).agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "score"))).alias("k"))
+        failed = failed.join(found, "row", "left")
     else:
-        failed = failed.withColumn("k", F.lit(None).cast("array<struct<rank:int,keyword:string>>"))
-    some = F.size("k") > 0
-    words = F.transform("k", lambda k: k["keyword"])
+        failed = failed.withColumn("k", F.lit(None).cast("array<struct<rank:int,keyword:string,score:double>>"))
+    some = F.coalesce(F.size("k") > 0, F.lit(False))
+    label = f"fallback-{fallback.method_name(config.fallback_method)}"
+    triple = F.transform("k", lambda k: F.concat(F.lit(f'["{label}",'), F.to_json(F.array(k["keyword"])).substr(F.lit(2), F.length(F.to_json(F.array(k["keyword"]))) - 2), F.lit(","), k["score"].cast("string"), F.lit("]")))
     bad = failed.select(
-        "id", F.when(some, F.to_json(F.struct(words.alias("keywords")))).alias("data"), F.when(some, words).alias("keywords"),
-        F.when(~some | F.col("k").isNull(), "Extraction failed").alias("error"), F.coalesce(some, F.lit(False)).alias("is_fallback"), "attempts", F.lit(None).cast("array<string>").alias("schema_errors"),
+        "id", F.when(some, F.concat(F.lit('{"keywords":['), F.array_join(triple, ","), F.lit("]}"))).alias("data"), F.when(some, F.transform("k", lambda k: k["keyword"])).alias("keywords"),
+        F.when(~some, "Extraction failed").alias("error"), some.alias("is_fallback"), "attempts", F.lit(None).cast("array<string>").alias("schema_errors"),
     )
     empty = clean.where("text = ''").select(
         "id", F.lit(None).cast("string").alias("data"), F.lit(None).cast("array<string>").alias("keywords"), F.lit("Text is empty after preprocessing").alias("error"), F.lit(False).alias("is_fallback"), F.lit(0).alias("attempts"), F.lit(None).cast("array<string>").alias("schema_errors")

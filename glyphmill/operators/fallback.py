@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Tokenizer = Callable[[Column], Column]
+#: Up to so many keywords document frequencies are sent to the tasks; beyond that they join as a table.
+SENT = 500_000
 
 
 def word_tokens(text: Column) -> Column:
-    """Lower-case runs of letters, in order."""
-    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", " ")), " "), lambda w: w != "")
+    """Lower-case runs of letters, in order; a run of ideographs, which no spaces divide, gives its pairs of neighbours, or itself if it is one.
 
-
-def cjk_bigrams(text: Column) -> Column:
-    """Pairs of neighbouring ideographs, for texts without spaces between words."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\x{4E00}-\x{9FFF}]{2,})"), 1)
-    return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-
-
-def _tokens(df: DataFrame, tokenizer: Tokenizer, least: int) -> DataFrame:
-    return df.select("id", F.posexplode(tokenizer(F.col("text"))).alias("pos", "keyword")).where(F.length("keyword") >= least)
+    A tokenizer may be any function of a Column to an array, so one that knows parts of speech can keep nouns and adjectives alone.
+    """
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\x{4E00}-\x{9FFF}]+|[\p{L}&&[^\x{4E00}-\x{9FFF}]]+)"), 1)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x{4E00}-\x{9FFF}]{2,}"), pairs(r)).otherwise(F.array(r))))
 
 
 def simple(df: DataFrame, k: int = 20, score: float = 0.5, tokenizer: Tokenizer = word_tokens, least: int = 2) -> DataFrame:
@@ -31,48 +30,108 @@ def simple(df: DataFrame, k: int = 20, score: float = 0.5, tokenizer: Tokenizer
     return df.select("id", F.posexplode(F.slice(words, 1, k)).alias("pos", "keyword")).select("id", "keyword", F.lit(score).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
-def tfidf(df: DataFrame, k: int = 8, tokenizer: Tokenizer = word_tokens, least: int = 3, idf: DataFrame | None = None) -> DataFrame:
-    """The k tokens of highest TF-IDF of each text, score min(2w, 1).
+def _kept(text: Column, tokenizer: Tokenizer, least: int) -> Column:
+    """Tokens of at least so many letters; two ideographs are a word."""
+    return F.filter(tokenizer(text), lambda w: (F.length(w) >= least) | ((F.length(w) == 2) & w.rlike(r"^[\x{4E00}-\x{9FFF}]")))
+
+
+def _counted(df: DataFrame, tokenizer: Tokenizer, least: int) -> DataFrame:
+    """id, words (distinct, in order), times: counted within the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tallies = [sorted(Counter(w).items()) for w in batch.column(1).to_pylist()]
+            words, times = ([[x[k] for x in t] for t in tallies] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], ["id", "words", "times"])
+
+    tokens = _kept(F.col("text"), tokenizer, least)
+    return df.select("id", tokens.alias("w")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>")
+
 
-    One exchange by (id, keyword), one by keyword for document frequencies, one by id for ranks;
-    frequencies join as a table, broadcast only if Spark finds it small.
+def _best(df: DataFrame, k: int) -> DataFrame:
+    """(id, words, w) to the k words of highest weight of each row, ranked within the row."""
+    keyed = F.transform(F.arrays_zip("words", "w"), lambda x: F.struct((-x["w"]).alias("m"), x["words"].alias("keyword")))
+    top = df.select("id", F.posexplode(F.slice(F.array_sort(keyed), 1, k)).alias("pos", "x"))
+    return top.select("id", F.col("x.keyword").alias("keyword"), F.least(-2 * F.col("x.m"), F.lit(1.0)).alias("score"), (F.col("pos") + 1).alias("rank"))
+
+
+def tfidf(df: DataFrame, k: int = 8, tokenizer: Tokenizer = word_tokens, least: int = 3, idf: DataFrame | None = None, sent: int = SENT) -> DataFrame:
+    """The k tokens of highest TF-IDF of each text (id, text), score min(2w, 1); rows are texts of their own.
+
+    Tokens are counted within the row, and only distinct words are exchanged, with partial sums. Up
+    to ``sent`` words their frequencies are looked up within the row too; beyond that, and where
+    ``idf`` (keyword, idf) is given, they join as a table and ranks take an exchange by row.
     """
-    counts = _tokens(df, tokenizer, least).groupBy("id", "keyword").agg(F.count("*").alias("c"))
+    counts = _counted(df, tokenizer, least)
     if idf is None:
-        n = df.select("id").distinct().agg(F.count("*").alias("n"))  # one row
-        idf = counts.groupBy("keyword").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("keyword", F.expr("ln((n + 1.0D) / (df + 1.0D)) + 1.0D").alias("idf"))
-    total = Window.partitionBy("id")
-    scored = counts.withColumn("total", F.sum("c").over(total)).join(idf, "keyword").withColumn("w", F.round(F.col("c") / F.col("total") * F.col("idf"), 6))
-    rank = Window.partitionBy("id").orderBy(F.desc("w"), "keyword")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("id", "keyword", F.least(2 * F.col("w"), F.lit(1.0)).alias("score"), "rank")
+        frequencies = counts.select(F.explode("words").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("df"))
+        n = df.agg(F.count("*").alias("n")).first()["n"]
+        some = frequencies.limit(sent + 1).toArrow()
+        if some.num_rows <= sent:
+            known = dict(zip(some.column("keyword").to_pylist(), some.column("df").to_pylist(), strict=True))
+            told = df.sparkSession.sparkContext.broadcast(known)
+
+            def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                get = told.value.__getitem__
+                for batch in batches:
+                    found = [list(map(get, w)) for w in batch.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["id", "words", "times", "df"])
+
+            found = counts.mapInArrow(look, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>, df array<long>")
+            total = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
+            weight = F.zip_with("times", "df", lambda c, d: F.round(c / total * (F.ln((F.lit(float(n)) + 1.0) / (d + 1.0)) + 1.0), 6))
+            return _best(found.select("id", "words", weight.alias("w")), k)
+        idf = frequencies.select("keyword", (F.ln((F.lit(float(n)) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    total = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = counts.withColumn("row", F.monotonically_increasing_id()).select("row", "id", total.alias("total"), F.explode(F.arrays_zip("words", "times")).alias("x"))
+    scored = rows.select("row", "id", F.col("x.words").alias("keyword"), (F.col("x.times") / F.col("total")).alias("tf")).join(idf, "keyword")
+    rank = Window.partitionBy("row", "id").orderBy(F.desc("w"), "keyword")
+    scored = scored.withColumn("w", F.round(F.col("tf") * F.col("idf"), 6)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return scored.select("id", "keyword", F.least(2 * F.col("w"), F.lit(1.0)).alias("score"), "rank")
+
+
+def _ranked(words: list[str], span: int, rounds: int, damping: float) -> tuple[list[str], list[float]]:
+    """Ranks in one text's graph. Edges come from positions: each token meets the next span - 1 ones."""
+    weight: Counter = Counter()
+    for i, a in enumerate(words):
+        for b in words[i + 1 : i + span]:
+            if a != b:
+                weight[a, b] += 1
+                weight[b, a] += 1
+    edges = sorted(weight.items())
+    out: Counter = Counter()
+    for (a, _), w in edges:
+        out[a] += w
+    rank = dict.fromkeys(out, 1.0)
+    for _ in range(rounds):
+        given = dict.fromkeys(rank, 0.0)
+        for (a, b), w in edges:
+            given[b] += rank[a] * (w / out[a])
+        rank = {v: (1 - damping) + damping * s for v, s in given.items()}
+    return list(rank), list(rank.values())
 
 
 def textrank(df: DataFrame, k: int = 8, tokenizer: Tokenizer = word_tokens, least: int = 3, span: int = 5, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """The k tokens of highest rank in each text's graph of tokens that stand within ``span`` of each other.
+    """The k tokens of highest rank in each text's graph of tokens that stand within ``span`` of each other. A graph is one text's, so nothing is exchanged."""
 
-    Edges come from positions, not from all pairs: each token meets the next span - 1 ones. The
-    ranks of one text are spread over its own graph; ids partition every round.
-    """
-    words = F.filter(tokenizer(F.col("text")), lambda w: F.length(w) >= least)
-    near = df.select("id", words.alias("w")).select("id", F.explode(F.expr(f"flatten(transform(w, (a, i) -> transform(slice(w, i + 2, {span - 1}), b -> struct(a, b))))")).alias("e"))
-    edges = near.select("id", F.col("e.a").alias("a"), F.col("e.b").alias("b")).where("a <> b")
-    edges = edges.union(edges.select("id", "b", "a")).groupBy("id", "a", "b").agg(F.count("*").cast("double").alias("w"))
-    out = Window.partitionBy("id", "a")
-    edges = edges.withColumn("share", F.col("w") / F.sum("w").over(out)).drop("w")
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        edges = edges.checkpoint()
-    ranks = edges.select("id", F.col("a").alias("v")).distinct().withColumn("r", F.lit(1.0))
-    for k_round in range(rounds):
-        given = edges.join(ranks.withColumnRenamed("v", "a"), ["id", "a"]).groupBy("id", F.col("b").alias("v")).agg(F.sum(F.col("r") * F.col("share")).alias("s"))
-        ranks = given.select("id", "v", (F.lit(1 - damping) + damping * F.col("s")).alias("r"))
-        if k_round % 4 == 3 and df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            ranks = ranks.checkpoint()
-    most = Window.partitionBy("id")
-    scored = ranks.withColumn("w", F.round(F.col("r") / F.max("r").over(most), 6))
-    rank = Window.partitionBy("id").orderBy(F.desc("w"), "v")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("id", F.col("v").alias("keyword"), F.least(2 * F.col("w"), F.lit(1.0)).alias("score"), "rank")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks = [_ranked(w, span, rounds, damping) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in ranks], pa.list_(pa.string())), pa.array([r for _, r in ranks], pa.list_(pa.float64()))], ["id", "words", "r"])
+
+    tokens = _kept(F.col("text"), tokenizer, least)
+    ranks = df.select("id", tokens.alias("w")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, words array<string>, r array<double>")
+    return _best(ranks.select("id", "words", F.transform("r", lambda r: F.round(r / F.array_max("r"), 6)).alias("w")), k)
+
+
+_METHODS = {"tfidf": tfidf, "textrank": textrank, "simple": simple}
+
+
+def method_name(method: str | None) -> str:
+    """None and unknown names mean TF-IDF."""
+    return method if method in _METHODS else "tfidf"
 
 
 def extract(df: DataFrame, method: str | None = "tfidf", k: int = 8, **more) -> DataFrame:
-    """Dispatch by name; none and unknown names mean TF-IDF."""
-    return {"textrank": textrank, "simple": simple}.get(method or "tfidf", tfidf)(df, k=k, **more)
+    """Dispatch by name."""
+    return _METHODS[method_name(method)](df, k=k, **more)

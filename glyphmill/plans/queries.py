@@ -18,7 +18,7 @@ from ..functions import rewards as W
 from ..functions.schema import KEYWORD_SCHEMA, SENTIMENT_SCHEMA, ExtractionTask, FieldSpec, Kind, TaskSchema
 from ..functions.spans import min_span_udf
 from ..operators import datasets, extraction, fallback, keyword_rows
-from ..operators.clients import canned
+from ..operators.clients import canned, canned_pairs
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +175,13 @@ _top = lambda source, n: f"(select * from (select *, row_number() over (partitio
 STOP = ["the", "of", "and", "der", "die", "que"]
 _stop_sql = "(" + ", ".join(map(quoted, STOP)) + ")"
 _stop_part = " and ".join(f"not contains(keyword, {quoted(w)})" for w in STOP)
-list_step("kw_drop_empty", K.drop_empty)
+def _with_empty(kws: Column) -> Column:
+    """The words with empty and blank ones before, between and behind them."""
+    none = [F.struct(F.lit("").alias("reasoning"), F.lit(w).alias("keyword"), F.lit(0.5).alias("score"), F.lit(0).alias("pos")) for w in ("", " \t", "\u3000")]
+    return F.concat(F.array(*none), F.flatten(F.transform(kws, lambda k: F.array(k, none[1]))))
+
+
+list_step("kw_drop_empty", lambda k: K.drop_empty(_with_empty(k)))
 list_step("kw_sort", K.sort_by_score, order="score desc, pos")
 list_step("kw_dedupe", lambda k: K.dedupe(K.sort_by_score(k)), order="score desc, pos", source=_first)
 list_step("kw_min_score", lambda k: K.min_score(k, 0.5), "score >= 0.5")
@@ -188,10 +194,27 @@ _kept = f"(select * from {_first} where keyword not in {_stop_sql} and length(ke
 _time_sql = "not regexp_matches(keyword, '" + "|".join([r"[零〇一二三四五六七八九十百千万亿]+\s*[点时分秒]", *K.DAY_PARTS, *C.TIME_WORDS]) + "')"
 
 
-@query("kw_post_process", f"with {WORDS_SQL}, s as (select * from {_top(_kept, 8)}) select l.id, coalesce(string_agg(s.keyword, '|' order by score desc, pos), '') as keywords from l left join s on l.id = s.id group by l.id")
+#: Letters to ideographs, so that words hold days, hours, stopwords and, where a letter is left, Latin.
+_ideographs = ("etaoinsrhldu", "好快电池年点昨天早屏质量")
+_made_words = f"select id, low, translate(keyword, {quoted(_ideographs[0])}, {quoted(_ideographs[1])}) as keyword, pos, score from (select r.*, translate(lower(l.text), {quoted(_ideographs[0])}, {quoted(_ideographs[1])}) as low from r join l using (id))"
+_number_sql = r"([零〇一二三四五六七八九十百千万亿壹贰叁肆伍陆柒捌玖拾佰仟萬億两]+|\d+)"
+_hours = "|".join([rf"{_number_sql}\s*[点时分秒]", *K.DAY_PARTS, *C.TIME_WORDS])
+_days = "|".join([rf"{_number_sql}\s*[年月号日]", "^[号日]$", "(周|星期|礼拜)[一二三四五六日天]", "工作日", "周末", "双休", *K.RELATIVE_DAYS, "月[初中末底]", rf"第?{_number_sql}\s*季度"])
+_good = f"trim(keyword) <> '' and score >= 0.2 and not regexp_matches(keyword, '[a-zA-Z]') and not contains(keyword, '好好') and not regexp_matches(keyword, {quoted(_hours)}) and not regexp_matches(keyword, {quoted(_days)}) and length(keyword) <= 6 and contains(low, keyword)"
+
+
+@query("kw_post_process", f"""
+    with {WORDS_SQL}, m as ({_made_words} union all select l.id, '', '九点', 900, 0.9 from l union all select l.id, '', '昨天', 901, 0.8 from l union all select l.id, '', '', 902, 0.7 from l union all select l.id, '', '不在', 903, 0.6 from l),
+    d as (select * from (select *, row_number() over (partition by id, keyword order by score desc, pos) as a from m) where a = 1 and {_good}),
+    s as (select * from (select *, row_number() over (partition by id order by score desc, pos) as b from d) where b <= 8)
+    select l.id, coalesce(string_agg(s.keyword, '|' order by score desc, pos), '') as keywords from l left join s on l.id = s.id where l.text <> '' group by l.id""")
 def kw_post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = _lists(spark, sf_dir).withColumn("low", F.lower("text"))
-    done = K.post_process("kws", "low", stopwords=STOP, n=8, original=False)
+    """All words of a turn, as ideographs, and some odd ones, through all steps: empty, sorted, deduplicated, score, Latin, stopwords, time, date, length, original text, top n."""
+    lists = _lists(spark, sf_dir).where("text <> ''").withColumn("low", F.translate(F.lower("text"), *_ideographs))
+    made = F.transform("kws", lambda k: F.struct(k["reasoning"].alias("reasoning"), F.translate(k["keyword"], *_ideographs).alias("keyword"), k["score"].alias("score"), k["pos"].alias("pos")))
+    odd = [F.struct(F.lit("").alias("reasoning"), F.lit(w).alias("keyword"), F.lit(x).alias("score"), F.lit(900 + i).alias("pos")) for i, (w, x) in enumerate([("九点", 0.9), ("昨天", 0.8), ("", 0.7), ("不在", 0.6)])]
+    lists = lists.withColumn("kws", F.concat(made, F.array(*odd)))
+    done = K.post_process("kws", "low", least=0.2, english=False, stopwords=["好好"], contains=True, n=8, ratio=1.0)
     return lists.select("id", F.array_join(K.words_only(done), "|").alias("keywords"))
 
 
@@ -404,6 +427,10 @@ for _preset in ("keyword", "sentiment", "entity"):
 _words = lambda: W.scored_keywords(J.greedy_object(F.col("raw")))
 on_answers("reward_keywords", lambda: {"n": F.size(_words()).cast("long"), "h": F.md5(F.array_join(_words(), "|").cast("binary"))},
     "case doc_id % 7 when 0 then 2 when 1 then 3 when 5 then 3 else 0 end::bigint as n, md5(case doc_id % 7 when 0 then trim(w) || '|ab' when 1 then '0.25|y|t' when 5 then 'bc|bc|bcdef' else '' end) as h")
+_gold = lambda: W.parse_solution(F.col("raw"))
+on_answers("reward_parse_solution", lambda: {"n": F.size(_gold()).cast("long"), "h": F.md5(F.array_join(_gold(), "|").cast("binary"))},
+    """len(list_filter(list_transform(coalesce(json_extract(obj, '$.keywords[*]'), []), lambda i: case when json_type(i) = 'ARRAY' and json_array_length(i) >= 2 then trim(i->>1) when json_type(i) = 'VARCHAR' then trim(i->>'$') end), lambda x: x is not null))::bigint as n,
+    md5(coalesce(array_to_string(list_filter(list_transform(coalesce(json_extract(obj, '$.keywords[*]'), []), lambda i: case when json_type(i) = 'ARRAY' and json_array_length(i) >= 2 then trim(i->>1) when json_type(i) = 'VARCHAR' then trim(i->>'$') end), lambda x: x is not null), '|'), '')) as h""")
 on_answers("reward_has_content", lambda: {"has": F.coalesce(W.has_content(F.col("obj")), F.lit(False))}, "doc_id % 7 in (0, 1, 2, 3, 5) as has")
 _items = lambda: F.coalesce(F.try_variant_get(F.try_parse_json("obj"), "$.keywords", "array<variant>"), F.array().cast("array<variant>"))
 on_answers("reward_item_valid", lambda: {"n": F.size(F.filter(_items(), lambda i: W.item_valid(i, W.PRESETS["keyword"]))).cast("long")}, "case doc_id % 7 when 0 then 1 + case when length(trim(w)) between 1 and 4 then 1 else 0 end when 5 then 1 else 0 end::bigint as n")
@@ -416,15 +443,15 @@ _checks = {
     "validate_enum": (FieldSpec("l", Kind.STRING, enum=["en", "de"]), "case when l not in ('en', 'de') then 'Field ''l'' value must be one of [''en'', ''de'']' end"),
     "validate_int_range": (FieldSpec("n", Kind.INTEGER, min_value=400, max_value=3000), "case when n < 400 then 'Field ''n'' must not be less than 400' when n > 3000 then 'Field ''n'' must not be greater than 3000' end"),
     "validate_float_range": (FieldSpec("f", Kind.FLOAT, min_value=0.5), "case when n / 1000.0 < 0.5 then 'Field ''f'' must not be less than 0.5' end"),
-    "validate_bool": (FieldSpec("l", Kind.BOOLEAN), "'Field ''l'' should be boolean type'"),
+    "validate_bool": (FieldSpec("b", Kind.BOOLEAN), "case when l = 'fr' then 'Field ''b'' should be boolean type' end"),
     "validate_array": (FieldSpec("a", Kind.ARRAY, min_length=1, max_length=8, item_kind=Kind.STRING), "case when k > 8 then 'Field ''a'' array length must not exceed 8' end"),
 }
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"))
-    made = F.struct(F.col("text").alias("t"), F.col("lang").alias("l"), F.col("n_chars").alias("n"), (F.col("n_chars") / F.lit(1000.0)).alias("f"), F.split("text", "\n").alias("a"))
-    return docs.select("doc_id", F.try_parse_json(F.to_json(made)).alias("v"))
+    made = lambda b: F.to_json(F.struct(F.col("text").alias("t"), F.col("lang").alias("l"), F.col("n_chars").alias("n"), (F.col("n_chars") / F.lit(1000.0)).alias("f"), F.split("text", "\n").alias("a"), b.alias("b")))
+    return docs.select("doc_id", F.try_parse_json(F.when(F.col("lang") == "fr", made(F.lit("true"))).otherwise(made(F.col("n_chars") > 700))).alias("v"))
 
 
 _record_sql = "(select doc_id, text as t, lang as l, n_chars as n, len(string_split(text, chr(10))) as k from documents)"
@@ -440,7 +467,7 @@ for _name, (_spec, _check) in _checks.items():
     validation(_name, _spec, _check)
 
 
-@query("validate_schema", f"select doc_id, array_to_string(list_filter([{', '.join(f'({x})' for x in [c for _, c in _checks.values()])}], lambda e: e is not null), '; ') as errors, false as is_valid from {_record_sql}")
+@query("validate_schema", f"select doc_id, array_to_string(list_filter([{', '.join(f'({x})' for x in [c for _, c in _checks.values()])}], lambda e: e is not null), '; ') as errors, len(list_filter([{', '.join(f'({x})' for x in [c for _, c in _checks.values()])}], lambda e: e is not null)) = 0 as is_valid from {_record_sql}")
 def validate_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = TaskSchema("all", [s for s, _ in _checks.values()])
     out = _records(spark, sf_dir).select("doc_id", schema.errors(F.col("v")).alias("errors"))
@@ -529,9 +556,41 @@ def fb_textrank_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fallback.textrank(_turns(spark, sf_dir))
 
 
-@query("fb_route", f"with {ANSWERS}, {OBJ} select doc_id, case when obj is not null and doc_id % 7 <> 3 then 'model' when length(w) > 0 then 'fallback' else 'error' end as route from o")
+@query("fb_cjk", f"""
+    with t as (select doc_id as id, lower(translate(coalesce(text, ''), 'etaoinshrdlu', '好快电池屏幕质量物流包装')) as t from documents),
+    r as (select id, regexp_extract_all(t, '[\\x{{4E00}}-\\x{{9FFF}}]+|[a-zà-öø-ÿœßŸ]+') as r from t),
+    x as (select id, flatten(list_transform(r, lambda w: case when regexp_matches(w, '^[\\x{{4E00}}-\\x{{9FFF}}][\\x{{4E00}}-\\x{{9FFF}}]') then list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) else [w] end)) as w from r),
+    k as (select id, unnest(w) as keyword, generate_subscripts(w, 1) as pos from x),
+    f as (select id, keyword, min(pos) as pos from k where length(keyword) >= 2 group by all)
+    select id, keyword, 0.5::double as score, rank::int as rank from (select *, row_number() over (partition by id order by pos) as rank from f) where rank <= 20""")
+def fb_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ideographs and Latin letters: pairs of neighbours and words."""
+    text = F.translate("text", "etaoinshrdlu", "好快电池屏幕质量物流包装")
+    return fallback.simple(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))))
+
+
+_heard = "case when doc_id % 3 = 0 then 'model' when regexp_matches(t, '\\p{L}{3}') then 'fallback' else 'error' end"
+
+
+@query("fb_route", f"""
+    with p as (select doc_id, coalesce(text, '') as t from documents)
+    select doc_id::varchar as id, {_heard} as route, case when doc_id % 3 = 0 then 1 else 4 end::int as attempts, case when doc_id % 3 = 0 then 'b' end as first_keyword from p""")
 def fb_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers(spark, sf_dir).select("doc_id", F.when(J.parse_response(F.col("raw"), ["keywords"]).isNotNull(), "model").when(F.length("w") > 0, "fallback").otherwise("error").alias("route"))
+    """What extraction answers from: a model that knows every third document, else the fallback, else nothing."""
+
+    def knowing():
+        def client(system: str, user: str, params: dict) -> str | None:
+            return '{"keywords": [["r", "b", 0.9]]}' if "是yes" in user else "no json"
+
+        return client
+
+    docs = spread(table(spark, sf_dir, "documents")).selectExpr("doc_id as id", "coalesce(text, '') as text", "doc_id % 3 = 0 as known")
+    builder = P.PromptBuilder(ExtractionTask("route", KEYWORD_SCHEMA))
+    config = extraction.Config(filter_not_in_original=False, enable_preprocess=False)
+    marked = docs.select("id", F.concat(F.when(F.col("known"), "是yes ").otherwise("是 "), "text").alias("text"))
+    found = extraction.extract(marked, KEYWORD_SCHEMA, knowing, config, builder)
+    route = F.when(F.col("is_fallback"), "fallback").when(F.col("error").isNull(), "model").otherwise("error")
+    return found.select("id", route.alias("route"), "attempts", F.when(~F.col("is_fallback"), F.col("keywords")[0]).alias("first_keyword"))
 
 
 # ---- data sets, sources and sinks ----
@@ -561,19 +620,30 @@ def gen_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.indexed(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "source")
 
 
-def envelope_query(name: str, count: str) -> None:
-    @query(name, f"select source as category, count(*) as n, sum(doc_id * n_chars)::bigint as s from documents group by source")
+def envelope_query(name: str, count: str, record: Callable[..., Column], last: str, made: Callable[[], Column], sql: str) -> None:
+    line = f"concat('{{\"index\":', doc_id, ',\"original_comment\":', to_json(lang), ',\"preprocessed_comment\":', to_json(source), ',\"raw_response\":null,\"{last}\":', {sql}, '}}', case when doc_id < m then ',' else '' end)"
+
+    @query(name, f"""
+        with e as (select source as category, count(*) as n, min(doc_id) as f, max(doc_id) as m from documents group by source),
+        r as (select source as category, doc_id as at, {line} as line from documents join e on source = category)
+        select * from r union all select category, f - 1, concat('{{"category":', to_json(category), ',"{count}":', n, ',"results":[') from e union all select category, m + 1, ']}}' from e""")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents")
-        record = datasets.sft_record(F.col("doc_id"), F.col("text"), F.col("text"), F.lit(None).cast("string"), F.col("n_chars"))
-        made = datasets.envelope(docs, "source", record, "doc_id", count)
-        back = F.from_json("json", f"struct<{count}:bigint,results:array<struct<index:bigint,keywords:bigint>>>")
-        rows = made.select("category", back.alias("j"))
-        return rows.select("category", F.col(f"j.{count}").alias("n"), F.aggregate(F.transform("j.results", lambda x: x["index"] * x["keywords"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+        row = record(F.col("doc_id"), F.col("lang"), F.col("source"), F.lit(None).cast("string"), made())
+        return datasets.envelope_lines(docs, "source", row, "doc_id", count)
+
+
+envelope_query("sink_sft_envelope", "total_count", datasets.sft_record, "keywords", lambda: F.array("lang", "source"), "concat('[', to_json(lang), ',', to_json(source), ']')")
+envelope_query("sink_dpo_envelope", "actual_processed", datasets.dpo_record, "parsed_result", lambda: F.struct(F.col("n_chars").alias("chosen"), F.lit(None).cast("string").alias("rejected")), "concat('{\"chosen\":', n_chars, ',\"rejected\":null}')")
 
 
-envelope_query("sink_sft_envelope", "total_count")
-envelope_query("sink_dpo_envelope", "actual_processed")
+@query("gen_records")
+def gen_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record chain over all documents, as Chinese comments, with a canned model: cleaned, asked, parsed."""
+    made = F.translate("text", "etaoinshrdlu", "好快电池屏幕质量物流包装")
+    rows = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("index"), made.alias("comment"))
+    out = datasets.generated(rows, canned_pairs)
+    return out.select("index", F.md5(F.col("record.preprocessed_comment").cast("binary")).alias("clean"), F.col("record.parsed_result.chosen_json").isNotNull().alias("parsed"))
 
 
 @query("src_item_coalesce", "select coalesce(doc_id::varchar, 'unknown') as id, length(coalesce(nullif(case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then lang end, ''), text, '')) as n from documents")

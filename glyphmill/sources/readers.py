@@ -60,8 +60,3 @@ def category_name(path: Column) -> Column:
 def write_json_lines(df: DataFrame, path: str) -> None:
     """One object a line, nulls kept."""
     df.write.option("ignoreNullFields", "false").json(path)
-
-
-def write_envelopes(envelopes: DataFrame, path: str) -> None:
-    """One text file row for each category's JSON."""
-    envelopes.write.partitionBy("category").text(path)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import cleaning, jsonx, keywords, rewards, spans
 from glyphmill.functions.schema import KEYWORD_SCHEMA, ExtractionTask, FieldSpec, Kind, SchemaRegistry, TaskSchema
-from glyphmill.operators import extraction, keyword_rows
-from glyphmill.operators.clients import canned
+from glyphmill.operators import datasets, extraction, fallback, keyword_rows
+from glyphmill.operators.clients import canned, canned_pairs, joined_chunks, retrying
 from glyphmill.sources import readers
 from glyphmill.streaming import facade
 
@@ -143,3 +143,97 @@ def test_stream(spark, tmp_path):
     out = facade.keyword_stream(facade.read_items(spark, str(tmp_path / "in")))
     facade.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).first()["keywords"] == ["好用", "电池"]
+
+
+def test_chinese_tokens(spark):
+    text = "这套快速衣穿着非常好，一点不显胖 Nice衣 x"
+    words = one(spark, fallback.word_tokens(F.col("t")), t=text)
+    assert words == ["这套", "套快", "快速", "速衣", "衣穿", "穿着", "着非", "非常", "常好", "一点", "点不", "不显", "显胖", "nice", "衣", "x"]
+    rows = spark.createDataFrame([(1, text), (2, "衣服很好"), (2, None)], "id long, text string")
+    for method in ("tfidf", "textrank", "simple", None, "other"):
+        found = fallback.extract(rows, method, 5).collect()
+        assert {r["id"] for r in found} == {1, 2} and all(0 < r["score"] <= 1 and len(r["keyword"]) >= 2 for r in found), method
+
+
+def test_tfidf_forms_agree(spark):
+    random.seed(2)
+    texts = [(k, " ".join(random.choices(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"], k=random.randint(0, 30)))) for k in range(50)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    a, b = ({tuple(r) for r in fallback.tfidf(df, 3, sent=n).collect()} for n in (100, 0))
+    assert a == b and len(a) > 100
+
+
+def test_extraction_tells_rows_apart(spark):
+    """Items without an id, and items that share one, keep their own keywords; the fallback's data are triples."""
+    rows = spark.createDataFrame([(None, "alpha screen"), (None, "bright battery"), ("7", "green apple"), ("7", "yellow melon")], "id string, text string")
+    out = extraction.extract(rows, KEYWORD_SCHEMA, lambda: lambda s, u, p: None, extraction.Config(enable_preprocess=False)).collect()
+    assert sorted((r["id"], sorted(r["keywords"])) for r in out) == [("7", ["apple", "green"]), ("7", ["melon", "yellow"]), ("unknown", ["alpha", "screen"]), ("unknown", ["battery", "bright"])]
+    data = json.loads(out[0]["data"])["keywords"]
+    assert all(len(x) == 3 and x[0] == "fallback-tfidf" and 0 < x[2] <= 1 for x in data) and [x[1] for x in data] == out[0]["keywords"]
+
+
+def test_generated_records(spark):
+    rows = spark.createDataFrame([(0, "屏幕很好用"), (1, "english only"), (2, None), (3, "物流快。silence")], "index long, comment string")
+
+    def deaf():
+        return lambda system, user, params: None
+
+    got = {r["index"]: r["record"] for r in datasets.generated(rows, canned_pairs).collect()}
+    assert set(got) == {0, 3} and got[0]["preprocessed_comment"] == "屏幕很好用" and json.loads(got[0]["parsed_result"]["chosen_json"])["keywords"]
+    none = {r["index"]: r["record"] for r in datasets.generated(rows, deaf).collect()}
+    assert none[0]["raw_response"] is None and none[0]["parsed_result"] is None
+    sft = {r["index"]: r["record"] for r in datasets.generated(rows, canned, kind="sft").collect()}
+    assert json.loads(sft[0]["keywords"])[0][2] == 0.9 and set(sft[0].asDict()) == {"index", "original_comment", "preprocessed_comment", "raw_response", "keywords"}
+
+
+def test_index_and_envelopes(spark, tmp_path):
+    random.seed(3)
+    rows = [(k, random.choice(["a", "a", "a", 'b "c"', None]), f"t{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, s string, t string").repartition(5)
+    index = {r["k"]: r["index"] for r in datasets.indexed(df, "k", "s").collect()}
+    for s in {r[1] for r in rows}:
+        own = [r[0] for r in rows if r[1] == s]
+        assert [index[k] for k in own] == list(range(len(own)))
+    assert sorted(r["index"] for r in datasets.indexed(df, "k").collect()) == list(range(300))
+    lines = datasets.envelope_lines(df, "s", datasets.sft_record(F.col("k"), F.col("t"), F.col("t"), F.lit(None).cast("string"), F.col("t")), "k", "total_count")
+    datasets.write_envelopes(lines, str(tmp_path / "out"))
+    for folder in (tmp_path / "out").iterdir():
+        if folder.name.startswith("s=") or folder.name.startswith("category="):
+            made = json.loads("".join(f.read_text(encoding="utf-8") for f in sorted(folder.glob("*.txt"))))
+            own = [r for r in rows if r[1] == made["category"]]
+            assert made["total_count"] == len(own) and [x["index"] for x in made["results"]] == [r[0] for r in own] and made["results"][0]["raw_response"] is None
+
+
+def test_streamed_answers_and_patience():
+    lines = [b'data: {"choices": [{"delta": {"role": "assistant"}}]}', b"", b'data: {"choices": [{"delta": {"content": "a\xc3\xa9"}}]}', 'data: {"choices": [{"delta": {"content": "b"}}]}', b"data: [DONE]", b"data: bad"]
+    assert joined_chunks(lines) == "aéb"
+    calls = []
+
+    def client(system, user, params):
+        calls.append(user)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "fine"
+
+    assert retrying(client, attempts=5, pause=0)("s", "u", {}) == "fine" and len(calls) == 3
+    calls.clear()
+    assert retrying(client, attempts=2, pause=0)("s", "u", {}) is None
+
+
+def test_schema_details(spark, tmp_path):
+    inner = TaskSchema("item", [FieldSpec("a", Kind.STRING)])
+    spec = FieldSpec("xs", Kind.ARRAY, item_schema=inner, examples=[["x"]])
+    assert spec.json_schema()["items"] == inner.json_schema() and spec.json_schema()["examples"] == [["x"]]
+    SchemaRegistry.register("inner", inner)
+    assert extraction.Config.from_dict({"schema_name": "inner"}).task_schema() is inner and extraction.Config().task_schema() is None
+    SchemaRegistry.unregister("inner")
+
+
+def test_reward_hooks(spark):
+    assert {"keyword", "sentiment", "entity"} <= set(rewards.names())
+    entities = rewards.create("entity", words=lambda obj: F.from_json(F.get_json_object(obj, "$.entities[*].text"), "array<string>"), validators={"any": len})
+    answer = '{"entities": [{"text": "巴黎"}, {"text": "伦敦"}]}'
+    assert one(spark, entities.parts(F.col("a"), F.col("a"), F.col("a"))["f1"], a=answer) == pytest.approx(1.0)
+    assert rewards.create("nothing").config == rewards.RewardConfig() and entities.validators["any"] is len
+    assert one(spark, F.array_join(rewards.parse_solution(F.col("a")), "|"), a='so {"keywords": [["r", " 好 ", 1], "x", 3]} end') == "好|x"
+    assert one(spark, F.size(rewards.parse_solution(F.col("a"))), a="none") == 0
