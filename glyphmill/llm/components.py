@@ -9,7 +9,7 @@ from .common import drop, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id in the columns a and b.
+    """(id, component): the smallest id reachable, for every id in the columns a and b (of any type that has an order).
 
     Large and small stars take turns: each round hangs every vertex's neighbours on the
     smallest one, first the larger, then the smaller ones, until nothing changes; the number

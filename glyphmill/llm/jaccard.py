@@ -50,7 +50,7 @@ U = np.uint64
 P, A, C = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xE7037ED1A0B428DB)
 COUNTED = 2_000_000
 #: Lists longer than this are cells.
-LISTED = 64
+LISTED = 256
 #: How many of the smaller cells the first round of tiles looks at; the second looks at all.
 LEAD = 16
 #: Words of more bytes are hashed by a library call.
@@ -400,9 +400,8 @@ def _tile(size: int, percent: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 1024, block_shingles: int = 600_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: doc_id, n, s1, s2, doc (its set's number), first_id (its set's smallest id), n_links and text_hash of each row; links: every pair a < b of numbers of different sets that reach the threshold, once; tree: links that connect all that is linked).
-    """
+def _linked(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 1024, block_shingles: int = 600_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, tk, n, s1, s2 of each row; sets: s1, s2, doc (the set's number), doc_id (its smallest id), k (rows with an id) and more (rows at the other ends of its links); links, tree: as below)."""
     least = max(common_least, docs.count() // common_share)
     common = _common(docs, size, least)
     order = np.argsort(common)
@@ -504,17 +503,37 @@ def jaccard_links(docs: DataFrame, *, size: int = 5, percent: int = 80, common_l
 
     ends = single.select(F.col("a").alias("doc"), F.col("kb").alias("links")).union(single.select("b", "ka")).union(tiled.select("doc", "links"))
     more = ends.groupBy("doc").agg(F.sum("links").alias("more"))
-    members = rows.select("doc_id", "tk", "n", "s1", "s2").join(member.select("s1", "s2", "doc", "k", F.col("doc_id").alias("first_id")), ["s1", "s2"], "left").join(more, "doc", "left")
+    sets = member.select("s1", "s2", "doc", "doc_id", "k").join(more, "doc", "left")
+    return rows.select("doc_id", "tk", "n", "s1", "s2"), sets, listed_pairs("near"), listed_pairs("tree")
+
+
+def _by_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """What is known of sets, for each row. Sets of very many rows are sent to the rows, so that none of them is one task's."""
+    least = max(1000, rows.count() // 1000)
+    hot = F.broadcast(sets.where(F.col("k") >= least))  # 1000 rows at most
+    some = rows.join(hot, ["s1", "s2"])
+    rest = rows.join(hot.select("s1", "s2"), ["s1", "s2"], "left_anti").join(sets.where(F.col("k") < least), ["s1", "s2"], "left")
     links = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("k") - 1, F.lit(0)) + F.coalesce("more", F.lit(0)))
-    return members.select("doc_id", "n", "s1", "s2", "doc", "first_id", links.alias("n_links"), F.col("tk").alias("text_hash")), listed_pairs("near"), listed_pairs("tree")
+    return some.unionByName(rest).withColumn("n_links", links)
+
+
+def jaccard_links(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: doc_id, n, s1, s2, doc (its set's number), first_id (its set's smallest id) and n_links of each row; links: every pair a < b of numbers of different sets that reach the threshold, once; tree: links that connect all that is linked)."""
+    rows, sets, links, tree = _linked(docs, **options)
+    members = _by_rows(rows, sets.withColumnRenamed("doc_id", "first_id"))
+    return members.select("doc_id", "n", "s1", "s2", "doc", "first_id", "n_links"), links, tree
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links), n_links (all rows it is linked with itself), text_hash (xxhash64 of the text, which tells rows of one id apart) and component_no (a component's own number, null without shingles or id) of each row."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows, _, tree = jaccard_links(docs, size=size, percent=percent, **options)
-    found = components(tree)
-    named = rows.join(found, F.col("doc") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least"))
-    out = named.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "n_links", "text_hash", F.col("component").alias("component_no"))
+    rows, sets, _, tree = _linked(docs, size=size, percent=percent, **options)
+    # a set is its smallest id and its number, so that the smallest set of a component has its smallest id
+    sets = stored(sets.withColumn("v", F.struct(F.col("doc_id").alias("first"), F.col("doc").alias("no"))).drop("doc_id"), "jaccard-info")
+    edges = tree
+    for x in "ab":
+        edges = edges.join(sets.select(F.col("doc").alias(x), F.col("v").alias(f"v{x}")), x)
+    found = components(edges.select(F.col("va").alias("a"), F.col("vb").alias("b")))
+    known = sets.join(found.select(F.col("id.no").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "v"))
+    out = _by_rows(rows, known.select("s1", "s2", "k", "more", F.col("component.first").alias("least"), F.col("component.no").alias("component_no")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "n_links", F.col("tk").alias("text_hash"), "component_no")
