@@ -19,9 +19,12 @@ def word_tokens(text: Column) -> Column:
 
     A tokenizer may be any function of a Column to an array, so one that knows parts of speech can keep nouns and adjectives alone.
     """
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\x{4E00}-\x{9FFF}]+|[\p{L}&&[^\x{4E00}-\x{9FFF}]]+)"), 1)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}]+", " "), " "), lambda w: w != "")
+    runs = F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FFF}]+|[\p{L}&&[^\x{4E00}-\x{9FFF}]]+)"), 1)
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x{4E00}-\x{9FFF}]{2,}"), pairs(r)).otherwise(F.array(r))))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x{4E00}-\x{9FFF}]{2,}"), pairs(r)).otherwise(F.array(r))))
+    return F.when(low.rlike(r"[\x{4E00}-\x{9FFF}]"), mixed).otherwise(words)
 
 
 def simple(df: DataFrame, k: int = 20, score: float = 0.5, tokenizer: Tokenizer = word_tokens, least: int = 2) -> DataFrame:
