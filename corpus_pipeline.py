@@ -34,8 +34,8 @@ def _documents(df: DataFrame) -> DataFrame:
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; the model learns from the labels that aren't held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
-    model = fit_toxicity(docs, labels)
-    return docs.select(*COLUMNS).where(toxicity(F.col("text"), model, spark)["score"] < TOXIC)
+    score = toxicity(F.col("text"), fit_toxicity(docs, labels), spark)["score"]
+    return docs.select(*COLUMNS).where(score < TOXIC)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

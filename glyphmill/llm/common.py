@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The bytes that the contracts call white space: space and \x09 to \x0D.
@@ -120,13 +121,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def give_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A kernel whose worker returns freed memory to the system after each task: workers live on, beside others."""
 
     def kernel(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        with suppress(OSError, AttributeError):  # where the C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return kernel

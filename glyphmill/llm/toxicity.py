@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, stored
+from .common import drop, give_back, stored, trim
 
 _word = re.compile(r"[^\W\d_]+")
 BLOCK = 32
@@ -242,7 +242,9 @@ def fit_toxicity(
     sizes = pc.fill_null(pc.list_value_length(table.column("words")), 0).to_numpy()
     owner = np.repeat(np.arange(len(y)), sizes)
 
-    spread, n_docs = _frequencies(plain, spark.sparkContext.broadcast(ids), len(ids))
+    told = spark.sparkContext.broadcast(ids)
+    spread, n_docs = _frequencies(plain, told, len(ids))
+    told.unpersist()
     n1 = int(y.sum())
     weight = (np.log((1 + n_docs) / (1 + spread)) + 1) * relevance(*(np.bincount(term[y[owner] == c], minlength=len(ids)) for c in (1, 0)), n1, len(y) - n1)
     ends = np.cumsum(sizes)
@@ -255,14 +257,20 @@ def fit_toxicity(
     model = ToxicityModel(
         ids, weight, BlockMaxIndex([vectors[i] for i in order], len(ids)) if order else None, y[order].astype(float), [own[i] for i in order], k, float((empty.sum() + 0.05) / (len(empty) + 1))
     )
+    drop(rows)
+    examples = [vectors[i] for i in order]
+    del table, flat, words, term, times, owner, vectors, some
+    trim()
     if order:
-        model.steps = _calibration(spark, model, [vectors[i] for i in order])
+        model.steps = _calibration(spark, model, examples)
     return model
 
 
 def _calibration(spark, model: ToxicityModel, vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Each example's vote without itself, against its label; the votes are taken by tasks."""
     sent = spark.sparkContext.broadcast(pickle.dumps((model.index, model.labels, model.k, vectors)))
+    vectors, count = None, len(vectors)
+    trim()
 
     def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, labels, k, own = pickle.loads(sent.value)
@@ -271,7 +279,7 @@ def _calibration(spark, model: ToxicityModel, vectors: list[tuple[np.ndarray, np
             found = [(i, *index.nearest(*own[i], k, leave=i)) for i in frame["id"].tolist()]
             yield pd.DataFrame({"id": [i for i, f, _ in found if len(f)], "vote": [judge.vote(f, c) for _, f, c in found if len(f)]}).astype({"id": "int64", "vote": "float64"})
 
-    rows = spark.range(0, len(vectors), 1, spark.sparkContext.defaultParallelism).mapInPandas(votes, "id long, vote double").toPandas()  # one for each example
+    rows = spark.range(0, count, 1, spark.sparkContext.defaultParallelism).mapInPandas(votes, "id long, vote double").toPandas()  # one for each example
     sent.unpersist()
     if not len(rows):
         return np.zeros(1), np.full(1, float(model.labels.mean()))
@@ -282,6 +290,7 @@ def _calibration(spark, model: ToxicityModel, vectors: list[tuple[np.ndarray, np
 def toxicity(text: Column, model: ToxicityModel, spark) -> Column:
     """A struct of score, example_ids and cosines (the evidence) for a text column."""
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
+    trim()
     state: dict = {}
 
     @F.pandas_udf("score double, example_ids array<string>, cosines array<double>")
