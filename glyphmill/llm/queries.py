@@ -18,6 +18,7 @@ from .packing import pack
 from .suffix import remove_repeats
 from .topk import top_k
 from .toxicity import fit_toxicity, toxicity
+from .trie import borrowed, prefix_trie, turn_items
 
 #: The fixed extra conversation, to be formatted beside the table's own.
 EXTRA_TEXT = r"\### Assistant: </turn> ok"
@@ -105,6 +106,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = turn_items(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    conv = F.col("conv_id")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie(*borrowed(items, lender=conv - conv % 5, heads=heads, most=8))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_jaccard_join": op2_jaccard_join,
@@ -116,11 +124,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_media": op9_media,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": """
+        with t as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first) as pos
+            from conversations where conv_id is not null),
+        own as (select conv_id, list({'role': role, 'text': text} order by pos) as own from t group by conv_id),
+        -- the checksum, bit by bit: a byte comes in, then eight shifts
+        crc as (
+            select conv_id, xor(list_reduce([4294967295::bigint] || flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+                lambda a, v: case when v >= 0 then xor(a, v) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295::bigint) % 9 as h
+            from own),
+        built as (
+            select own.conv_id, coalesce(b.own, [])[1:h] || own.own[h + 1:] as turns
+            from own join crc using (conv_id) left join own b on b.conv_id = own.conv_id - own.conv_id % 5),
+        met as (select conv_id, len(turns) as size, unnest(range(0, len(turns) + 1)) as d, turns from built),
+        keyed as (select conv_id, size, d, md5((turns[1:d])::varchar) || md5(to_json(turns[1:d])) as k, md5((turns[1:d - 1])::varchar) || md5(to_json(turns[1:d - 1])) as up, case when d > 0 then strlen(turns[d].text) else 0 end as n from met),
+        node as (
+            select k, any_value(d) as d, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(n) as n,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where size = d), '')) as ends_sha256
+            from keyed group by k),
+        kids as (select up as k, count(*) as n_children from node where d > 0 group by up),
+        below as (select distinct a.k, b.k as under from keyed a join keyed b on a.conv_id = b.conv_id and b.d >= a.d),
+        sums as (
+            select below.k, sum((u.n_convs - 1) * u.n)::bigint as saved_tokens, count(*) filter (where kids.k is null) as n_leaves
+            from below join node u on u.k = below.under left join kids on kids.k = below.under group by below.k)
+        select node.conv_id, node.d as depth, p.conv_id as parent_conv_id, node.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, node.ends_sha256
+        from node join sums using (k) left join kids using (k) left join node p on node.d > 0 and p.k = node.up
+    """,
     "op2_jaccard_join": r"""
         with recursive words as (
             select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
