@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .bpe import with_tokens
 from .chat import chat_windows, read_back
-from .common import table
+from .codes import books_sha256, vector_codes
+from .common import stored, table
 from .hilbert import hilbert_shards
 from .jaccard import near_duplicates
 from .lines import line_dedup
 from .media import media_features
 from .packing import pack
+from .quality import fit_quality, quality, text_features
 from .suffix import remove_repeats
 from .topk import top_k
 from .toxicity import fit_toxicity, toxicity
@@ -113,6 +115,34 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*borrowed(items, lender=conv - conv % 5, heads=heads, most=8))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), scale=4096.0, n_parts=8, entries=16, rounds=6)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
+def tested(doc_id: Column) -> Column:
+    """Rows that no quality model may learn from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+#: A score from here on is taken for label 1.
+GOOD = 0.3
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(text_features(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-features")
+    labels = table(spark, sf_dir, "labels").where(~tested(F.col("doc_id")))
+    scored = quality(rows, fit_quality(rows, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(tested(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+        "against",
+        "weight",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_jaccard_join": op2_jaccard_join,
@@ -125,11 +155,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": op9_media,
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_quality": op13_quality,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Each round assigns the parts to the books before it and takes means, rounded down."""
+    far = "list_sum(list_transform(list_zip(p.part, b.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    out = """
+        with v as (
+            select vec_id, label, row_number() over () as row, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+        p as (select row, vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] as part from v, range(8) t(p)),
+        b0 as (select p, row_number() over (partition by p order by vec_id, part) - 1 as k, part as entry from p qualify k < 16)"""
+    for r in range(rounds + 1):
+        out += f""",
+        a{r} as (select p.row, p.p, p.part, arg_min(b.k, ({far}, b.k)) as k, min({far}) as far from p join b{r} b on b.p = p.p group by p.row, p.p, p.part)"""
+        if r < rounds:
+            out += f""",
+        s{r} as (select p, k, i, sum(part[i])::bigint as s, count(*) as n from a{r}, range(1, len(part) + 1) t(i) group by p, k, i),
+        m{r} as (select p, k, list((s - (((s % n) + n) % n)) // n order by i) as entry from s{r} group by p, k),
+        b{r + 1} as (select b.p, b.k, coalesce(m.entry, b.entry) as entry from b{r} b left join m{r} m on m.p = b.p and m.k = b.k)"""
+    return out + f""",
+        c as (select row, string_agg(printf('%02x', k), '' order by p) as code, sum(far)::bigint as error from a{rounds} group by row)
+        select v.vec_id, c.code, c.error, (sum(c.error) over (partition by v.label))::bigint as label_error,
+            (select sha256(string_agg(array_to_string(entry, ','), ',' order by p, k)) from b{rounds}) as codebooks_sha256
+        from v join c using (row)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
     "op11_prefix_trie": """
         with t as (
             select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first) as pos
