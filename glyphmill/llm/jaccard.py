@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a grouped prefix join.
 
-A document is its set of distinct word shingles, as 64-bit hashes. In one global order, with
-very common shingles last, two sets that reach the threshold share a shingle within a short
-prefix. Documents with equal sets are one member; members with the same prefix and size are
+A document is its set of distinct word shingles, told apart by their words and named by 64-bit
+tokens; a set is named by a 128-bit digest made of the cryptographic digests of its words. In one
+global order, with very common shingles last, two sets that reach the threshold share a token within
+a short prefix. Documents with equal sets are one member; members with the same prefix and size are
 one group. An inverted index over group prefixes gives pairs of groups, which are filtered by
 size and by the number of shared prefix shingles, then expanded, and the members are verified
 on their words: a tile or a batch of pairs numbers its words and shingles anew, by the words
@@ -30,6 +31,7 @@ number is null.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -53,63 +55,69 @@ COUNTED = 2_000_000
 LISTED = 256
 #: How many of the smaller cells the first round of tiles looks at; the second looks at all.
 LEAD = 16
-#: Words of more bytes are hashed by a library call.
-LONG = 512
 
 
-_space = np.zeros(256, bool)
-_space[[0x20, *range(0x09, 0x0E)]] = True
-#: The first 0 to 8 bytes of a little-endian number.
-_bytes = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U)
+def shingles(texts: list[str | None], size: int) -> list[tuple[np.ndarray, bytes]]:
+    """Of each text the sorted tokens of its distinct shingles, and a digest of their set.
 
-
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, 64-bit hashes) of the words of lower-cased bytes that end with white space.
-
-    A word is taken in eight bytes at a time, each scattered before the next; very long ones are hashed by their bytes at once.
+    A word has a 128-bit digest, a shingle two lanes of 64 bits made of its words' digests; the
+    first is its token, both go into the digest of the set. Shingles are told apart by their words,
+    so there are as many tokens as distinct shingles: those with one token get others in order.
     """
-    data = np.frombuffer(raw + bytes(8), np.uint8)
-    edges = np.flatnonzero(np.diff(_space[data[:-8]], prepend=True))
-    starts, ends = edges[::2], edges[1::2]
-    eight = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))  # the eight bytes from each place
-    size = ends - starts
-    h = size.astype(U) * C
-    live, at, left = np.arange(len(starts)), starts, size
-    while len(live):
-        h[live] = mix(h[live] ^ (eight[at] & _bytes[np.minimum(left, 8)])) * P
-        go = (left > 8) & (size[live] <= LONG)
-        live, at, left = live[go], at[go] + 8, left[go] - 8
-    for k in np.flatnonzero(size > LONG).tolist():
-        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
-    return starts, h
-
-
-def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    raw = [(t or "").encode() for t in texts]
-    # bytes.lower knows A-Z alone
-    starts, words = word_hashes((b"\n".join(raw) + b"\n").lower())
-    first = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raw]))
-    n = len(words) - size + 1
-    runs = np.zeros(max(n, 0), U)
-    for k in range(size if n > 0 else 0):
-        runs = runs * P + words[k : k + n]
+    words, counts = [], []
+    for t in texts:
+        # bytes.split and bytes.lower know just the contract's white space and letters
+        own = (t or "").encode().lower().split()
+        words += own
+        counts.append(len(own))
+    distinct = list(dict.fromkeys(words))
+    ids = np.array(list(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, words)), np.int64)
+    lanes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in distinct]), U).reshape(-1, 2)[ids]
+    n = max(len(ids) - size + 1, 0)
+    runs = np.zeros((2, n), U)
+    for k in range(size if n else 0):
+        runs[0] = runs[0] * P + lanes[k : k + n, 0]
+        runs[1] = runs[1] * A + lanes[k : k + n, 1]
     runs = mix(runs)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= size:
-            out.append(np.unique(runs[a : b - size + 1]).view(np.int64))
-        elif b > a:
+    out, at = [], 0
+    for count in counts:
+        if count >= size:
+            out.append(_set(runs[:, at : at + count - size + 1], ids[at : at + count], size))
+        elif count:
+            one = np.array([count, count], U) * C
             with np.errstate(over="ignore"):
-                h = U(b - a) * C
-                for w in words[a:b]:
-                    h = h * A + w
-            out.append(mix(np.array([h], U)).view(np.int64))
+                for lane in lanes[at : at + count]:
+                    one = one * np.array([P, A]) + lane
+            out.append(_set(mix(one).reshape(2, 1), ids[at : at + count], count))
         else:
-            out.append(np.zeros(0, np.int64))
+            out.append((np.zeros(0, np.int64), b""))
+        at += count
     return out
 
 
+def _set(runs: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, bytes]:
+    order = np.argsort(runs[0], kind="stable")
+    token = runs[0][order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = token[1:] != token[:-1]
+    again = np.flatnonzero(~fresh)
+    one, two = order[again], order[again - 1]
+    if all((ids[one + k] == ids[two + k]).all() for k in range(size)):
+        token, second = token[fresh], runs[1][order[fresh]]
+    else:  # different words, one token
+        first = np.unique(ids[np.arange(runs.shape[1])[:, None] + np.arange(size)], axis=0, return_index=True)[1]
+        first = first[np.lexsort((runs[1][first], runs[0][first]))]
+        token, second = runs[0][first], runs[1][first]
+        used: set[int] = set()
+        for k, x in enumerate(token.tolist()):
+            while x in used:
+                x = int(mix(np.array([x], U) + C)[0])
+            used.add(x)
+            token[k] = x
+    digest = hashlib.blake2b(token.tobytes() + second.tobytes(), digest_size=16).digest()
+    return np.sort(token.view(np.int64)), digest
+
+
 def packed(text: str | None) -> bytes:
     """A text's words, one blank between two, in little room."""
     # bytes.split and bytes.lower know just the contract's white space and letters
@@ -156,9 +164,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _two(data: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(data)
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _two(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _common(docs: DataFrame, size: int, least: int) -> np.ndarray:
@@ -173,7 +180,7 @@ def _common(docs: DataFrame, size: int, least: int) -> np.ndarray:
         held: list[np.ndarray] = []
         for whole in batches:
             for _, texts in slices(whole, "text", 1 << 20):
-                held.append(np.concatenate(shingles(texts, size)))
+                held.append(np.concatenate([s for s, _ in shingles(texts, size)]))
                 if sum(map(len, held)) > COUNTED:
                     yield counted(held)
                     held = []
@@ -207,14 +214,14 @@ def _members(docs: DataFrame, size: int, percent: int, sent: Broadcast) -> DataF
         for whole in batches:
             for batch, texts in slices(whole, "text", 1 << 20):
                 rows = []
-                for s in shingles(texts, size):
+                for s, digest in shingles(texts, size):
                     n = len(s)
                     if not n:
                         rows.append((0, None, None, None, None, None))
                         continue
                     rare, often = _prefix(s, percent, tokens, ranks)
-                    one = _two(s.tobytes())
-                    group = _two(np.concatenate([rare, often, [n]]).tobytes())[0]
+                    one = _two(digest)
+                    group = _two(xxhash.xxh3_128_digest(np.concatenate([rare, often, [n]]).tobytes()))[0]
                     if one in seen:
                         rows.append((n, *one, group, None, None))
                     else:
@@ -371,8 +378,8 @@ def _asked(percent: int):
     return run
 
 
-def _tile(size: int, percent: int):
-    """Of each document, the links that belong to the tile: near, each once; tree, those of a forest; links, the rows at the other ends of all."""
+def _tile(size: int, percent: int, every: bool):
+    """Of each document, the links that belong to the tile: near, each once, if ``every`` link is asked for; tree, those of a forest; links, the rows at the other ends of all."""
 
     def rows(doc: np.ndarray, near: list[np.ndarray], tree: list[np.ndarray], links: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"doc": doc, "near": pd.Series(near, dtype=object), "tree": pd.Series(tree, dtype=object), "links": links})
@@ -395,12 +402,12 @@ def _tile(size: int, percent: int):
         tree[kept[:, 0], kept[:, 1]] = True
         links = (linked | linked.T) @ k
         some = np.flatnonzero(links)
-        return rows(docs[some], [docs[linked[x]] for x in some], [docs[tree[x]] for x in some], links[some])
+        return rows(docs[some], [docs[linked[x]] if every else docs[:0] for x in some], [docs[tree[x]] for x in some], links[some])
 
     return run
 
 
-def _linked(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 1024, block_shingles: int = 600_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least: int = 64, common_share: int = 2000, block: int = 1024, block_shingles: int = 600_000, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, tk, n, s1, s2 of each row; sets: s1, s2, doc (the set's number), doc_id (its smallest id), k (rows with an id) and more (rows at the other ends of its links); links, tree: as below)."""
     least = max(common_least, docs.count() // common_share)
     common = _common(docs, size, least)
@@ -494,7 +501,7 @@ def _linked(docs: DataFrame, *, size: int = 5, percent: int = 80, common_least:
     both = pairs.join(whole.selectExpr("doc as a", "packed as x", "k as ka"), "a").join(whole.selectExpr("doc as b", "packed as y", "k as kb"), "b").select("a", "b", "ka", "kb", "x", "y")
     single = stored(both.mapInArrow(give_back(verified), "a long, b long, ka long, kb long").distinct(), "jaccard-links")
     tiled = spots.join(whole, "doc").join(group.select("grp", "cells"), "grp").select("cell", "i", "j", "doc", "own", "tag", F.expr("slice(cells, 1, at)").alias("before"), "packed", "k")
-    tiled = stored(tiled.groupBy("cell", "i", "j").applyInPandas(_tile(size, percent), "doc long, near array<long>, tree array<long>, links long"), "jaccard-tiles")
+    tiled = stored(tiled.groupBy("cell", "i", "j").applyInPandas(_tile(size, percent, every), "doc long, near array<long>, tree array<long>, links long"), "jaccard-tiles")
     drop(whole, spots, pairs, own)
 
     def listed_pairs(column: str) -> DataFrame:
@@ -519,7 +526,7 @@ def _by_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: doc_id, n, s1, s2, doc (its set's number), first_id (its set's smallest id) and n_links of each row; links: every pair a < b of numbers of different sets that reach the threshold, once; tree: links that connect all that is linked)."""
-    rows, sets, links, tree = _linked(docs, **options)
+    rows, sets, links, tree = _linked(docs, every=True, **options)
     members = _by_rows(rows, sets.withColumnRenamed("doc_id", "first_id"))
     return members.select("doc_id", "n", "s1", "s2", "doc", "first_id", "n_links"), links, tree
 

@@ -34,8 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import free_names, give_back, mix
-from .jaccard import word_hashes
+from .common import free_names, give_back, mix, word_hashes
 
 NAMES = (
     "bytes", "words", "word_length", "longest_word", "line_length", "upper", "digits", "marks", "symbols", "exclamations", "beyond_ascii", "bare_words",

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, chat, hilbert, jaccard, lines, media, packing, suffix, topk, toxicity
+from glyphmill.llm import bpe, chat, common, hilbert, jaccard, lines, media, packing, suffix, topk, toxicity
+from glyphmill.llm.common import mix, word_hashes
 from glyphmill.llm.components import components
 from glyphmill.llm.queries import word_bpe
 
@@ -141,7 +142,7 @@ def test_jaccard(spark, options, monkeypatch):
 def test_jaccard_links(spark, options, listed, monkeypatch):
     """Every link of families of different near copies, once, however the shingles are parted; also in a large group (one prefix, one size)."""
     texts = corpus() + [" ".join(f"fam{(i * 7 + (i == j)) % 97}" + ("x" if i == j else "") for i in range(60)) for j in range(60)]
-    group = sorted((" ".join(f"g{k}" for k in range(40)) + f" h{j}" for j in range(500)), key=lambda t: jaccard._prefix(jaccard.shingles([t], 5)[0], 80, np.zeros(0, np.int64), None)[0].tolist())
+    group = sorted((" ".join(f"g{k}" for k in range(40)) + f" h{j}" for j in range(500)), key=lambda t: jaccard._prefix(jaccard.shingles([t], 5)[0][0], 80, np.zeros(0, np.int64), None)[0].tolist())
     monkeypatch.setattr(jaccard, "LISTED", listed)
     texts += group[:80]
     sets = brute_sets(texts)
@@ -179,6 +180,38 @@ def test_jaccard_by_words(spark):
     assert got == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0)}
 
 
+def clashing_words():
+    """Two words of 16 printable characters that the public 64-bit hash of words, eight bytes at a time, can't tell apart, found anew."""
+    heads = np.random.default_rng().integers(97, 123, (200_000, 8), np.uint8)
+    state = mix(np.uint64(16) * common.C ^ heads.view("<u8").ravel()) * common.P
+    # equal after the second block if the states differ as the second blocks do: a difference in the low bits of each byte leaves both printable
+    order = np.argsort(state & np.uint64(0xE0E0E0E0E0E0E0E0))
+    for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+        d = np.array([state[a] ^ state[b]]).view(np.uint8)
+        tail = d ^ 96
+        if (d < 32).all() and (tail < 127).all() and state[a] != state[b]:
+            return heads[a].tobytes().decode() + "`" * 8, (heads[b].tobytes() + tail.tobytes()).decode()
+    raise AssertionError("no pair")
+
+
+def test_jaccard_of_words_with_equal_hashes(spark):
+    """Documents without a common word aren't linked, whatever a 64-bit hash says."""
+    pairs = [("36.{cj<{pt?0r=qz", "mm80wo3m@bo@6w*_"), clashing_words()]
+    for pair in pairs:
+        assert pair[0] != pair[1] and len(set(word_hashes(" ".join((*pair, "")).encode())[1].tolist())) == 1
+    rows = [(10 * k + i, " ".join([pair[i % 2]] * n)) for k, pair in enumerate(pairs) for i, n in enumerate((1, 1, 5, 5))]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"], r["n_shingles"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i, 0, 1) for i, _ in rows}
+
+
+def test_shingles_with_one_token():
+    """Different words stay different shingles, and equal ones one, also where tokens clash."""
+    runs = np.array([[5, 5, 7, 5, 5], [1, 2, 3, 1, 2]], np.uint64)
+    tokens, digest = jaccard._set(runs, np.array([0, 1, 2, 0, 1]), 1)
+    assert len(set(tokens.tolist())) == 3 and {5, 7} < set(tokens.tolist())
+    assert digest == jaccard._set(runs[:, [1, 2, 0]], np.array([1, 2, 0]), 1)[1] != jaccard._set(runs[:, [1, 2]], np.array([1, 2]), 1)[1]
+
+
 def test_word_hashes():
     """One hash for one word, whatever surrounds it; other words have others, also long ones and those that differ late."""
     random.seed(16)
@@ -188,7 +221,7 @@ def test_word_hashes():
     for _ in range(3):
         random.shuffle(words)
         raw = b"".join(w + bytes(random.choices(b" \t\n\x0b\x0c\r", k=random.randint(1, 3))) for w in words)
-        for w, h in zip(words, jaccard.word_hashes(raw)[1].tolist(), strict=True):
+        for w, h in zip(words, word_hashes(raw)[1].tolist(), strict=True):
             assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
 
