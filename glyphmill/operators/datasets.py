@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import preprocess_training, strip
 from ..functions.jsonx import parse_dpo, parse_first_last_brace
 from ..functions.prompts import dpo_prompt, keyword_prompt
-from .extraction import Client, settled
+from .extraction import Client
+from .inflight import answered, one_each
+from .tables import settled
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -68,18 +70,17 @@ def dpo_record(index: Column, comment: Column, clean: Column, raw: Column, parse
     return F.struct(index.alias("index"), comment.alias("original_comment"), clean.alias("preprocessed_comment"), raw.alias("raw_response"), parsed.alias("parsed_result"))
 
 
-def generated(df: DataFrame, client_factory: Callable[[], Client], kind: str = "dpo", store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def generated(df: DataFrame, client_factory: Callable[[], Client], kind: str = "dpo", store: Callable[[DataFrame], DataFrame] | None = None, workers: int = 15) -> DataFrame:
     """(index, comment) -> index, record: clean, drop what is empty then, prompt, call, parse; without an answer the record has nulls. ``kind`` is dpo or sft.
 
-    Answers are written before they are parsed (``store``, else a checkpoint), so none is asked for twice.
+    A task has ``workers`` calls under way. Answers are written before they are parsed (``store``, else a table in the shared folder), so none is asked for twice.
     """
     clean = df.select("index", F.col("comment").cast("string").alias("comment"), preprocess_training(F.col("comment")).alias("clean")).where(strip(F.col("clean")) != "")
     system, user = (dpo_prompt if kind == "dpo" else keyword_prompt)(F.col("clean"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
-        for frame in frames:
-            raw = [client(s, u, {}) for s, u in zip(frame["system"], frame["user"], strict=True)]
+        client = one_each(client_factory)
+        for frame, raw in answered(frames, ["system", "user"], lambda s, u: client()(s, u, {}), workers):
             yield frame[["index", "comment", "clean"]].assign(raw=pd.Series(raw, index=frame.index, dtype=object))
 
     asked = clean.select("index", "comment", "clean", system.alias("system"), user.alias("user"))

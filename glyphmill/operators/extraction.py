@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, fields
 
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, jsonx, keywords, prompts
 from ..functions.schema import SchemaRegistry, TaskSchema
 from . import fallback
+from .inflight import answered, one_each
+from .tables import settled
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,8 @@ class Config:
     filter_long: bool = True
     filter_not_in_original: bool = True
     max_keyword_length: int = 6
+    batch_size: int = 300
+    thread_workers: int = 10
     model_name: str = "default"
     schema_name: str | None = None
 
@@ -123,45 +126,29 @@ def parsable(answer: str | None, required: list[str]) -> bool:
 
 
 def ask(df: DataFrame, client_factory: Callable[[], Client], config: Config, required: list[str]) -> DataFrame:
-    """df (with system and user) and raw, attempts. Write the result before using it twice: a second evaluation calls again."""
+    """df (with system and user) and raw, attempts. A task has ``thread_workers`` calls under way, each thread with a client of its own, and reads ``batch_size`` rows ahead of the answers at most. Write the result before using it twice: a second evaluation calls again."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
-        for frame in frames:
-            raw, tried = [], []
-            for system, user in zip(frame["system"], frame["user"], strict=True):
-                answer, n = None, 0
-                for attempt in range(config.max_retries + 1):
-                    n += 1
-                    answer = call(client, system, user, request_params(config, attempt))
-                    if answer and parsable(answer, required):
-                        break
-                    answer = None
-                raw.append(answer)
-                tried.append(n)
-            yield frame.assign(raw=pd.Series(raw, index=frame.index, dtype=object), attempts=pd.Series(tried, index=frame.index, dtype="int32"))
+        client = one_each(client_factory)
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInPandas(run, ", ".join([*kept, "raw string", "attempts int"]))
+        def answer(system: str, user: str) -> tuple[str | None, int]:
+            for attempt in range(config.max_retries + 1):
+                got = call(client(), system, user, request_params(config, attempt))
+                if got and parsable(got, required):
+                    return got, attempt + 1
+            return None, config.max_retries + 1
 
+        for frame, got in answered(frames, ["system", "user"], answer, config.thread_workers, config.batch_size):
+            yield frame.assign(raw=pd.Series([a for a, _ in got], index=frame.index, dtype=object), attempts=pd.Series([n for _, n in got], index=frame.index, dtype="int32"))
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder, so that no later step calls the model again. A local master without one gets a temporary folder; a cluster must name one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share, or give a store")
-            named = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return df.mapInPandas(run, ", ".join([*kept, "raw string", "attempts int"]))
 
 
 def extract(df: DataFrame, schema: TaskSchema, client_factory: Callable[[], Client], config: Config = Config(), builder: prompts.PromptBuilder | None = None, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id, text -> id, data, keywords, error, is_fallback, attempts, schema_errors; a row for each row, also where ids are null ("unknown") or repeated.
 
-    ``store`` materialises the answers (write and read); without it they are checkpointed. Data
+    ``store`` materialises the answers (write and read); without it they are a table in the shared folder (``tables.release`` deletes it). Data
     of the fallback are triples of method, keyword and score.
     """
     clean = df.select(F.coalesce(F.col("id").cast("string"), F.lit("unknown")).alias("id"), cleaning.preprocess_inference(F.col("text"), config.enable_preprocess, config.max_comment_length).alias("text"))
