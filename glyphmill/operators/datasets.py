@@ -36,6 +36,21 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
+def category_sample(df: DataFrame, special: dict[str, int] | None = None, n: int = 100, seed: int = 42) -> DataFrame:
+    """(category, index, comment) -> the same of n rows of each category without replacement, numbered anew in the order in which they were drawn; categories whose name holds a part named in ``special`` give that many.
+
+    Drawn by the lowest md5 of seed, category and index, cut to n within each task before rows are exchanged.
+    """
+    size = F.lit(n)
+    for part, own in (special or {}).items():
+        size = F.when(F.contains("category", F.lit(part)), own).otherwise(size)
+    drawn = F.md5(F.concat_ws("-", F.lit(str(seed)), "category", F.col("index").cast("string")).cast("binary"))
+    most = max([n, *(special or {}).values()])
+    place = F.row_number().over(Window.partitionBy("category").orderBy("drawn", "index"))
+    few = df.select("category", "index", "comment", drawn.alias("drawn")).withColumn("place", place).where(F.col("place") <= most)
+    return few.where(F.col("place") <= size).select("category", (F.col("place") - 1).cast("long").alias("index"), "comment")
+
+
 def sample_size(name: str) -> int:
     """Files of the special data set give more rows."""
     return 1000 if "special_dataset" in name else 100
