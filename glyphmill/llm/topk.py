@@ -6,8 +6,9 @@ selection of each query's k best. The tiles' lists are merged in a tree, a bound
 a time, so no task sees more than a tile or the lists of a few tiles. Shard and block counts
 follow the row counts, so that tiles keep their size whatever the input.
 
-Components are turned into floor(scale * x); products are summed in float32, float64 or whole
-numbers of any size, the first in which they are exact.
+Components are turned into floor(scale * x), whole numbers of any size where a double can't hold the
+product; inner products are summed in float32, float64 or whole numbers of any size, the first in
+which they are exact.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows without
 an id, take no part; an empty vector scores 0 with all others, and shorter vectors are padded
@@ -19,7 +20,10 @@ empty table gives no row; other columns take no part, whatever their names.
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -27,27 +31,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-PACKED = "shard int, n int, width int, ids binary, data binary"
+PACKED = "shard int, n int, width int, whole boolean, ids binary, data binary"
 LISTS = "block int, part int, queries binary, ids binary, scores binary"
 FAN_IN = 8
 
 
 def _pack(shard: int, ids: np.ndarray, data: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame([(shard, len(ids), data.shape[1], ids.tobytes(), data.tobytes())], columns=["shard", "n", "width", "ids", "data"])
+    whole = data.dtype == object
+    return pd.DataFrame([(shard, len(ids), data.shape[1], whole, ids.tobytes(), pickle.dumps(data) if whole else data.tobytes())], columns=["shard", "n", "width", "whole", "ids", "data"])
 
 
-def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.data, np.float64).reshape(row.n, row.width)
+def _matrix(n: int, width: int, whole: bool, data: bytes) -> np.ndarray:
+    return pickle.loads(data) if whole else np.frombuffer(data, np.float64).reshape(n, width)
+
+
+def scaled(v: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x), as doubles, or as Python's whole numbers if a product is beyond a double."""
+    with np.errstate(over="ignore"):
+        out = np.floor(scale * v)
+    return out if np.isfinite(out).all() else np.array([math.floor(Fraction(scale) * Fraction(x)) for x in v.tolist()], object)
 
 
 def _shards(df: DataFrame, count: int, scale: float) -> DataFrame:
     """Packed matrices of about equal size, rows in order of id."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, frame["v"]))
-        data = np.zeros((len(frame), width))
-        for k, v in enumerate(frame["v"]):
-            data[k, : len(v)] = np.floor(scale * np.asarray(v, float))
+        rows = [scaled(np.asarray(v, float), scale) for v in frame["v"]]
+        data = np.zeros((len(frame), max(map(len, rows))), object if any(r.dtype == object for r in rows) else float)
+        for k, r in enumerate(rows):
+            data[k, : len(r)] = r
         ids = frame["id"].to_numpy(np.int64)
         order = np.argsort(ids, kind="stable")
         return _pack(key[0], ids[order], data[order])
@@ -59,7 +71,7 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products as int64, in the cheapest type that is exact."""
     width = max(q.shape[1], c.shape[1])
     q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width
+    most = np.inf if object in (q.dtype, c.dtype) else float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width
     if most < 1 << 53:
         kind = np.float32 if most < 1 << 24 else np.float64
         return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
@@ -123,7 +135,7 @@ def top_k(
     blocks = _shards(rows.where("q"), n_blocks, scale).withColumnRenamed("shard", "block")
 
     # every tile is one key; both sides are sent once for each tile that needs them
-    left = blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "data")), "block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
+    left = blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("n", "width", "whole", "ids", "data")), "block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
     right = shards.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     tiles = left.join(right.hint("shuffle_hash"), ["block", "shard"])
 
@@ -131,8 +143,8 @@ def top_k(
         for frame in frames:
             for row in frame.itertuples():
                 queries = np.frombuffer(row.q_ids, np.int64)
-                ids, data = _unpack(row)
-                asked = np.frombuffer(row.q_data, np.float64).reshape(row.q_n, row.q_width)
+                ids, data = np.frombuffer(row.ids, np.int64), _matrix(row.n, row.width, row.whole, row.data)
+                asked = _matrix(row.q_n, row.q_width, row.q_whole, row.q_data)
                 scores, own = products(asked, data), own_places(queries, asked, ids, data)
                 scores[np.flatnonzero(own >= 0), own[own >= 0]] = LOW
                 found, at = best(np.broadcast_to(ids, scores.shape), scores, k)
