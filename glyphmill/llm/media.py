@@ -1,13 +1,14 @@
 """Media columns: content-defined chunks, kept once, and chunk lists that rebuild the media.
 
-A text's bytes, padded with zeros to whole frames, are the samples of an 8-bit mono WAV. A
-rolling gear hash cuts the payload where its content says so; chunks go by their digest. Spark
-joins find one owner among all payloads for every digest, and the store, a table bucketed by
-payload digest, has one row for each distinct payload: its ordered chunk list and the bytes of
-those chunks alone that it owns. To read a payload back, its chunks owned elsewhere are joined
-in by digest, the parts are put in order, and the rebuilt payload must hash to its key.
-
-Only digests are exchanged to find owners. Payload bytes move once, compressed by block
+A text's bytes, padded with zeros to whole frames, are the samples of an 8-bit mono WAV, and that
+file, header included, is the medium that is stored. A rolling gear hash cuts it where its content
+says so; chunks go by their digest. Spark joins find one owner among all media for every digest, and
+the store, a table bucketed by the digest of the samples, has one row for each distinct medium: its
+ordered chunk list and the bytes of those chunks alone that it owns. To read a medium back, its
+chunks owned elsewhere are joined in by digest, the parts are put in order, and the samples found in the
+rebuilt file must hash to its key.
+
+Only digests are exchanged to find owners. Media bytes move once, compressed by block
 sorting, which does best on short texts, and each task
 sends a payload that it meets again only once, so groups of copies don't pile up.
 
@@ -129,8 +130,9 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch, texts in slices(whole, "text"):
             made = [payload(t) for t in texts]
-            sizes = cuts([p for _, p in made])
-            digests = [[digest(c) for c in parts(p, s)] for (_, p), s in zip(made, sizes, strict=True)]
+            media = [wav(p) for _, p in made]
+            sizes = cuts(media)
+            digests = [[digest(c) for c in parts(m, s)] for m, s in zip(media, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([hashlib.sha256(p).digest() for _, p in made], pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32()))],
                 ["doc_id", "n_bytes", "media", "digests", "sizes"],
@@ -145,13 +147,13 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in texts:
                 p = payload(t)[1]
                 if (key := hashlib.sha256(p).digest()) not in sent:
-                    fresh[key] = p
+                    fresh[key] = wav(p)
                     if len(sent) < SENT_KEPT:  # a payload sent twice is dropped by its receiver
                         sent.add(key)
             if fresh:
                 data = list(fresh.values())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(fresh), pa.binary()), pa.array(cuts(data), pa.list_(pa.int32())), pa.array([bz2.compress(p) for p in data], pa.binary())],
+                    [pa.array(list(fresh), pa.binary()), pa.array(cuts(data), pa.list_(pa.int32())), pa.array([bz2.compress(m) for m in data], pa.binary())],
                     ["media", "sizes", "packed"],
                 )
 
@@ -199,7 +201,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = {x["digest"]: bz2.decompress(x["chunk"]) for x in r["foreign"] or []}
             own = [i for i, o in enumerate(r["owned"]) if o]
             found |= zip([r["digests"][i] for i in own], parts(bz2.decompress(r["packed"]), [r["sizes"][i] for i in own]), strict=True)
-            media = wav(b"".join([found[d] for d in r["digests"]]))
+            media = b"".join([found[d] for d in r["digests"]])
             samples = samples_of(media)
             key = hashlib.sha256(samples)
             if key.digest() != r["media"]:
