@@ -212,14 +212,19 @@ def _frequencies(docs: DataFrame, sent: Broadcast, size: int) -> tuple[np.ndarra
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4_000, sample_chars: int = 16_000_000, k: int = 15
 ) -> ToxicityModel:
-    """``labels`` holds the rows that may be learnt from; ``sample`` of them, chosen by hash, are used, as far as their texts have ``sample_chars`` characters together."""
+    """``labels`` holds the rows that may be learnt from; ``sample`` of them, chosen by hash, are used. If their texts have more than ``sample_chars`` characters together, the longest of them are left out, so that no text takes the place of others."""
     spark = docs.sparkSession
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(sample)
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = plain.join(F.broadcast(chosen), "id").distinct()  # at most `sample` rows of two numbers
-    upto = Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = stored(found.withColumn("upto", F.sum(F.length("text")).over(upto)).where(F.col("upto").isNull() | (F.col("upto") <= sample_chars)).select("id", "y", "text"), "toxicity-sample")
+    whole = rows = stored(plain.join(F.broadcast(chosen), "id").distinct(), "toxicity-sample")  # at most `sample` rows of two numbers
+    size = F.coalesce(F.length("text"), F.lit(0))
+    over = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] > sample_chars
+    if over:
+        upto = Window.orderBy(size, F.xxhash64("id"), "id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        fits = rows.select("id", F.xxhash64("text").alias("h"), F.sum(size).over(upto).alias("upto")).where(F.col("upto") <= sample_chars)  # three numbers for each row of the sample
+        rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(fits), ["id", "h"], "left_semi").drop("h")
+    rows = rows.select("id", "y", "text")
 
     def counted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -257,7 +262,7 @@ def fit_toxicity(
     model = ToxicityModel(
         ids, weight, BlockMaxIndex([vectors[i] for i in order], len(ids)) if order else None, y[order].astype(float), [own[i] for i in order], k, float((empty.sum() + 0.05) / (len(empty) + 1))
     )
-    drop(rows)
+    drop(whole)
     examples = [vectors[i] for i in order]
     del table, flat, words, term, times, owner, vectors, some
     trim()
