@@ -14,7 +14,10 @@ in each the earliest window stays. No suffixes of different shards are sorted to
 A minimiser with very many different surroundings would be one long list. Those are found in a
 part of the documents chosen by hash; their windows are routed by the bytes of the whole window
 instead, so that only equal windows meet. Which minimisers these are steers the work alone:
-the route follows from a window's bytes, and the result is the same for every choice.
+the route follows from a window's bytes, and the result is the same for every choice. Where a route
+still has more than WIDE bytes of different runs, which their exact sums tell, its runs don't meet in one
+task either: each of their windows goes by the digest of its bytes, as those of crowded minimisers do.
+So a merge holds at most CHUNK + WIDE bytes, whatever the table's size.
 
 Defined results: a null or empty text has nothing to remove; texts shorter than the window
 stay whole; very long texts are read whole, in one piece; rows without an id take no part and
@@ -43,6 +46,8 @@ U = np.uint64
 ANCHOR = 32
 CHUNK, SHARD = 1 << 16, 1 << 14
 HELD = 1 << 19
+#: Bytes of different runs around one minimiser that are merged; and into how many parts a wider route is dealt.
+WIDE, SALTS = 1 << 22, 64
 #: One in so many documents is looked at for minimisers with at least CROWD different surroundings there.
 LOOK, CROWD = 32, 8
 #: An odd multiplier and its inverse modulo 2**64; 256 scattered numbers for the bytes.
@@ -246,6 +251,13 @@ def _settled(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return cols, ~_differ(cols[:3])
 
 
+def _once(held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+    """A task's runs: repeats go, and of each kind the first waits."""
+    cols, again = _settled([np.concatenate(c) for c in zip(*held, strict=True)])
+    yield _gone(cols[3][again], cols[4][again], cols[5][again], cols[6][again] + length)
+    yield _batch(0, *(c[~again] for c in cols))
+
+
 def _crowded(docs: DataFrame, length: int, anchor: int) -> np.ndarray:
     """Hashes of minimisers with many different surroundings, from one in LOOK documents.
 
@@ -266,6 +278,11 @@ def _crowded(docs: DataFrame, length: int, anchor: int) -> np.ndarray:
     return np.sort(np.array([r["anchor"] for r in found], np.int64).view(U))
 
 
+def _asked(runs: DataFrame) -> DataFrame:
+    """The runs of each document, whose bytes are wanted."""
+    return runs.groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("runs"))
+
+
 def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """doc, key, spans: for each document (an id and its text's ``text_key``) with repeats, the stretches (a, b) of bytes to remove."""
     text = F.col(f"`{text_col}`").cast("string")
@@ -277,11 +294,6 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
         held: list[tuple] = []
         count = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            cols, again = _settled([np.concatenate(c) for c in zip(*held, strict=True)])
-            yield _gone(cols[3][again], cols[4][again], cols[5][again], cols[6][again] + length)
-            yield _batch(0, *(c[~again] for c in cols))
-
         for whole in batches:
             for batch, texts in slices(whole, "text", 1 << 20):
                 ids, keys = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
@@ -289,10 +301,10 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                 held.append((route.view(np.int64), digest[:, 0], digest[:, 1], ids[text], keys[text], first, last))
                 count += len(text)
                 if count > HELD:
-                    yield from flush()
+                    yield from _once(held, length)
                     held, count = [], 0
         if held:
-            yield from flush()
+            yield from _once(held, length)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in full order: the first run of each digest stays; it is contested if its route has another digest. One row is held."""
@@ -334,7 +346,15 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     routed = docs.mapInArrow(give_back(local), ROWS).repartition("anchor").sortWithinPartitions(*order)
     marks = stored(routed.mapInArrow(give_back(meet), ROWS), "repeat-marks")
 
-    asked = marks.where("kind = 2").groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("runs"))
+    runs_left = marks.where("kind = 2")
+    wide = stored(runs_left.groupBy("anchor").agg(F.sum(F.col("b") - F.col("a") + length).alias("n")).where(F.col("n") > WIDE).select("anchor"), "repeat-wide")
+    by_window = None
+    if not wide.isEmpty():
+        salt = F.pmod(F.xxhash64("doc", "a"), F.lit(SALTS)).cast("int").alias("s")
+        salted, several = runs_left.select("*", salt), wide.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        by_window = _asked(salted.join(several, ["anchor", "s"], "left_semi"))
+        runs_left = salted.join(several, ["anchor", "s"], "left_anti")
+    asked = _asked(runs_left)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -375,6 +395,26 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
 
     merged = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(give_back(merge), "doc long, key long, a long, b long")
     spans = marks.where("kind = 1").select("doc", "key", "a", "b").union(merged)
+    if by_window is not None:
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each window of the runs asked for as a run that is routed by its own digest."""
+            held: list[tuple] = []
+            for whole in batches:
+                for batch, texts in slices(whole, "text", 1 << 18):
+                    for doc, key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist(), strict=True):
+                        raw = (text or "").encode()
+                        at = np.unique(np.concatenate([np.arange(r["a"], r["b"] + 1) for r in wanted]))
+                        two = digests([raw[k : k + length] for k in at.tolist()])
+                        held.append((two[:, 0], two[:, 0], two[:, 1], np.full(len(at), doc), np.full(len(at), key), at, at))
+                    if sum(len(h[0]) for h in held) > HELD:
+                        yield from _once(held, length)
+                        held = []
+            if held:
+                yield from _once(held, length)
+
+        single = docs.join(by_window, ["doc", "key"]).mapInArrow(give_back(windows), ROWS).repartition("anchor").sortWithinPartitions(*order)
+        spans = spans.union(single.mapInArrow(give_back(meet), ROWS).where("kind = 1").select("doc", "key", "a", "b"))
     return spans.groupBy("doc", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
