@@ -259,14 +259,15 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, rank::int as rank, vec_id, score from r where rank <= 20
     """,
     "op6_line_dedup": f"""
-        with lines as (
-            select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-            from documents),
+        with d as (select *, row_number() over () as row from documents),
+        lines as (
+            select doc_id, row, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+            from d),
         keyed as (
             select *, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
-        often as (select k from keyed where length(k) >= 1 group by k having count(distinct doc_id) >= 10)
+        often as (select k from keyed where length(k) >= 1 group by k having count(distinct row) >= 10)
         select doc_id, count(*) as n_lines, count(*) filter (where k in (select k from often)) as n_dropped,
             sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where k not in (select k from often)), '')) as kept_sha256
-        from keyed group by doc_id
+        from keyed group by doc_id, row
     """,
 }

@@ -1,10 +1,13 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import bz2
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -290,6 +293,35 @@ def test_topk(spark):
     assert [tuple(r)[2:] for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, 1 - (1 << 63))]
 
 
+def test_topk_beyond_a_double(spark):
+    """Components whose product with the scale no double holds are whole numbers; scores stand at the ends of a long only in the end."""
+    rows = [(0, [1e307, -1e307, 0.5]), (1, [1e307, 1e307, 0.25]), (2, [-1.7e308, 0.0, 1.0]), (3, [0.0, 0.0, 3.0]), (4, [-1e307, -1e307, 2.0]), (5, [2.0**-70, 1e18, -0.1])]
+    whole = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    top, want = (1 << 63) - 1, []
+    for q in (0, 3):
+        best = sorted((-min(top, max(-top, sum(a * b for a, b in zip(whole[q], whole[c], strict=True)))), c) for c in whole if c != q)
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for shard_rows in (8192, 2):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 3 == 0, shard_rows=shard_rows).collect())) == want
+    assert topk.scaled(np.array([1.5, -1e-9]), 64.0).tolist() == [96, -1] and topk.scaled(np.array([1e308]), 64.0).dtype == object
+
+
+@pytest.mark.parametrize("place", range(4))
+def test_toxicity_of_one_very_long_text(spark, place):
+    """A text above the bound takes no other's place, wherever the hash puts it; it is left out alone."""
+    texts = [f"calm words here {k}" if k % 2 else f"zidiot words there {k}" for k in range(20)]
+    order = [r["k"] for r in spark.range(20).select(F.col("id").alias("k")).orderBy(F.xxhash64("k"), "k").collect()]
+    long = order[(0, 1, 10, 19)[place]]
+    texts[long] = texts[long] * 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(20)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(df, labels, sample_chars=600)
+    assert sorted(model.example_ids) == [k for k in range(20) if k != long]
+    assert sorted(toxicity.fit_toxicity(df, labels).example_ids) == list(range(20))
+    assert toxicity.fit_toxicity(df, labels, sample_chars=0).example_ids == []
+
+
 def test_toxicity(spark):
     random.seed(7)
     calm = ["".join(random.choices("abcdefgh", k=5)) for _ in range(400)]
@@ -455,6 +487,21 @@ def test_suffix_with_crowded_minimisers(spark, monkeypatch):
         assert got == {i: bytes(b for b, g in zip(raw, gone, strict=True) if not g) for i, (raw, gone) in enumerate(want)}
 
 
+@pytest.mark.parametrize("wide", [150, 5000, 1 << 22])
+def test_suffix_with_wide_routes(spark, monkeypatch, wide):
+    """One minimiser in very many different surroundings: no merge holds more than its bound, and the rows are the same."""
+    random.seed(17)
+    header = " ".join(random.choices([f"h{k}" for k in range(900)], k=40))
+    make = lambda n: " ".join(random.choices([f"w{k}" for k in range(900)], k=n))
+    texts = [make(30) + header[random.randint(0, 60) : random.randint(130, 200)] + make(30) for _ in range(150)] + ["é" * 200, "aé" * 120, None, ""]
+    monkeypatch.setattr(suffix, "CROWD", 10**9)
+    monkeypatch.setattr(suffix, "WIDE", wide)
+    want = brute_repeats(texts)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeats(docs(spark, texts)).collect()}
+    assert got == {i: bytes(b for b, g in zip(raw, gone, strict=True) if not g) for i, (raw, gone) in enumerate(want)}
+    assert sum(sum(gone) for _, gone in want) > 5000
+
+
 def test_routes_follow_the_window():
     """A window gets one route whatever surrounds it, and however much of it a task reads at once."""
     random.seed(15)
@@ -538,6 +585,12 @@ def test_media(spark):
     manifest, name = media.store_media(docs(spark, texts))
     stored = spark.table(name).collect()
     assert len(stored) == len({media.payload(t)[1] for t in texts})
+    chunks = {}
+    for r in stored:
+        own = [i for i, o in enumerate(r["owned"]) if o]
+        chunks |= zip([r["digests"][i] for i in own], media.parts(bz2.decompress(r["packed"]), [r["sizes"][i] for i in own]), strict=True)
+    # what is stored is the whole container, header included
+    assert {b"".join(chunks[d] for d in r["digests"]) for r in stored} == {media.wav(media.payload(t)[1]) for t in texts}
     owned = [d for r in stored for d, o in zip(r["digests"], r["owned"], strict=True) if o]
     assert len(owned) == len(set(owned)) and {d for r in stored for d in r["digests"]} == set(owned)
     spark.sql(f"drop table {name}")

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import wave
@@ -73,6 +74,72 @@ def test_toxicity_query(spark, texts):
         assert len(r["neighbour_ids"]) == len(r["cosines"]) <= 15 and all(i in labels and not is_held_out(i) for i in r["neighbour_ids"])
 
 
+def pooled(x, y):
+    """Isotonic regression by its definition: the greatest of the least means, then a point for each level."""
+    order = np.argsort(x, kind="stable")
+    x, y = np.array(x)[order], np.array(y)[order]
+    total = np.concatenate([[0], np.cumsum(y)])
+    mean = lambda a, b: (total[b + 1] - total[a]) / (b + 1 - a)
+    n = len(x)
+    level = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    groups = {}
+    for i, v in enumerate(level):
+        groups.setdefault(round(v, 9), []).append(i)
+    return [(x[g].mean(), (y[g].sum() + 0.05) / (len(g) + 0.1)) for g in groups.values()]
+
+
+def test_toxicity_scores(spark, texts):
+    """Every score of the query from its parts: exact neighbours by plain cosine, the weighted vote, and isotonic calibration on examples left out of their own votes."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["toxic"] is not None and not is_held_out(r["doc_id"])}
+    tf = {i: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in texts.items()}
+    truth = {i: y for i, y in labels.items() if i in texts and tf[i]}
+    df = Counter(w for t in tf.values() for w in t)
+    n = Counter(truth.values())
+    hold = {c: Counter(w for i, y in truth.items() if y == c for w in tf[i]) for c in (0, 1)}
+
+    def weight(w):
+        q, g = (hold[0][w] + hold[1][w]) / len(truth), 0.0
+        for c in (0, 1):
+            for a, e in ((hold[c][w], q), (n[c] - hold[c][w], 1 - q)):
+                g += a * math.log(a / (n[c] * e)) if a else 0.0
+        return (math.log((1 + len(texts)) / (1 + df[w])) + 1) * (1 + 2 * max(g, 0))
+
+    known = {w: weight(w) for w in hold[0] | hold[1]}
+
+    def vector(i):
+        v = {w: (1 + math.log(c)) * known[w] for w, c in tf[i].items() if w in known}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    examples = {i: vector(i) for i in truth}
+
+    def vote(v, without=None):
+        found = sorted(((sum(x * e.get(w, 0.0) for w, x in v.items()), i) for i, e in examples.items() if i != without), reverse=True)[:15]
+        found = [(1 / (1.1 - c), truth[i]) for c, i in found if c > 0]
+        return sum(w * y for w, y in found) / sum(w for w, _ in found) if found else None
+
+    votes = {i: vote(v, i) for i, v in examples.items()}
+    steps = pooled([x for x in votes.values() if x is not None], [truth[i] for i, x in votes.items() if x is not None])
+    empty = [labels[i] for i in labels if i in texts and not tf[i]]
+    base = (sum(empty) + 0.05) / (len(empty) + 1)
+    got = {r["doc_id"]: r["score"] for r in queries.op4_toxicity(spark, SF).collect()}
+    for i in texts:
+        v = vote(vector(i))
+        want = base if v is None else float(np.interp(v, [a for a, _ in steps], [b for _, b in steps]))
+        assert got[i] == pytest.approx(want, abs=1e-6), i
+
+
+def test_lines_of_repeated_ids(spark, tmp_path):
+    """Every row is a document: ten rows of one id count as ten, in the query as in its SQL."""
+    rows = [(1, f"same\nown {k}") for k in range(9)] + [(2, "same\nother"), (3, "other"), (None, None), (None, "\n same ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(queries.ORACLE_SQL["op6_line_dedup"]).fetchall()
+    got = [tuple(r) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 13 and sum(r[2] for r in got) == 11
+
+
 def test_sharding_query(spark, texts):
     got = queries.op7_hilbert_sharding(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(texts) and {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
