@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 Tokenizer = Callable[[Column], Column]
 #: Up to so many keywords document frequencies are sent to the tasks; beyond that they join as a table.
 SENT = 500_000
+#: And up to so many bytes.
+SENT_BYTES = 1 << 26
 
 
 def word_tokens(text: Column) -> Column:
@@ -39,16 +44,25 @@ def _kept(text: Column, tokenizer: Tokenizer, least: int) -> Column:
 
 
 def _counted(df: DataFrame, tokenizer: Tokenizer, least: int) -> DataFrame:
-    """id, words (distinct, in order), times: counted within the row."""
+    """id, words (distinct, in order), times, total: counted within the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tallies = [sorted(Counter(w).items()) for w in batch.column(1).to_pylist()]
-            words, times = ([[x[k] for x in t] for t in tallies] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], ["id", "words", "times"])
+            tallies = [Counter(w) for w in batch.column(1).to_pylist()]
+            words = [sorted(t) for t in tallies]
+            times = [[t[w] for w in own] for t, own in zip(tallies, words, strict=True)]
+            columns = [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())), pa.array([t.total() for t in tallies], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "words", "times", "total"])
 
     tokens = _kept(F.col("text"), tokenizer, least)
-    return df.select("id", tokens.alias("w")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>")
+    return df.select("id", tokens.alias("w")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>, total long")
+
+
+def _near_best(weight: np.ndarray, k: int) -> np.ndarray:
+    """Places whose weight may be among the k highest once it is rounded to six digits."""
+    if len(weight) <= k:
+        return np.arange(len(weight))
+    return np.flatnonzero(weight >= np.partition(weight, len(weight) - k)[len(weight) - k] - 2e-6)
 
 
 def _best(df: DataFrame, k: int) -> DataFrame:
@@ -61,57 +75,60 @@ def _best(df: DataFrame, k: int) -> DataFrame:
 def tfidf(df: DataFrame, k: int = 8, tokenizer: Tokenizer = word_tokens, least: int = 3, idf: DataFrame | None = None, sent: int = SENT) -> DataFrame:
     """The k tokens of highest TF-IDF of each text (id, text), score min(2w, 1); rows are texts of their own.
 
-    Tokens are counted within the row, and only distinct words are exchanged, with partial sums. Up
-    to ``sent`` words their frequencies are looked up within the row too; beyond that, and where
+    Tokens are counted within the row, once (a table in the shared folder, until ``tables.release``), and
+    only distinct words are exchanged, with partial sums. Up to ``sent`` words (and SENT_BYTES) their
+    frequencies are looked up within the row too; beyond that, and where
     ``idf`` (keyword, idf) is given, they join as a table and ranks take an exchange by row.
     """
     counts = _counted(df, tokenizer, least)
     if idf is None:
+        counts = settled(counts, "word-counts")  # counted once: for the frequencies and for the ranks
         frequencies = counts.select(F.explode("words").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("df"))
-        n = df.agg(F.count("*").alias("n")).first()["n"]
+        n = counts.count()
         some = frequencies.limit(sent + 1).toArrow()
-        if some.num_rows <= sent:
+        if some.num_rows <= sent and some.nbytes <= SENT_BYTES:
             known = dict(zip(some.column("keyword").to_pylist(), some.column("df").to_pylist(), strict=True))
             told = df.sparkSession.sparkContext.broadcast(known)
 
             def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                """Of each row the words that may be among the best."""
                 get = told.value.__getitem__
                 for batch in batches:
-                    found = [list(map(get, w)) for w in batch.column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["id", "words", "times", "df"])
-
-            found = counts.mapInArrow(look, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>, df array<long>")
-            total = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
-            weight = F.zip_with("times", "df", lambda c, d: F.round(c / total * (F.ln((F.lit(float(n)) + 1.0) / (d + 1.0)) + 1.0), 6))
+                    out = []
+                    for words, times, total in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                        own, spread = np.array(times, float), np.array(list(map(get, words)), np.int64)
+                        best = _near_best(own / max(total, 1) * (np.log((n + 1.0) / (spread + 1.0)) + 1.0), k).tolist()
+                        out.append(([words[i] for i in best], [times[i] for i in best], spread[best].tolist()))
+                    kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], kind) for kind in kinds]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3)], ["id", "words", "times", "df", "total"])
+
+            found = counts.mapInArrow(look, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>, df array<long>, total long")
+            weight = F.zip_with("times", "df", lambda c, d: F.round(c / F.col("total") * (F.ln((F.lit(float(n)) + 1.0) / (d + 1.0)) + 1.0), 6))
             return _best(found.select("id", "words", weight.alias("w")), k)
         idf = frequencies.select("keyword", (F.ln((F.lit(float(n)) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    total = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = counts.withColumn("row", F.monotonically_increasing_id()).select("row", "id", total.alias("total"), F.explode(F.arrays_zip("words", "times")).alias("x"))
+    rows = counts.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "total", F.explode(F.arrays_zip("words", "times")).alias("x"))
     scored = rows.select("row", "id", F.col("x.words").alias("keyword"), (F.col("x.times") / F.col("total")).alias("tf")).join(idf, "keyword")
     rank = Window.partitionBy("row", "id").orderBy(F.desc("w"), "keyword")
     scored = scored.withColumn("w", F.round(F.col("tf") * F.col("idf"), 6)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return scored.select("id", "keyword", F.least(2 * F.col("w"), F.lit(1.0)).alias("score"), "rank")
 
 
-def _ranked(words: list[str], span: int, rounds: int, damping: float) -> tuple[list[str], list[float]]:
+def _ranked(words: list[str], span: int, rounds: int, damping: float) -> tuple[list[str], np.ndarray]:
     """Ranks in one text's graph. Edges come from positions: each token meets the next span - 1 ones."""
-    weight: Counter = Counter()
-    for i, a in enumerate(words):
-        for b in words[i + 1 : i + span]:
-            if a != b:
-                weight[a, b] += 1
-                weight[b, a] += 1
-    edges = sorted(weight.items())
-    out: Counter = Counter()
-    for (a, _), w in edges:
-        out[a] += w
-    rank = dict.fromkeys(out, 1.0)
+    names = sorted(set(words))
+    place = np.array(list(map(dict(zip(names, range(len(names)), strict=True)).__getitem__, words)), np.int64)
+    pairs = [place[:-d] * len(names) + place[d:] for d in range(1, span) if d < len(place)]
+    code = np.concatenate([np.zeros(0, np.int64), *pairs])
+    a, b = code // max(len(names), 1), code % max(len(names), 1)
+    code, times = np.unique(np.concatenate([code, b * len(names) + a])[np.tile(a != b, 2)], return_counts=True)
+    a, b = code // max(len(names), 1), code % max(len(names), 1)
+    live = np.unique(a)
+    share = times / np.bincount(a, times, len(names))[a]
+    rank = np.ones(len(names))
     for _ in range(rounds):
-        given = dict.fromkeys(rank, 0.0)
-        for (a, b), w in edges:
-            given[b] += rank[a] * (w / out[a])
-        rank = {v: (1 - damping) + damping * s for v, s in given.items()}
-    return list(rank), list(rank.values())
+        rank = (1 - damping) + damping * np.bincount(b, rank[a] * share, len(names))
+    return [names[i] for i in live.tolist()], rank[live]
 
 
 def textrank(df: DataFrame, k: int = 8, tokenizer: Tokenizer = word_tokens, least: int = 3, span: int = 5, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -119,12 +136,18 @@ def textrank(df: DataFrame, k: int = 8, tokenizer: Tokenizer = word_tokens, leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranks = [_ranked(w, span, rounds, damping) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in ranks], pa.list_(pa.string())), pa.array([r for _, r in ranks], pa.list_(pa.float64()))], ["id", "words", "r"])
+            words, ranks, most = [], [], []
+            for tokens in batch.column(1).to_pylist():
+                names, r = _ranked(tokens, span, rounds, damping)
+                most.append(float(r.max(initial=1e-300)))
+                best = _near_best(r / most[-1], k).tolist()
+                words.append([names[i] for i in best])
+                ranks.append(r[best].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(ranks, pa.list_(pa.float64())), pa.array(most, pa.float64())], ["id", "words", "r", "most"])
 
     tokens = _kept(F.col("text"), tokenizer, least)
-    ranks = df.select("id", tokens.alias("w")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, words array<string>, r array<double>")
-    return _best(ranks.select("id", "words", F.transform("r", lambda r: F.round(r / F.array_max("r"), 6)).alias("w")), k)
+    ranks = df.select("id", tokens.alias("w")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, words array<string>, r array<double>, most double")
+    return _best(ranks.select("id", "words", F.transform("r", lambda r: F.round(r / F.col("most"), 6)).alias("w")), k)
 
 
 _METHODS = {"tfidf": tfidf, "textrank": textrank, "simple": simple}
