@@ -109,31 +109,40 @@ cleaner("clean_text", C.clean_text, _squeezed(collapsed(rx(rx("{t}", "[a-zA-Z]+"
 _cjk = lambda t: f"translate({t}, 'etaoinshrdlu', '好快电池屏幕质量物流包装')"
 cleaner("clean_keep_cjk", lambda t: C.keep_chinese_only(F.translate(t, "etaoinshrdlu", "好快电池屏幕质量物流包装")), rx(_cjk("{t}"), r"[^ \x{4E00}-\x{9FFF}" + C.CJK_MARKS + r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"))
 
-#: Chinese fixtures with the results that the rules give by hand.
-FIXTURES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, str]]]] = {
-    "clean_time": (C.remove_time_expressions, [("8点半到", "半到"), ("12:30:45开会", "开会"), ("价格9.90元", "价格元"), ("我十分喜欢", "我喜欢"), ("一点也不贵", "也不贵"), ("紧接着来", "紧来"), ("199.99元", "199.99元"), ("早上8点到", "到"), ("无", "无")]),
-    "clean_date": (C.remove_date_expressions, [("2024-11-10日买", "买"), ("199.99元", "1元"), ("大前天到", "大到"), ("星期一发", "星发"), ("上星期三发", "三发"), ("第三天坏", "坏"), ("去年今天", ""), ("好", "好")]),
-    "clean_dates": (C.remove_dates, [("2024.11.10买的", "2024.买的"), ("昨天早上8点到", "到"), ("刚刚收到", "收到")]),
-    "preprocess_comment": (lambda t: C.preprocess_comment(t, marks=True), [("昨天到了！！！\n很好  很好", "到了！很好 很好"), ("质量&amp;包装。。。", "质量&包装。"), ("https://x.y 好", "https:/x.y 好")]),
-    "preprocess_training": (C.preprocess_training, [("看 https://x.y/z 好😀吗", "看 好吗"), ("昨天买的！！很ok", "买的！！很"), ("电话13812345678号", "电话号")]),
-}
-
-
-def fixture(name: str, make: Callable[[Column], Column], rows: list[tuple[str, str]]) -> None:
-    values = ", ".join(f"({k}, {quoted(b)})" for k, (_, b) in enumerate(rows))
-
-    @query(name, f"select id, c from (values {values}) v(id, c)")
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame([(k, a) for k, (a, _) in enumerate(rows)], "id int, t string").select("id", make(F.col("t")).alias("c"))
+#: Letters to digits, numerals, units, days and hours, so that whole documents hold the expressions that the rules take out.
+_clock = ("etaoinsrhlducmpgbfyw", "8点分好1年月日三天昨今早上周第期号刚在")
+_timed = lambda t: f"translate(replace(lower({t}), '.', '。'), {quoted(_clock[0])}, {quoted(_clock[1])})"
+_timed_column = lambda t: F.translate(F.replace(F.lower(t), F.lit("."), F.lit("。")), *_clock)
 
 
-for _name, (_make, _rows) in FIXTURES.items():
-    fixture(_name, _make, _rows)
+def rule_sql(text: str, patterns: list[str]) -> str:
+    """The patterns in order. DuckDB's expressions can't look around, so two are put otherwise: runs of digits are marked for the one; the other names what may follow."""
+    for p in patterns:
+        if p.startswith(r"(?<!\d)"):
+            whole = rx(text, r"(\d+)", "\x01\\1\x02")
+            text = f"translate({rx(whole, '\x01' + r'\d{1,2}' + '\x02' + r'\.' + '\x01' + r'\d{1,2}' + '\x02' + r'(\.' + '\x01' + r'\d{1,2}' + '\x02' + ')?')}, {quoted('\x01\x02')}, '')"
+        elif p.endswith("(?![分秒])"):
+            text = rx(text, rf"\d+{SPACES}*点{SPACES}*\d+(\d[分秒])|\d+{SPACES}*点{SPACES}*\d+([^分秒\d]|$)", r"\1\2")
+        else:
+            text = rx(text, p.replace(r"\s", SPACES))
+    return text
 
 
-@query("preprocess_inference")
-def preprocess_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", C.preprocess_inference(F.col("text")).alias("c"))
+_times_gone = lambda t: words_gone(rule_sql(t, C.TIME_PATTERNS), C.TIME_WORDS)
+_days_gone = lambda t: rule_sql(words_gone(rule_sql(t, C.DATE_PATTERNS), C.DATE_WORDS), C.SPAN_PATTERNS)
+_dates_gone = lambda t: _days_gone(_times_gone(t))
+_ws_gone = lambda t: f"translate({t}, chr(10) || chr(13) || chr(9) || chr(11) || chr(12), '')"
+_control_gone = lambda t: rx(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{E000}-\x{F8FF}]")
+_comment_sql = lambda t: _squeezed(collapsed(_control_gone(_dates_gone(_ws_gone(t)))))
+_advanced_sql = lambda t: _symbols(_emojis(rx(rx(_no_urls(_garbled(t)), _email), r"1[3-9]\d{9}")))
+_chinese_sql = lambda t: rx(t, r"[^ \x{4E00}-\x{9FFF}" + C.CJK_MARKS + r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]")
+_training_sql = lambda t: f"substr({_squeezed(_chinese_sql(_dates_gone(_ws_gone(_numbers(_advanced_sql(t))))))}, 1, 512)"
+cleaner("clean_time", lambda t: C.remove_time_expressions(_timed_column(t)), _times_gone(_timed("{t}")), tail=" 12:30:45 x 9")
+cleaner("clean_date", lambda t: C.remove_date_expressions(_timed_column(t)), _days_gone(_timed("{t}")), tail=" 2024-11-10 x 大前天 上星期三")
+cleaner("clean_dates", lambda t: C.remove_dates(_timed_column(t)), _dates_gone(_timed("{t}")), tail=" 2024-11-10 早上8点")
+cleaner("preprocess_comment", lambda t: C.preprocess_comment(_timed_column(t)), _comment_sql(_timed("{t}")), tail=_odd)
+cleaner("preprocess_training", lambda t: C.preprocess_training(_timed_column(t)), _training_sql(_timed("{t}")), tail=_odd)
+cleaner("preprocess_inference", C.preprocess_inference, f"substr({_advanced_sql(_comment_sql('{t}'))}, 1, 512)", tail=" on 9.90 and 199.99 at 8.30.15, " + _odd)
 
 
 # ---- keyword rows and lists over the words of all conversation turns ----
@@ -229,26 +238,35 @@ row_step("kw_stop_contains", keyword_rows.stop_contains, f"select id, keyword, s
 row_step("kw_dedupe_rows", lambda r, _: keyword_rows.keep_first(r), f"select id, keyword, score, pos from {_first}")
 row_step("kw_topn_rows", lambda r, _: keyword_rows.top_n(r, 8), f"select id, keyword, score, pos from {_top('r', 8)}")
 
-SPAN_ROWS = [("已经退货", "没退货", -1), ("衣服不怎么粘肉", "不粘肉", 5), ("聊个不停聊了一天", "聊天", 4), ("ab ab", "ab", 2), ("", "x", -1), ("好评", "好 评", 2), ("好差好评", "好评", 2)]
-TIME_ROWS = [("早上", True), ("8点", True), ("十分钟", True), ("12:30", True), ("稍后", True), ("质量", False), ("差评", False), ("〇点", True)]
-DATE_ROWS = [("2024年", True), ("三月", True), ("星期一", True), ("周末", True), ("Q3", True), ("上旬", True), ("月底", True), ("第3季度", True), ("质量", False), ("大前天", True), ("3-4", True), ("星期", False)]
-
-
-def predicate(name: str, make: Callable[[Column], Column], rows: list[tuple]) -> None:
-    values = ", ".join(f"({quoted(r[0])}, {str(r[-1]).lower()})" for r in rows)
+def predicate(name: str, make: Callable[[Column], Column], pattern: str, more: str = "false") -> None:
+    """The words of all turns, letters turned to numerals, units and days, for which the predicate holds."""
+    hit = f"(regexp_matches(k, {quoted(pattern)}) or {more})"
 
-    @query(name, f"select * from (values {values}) v(word, hit)")
+    @query(name, f"with {WORDS_SQL}, m as (select id, pos, translate(keyword, {quoted(_clock[0])}, {quoted(_clock[1])}) as k from r) select l.id, count(m.k) as n, md5(coalesce(string_agg(m.k, '|' order by m.pos), '')) as h from l left join m on m.id = l.id and {hit} group by l.id")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame([(r[0],) for r in rows], "word string").select("word", make(F.col("word")).alias("hit"))
+        made = F.transform("kws", lambda k: F.translate(k["keyword"], *_clock))
+        kept = _lists(spark, sf_dir).select("id", F.filter(made, make).alias("w"))
+        return kept.select("id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", "|").cast("binary")).alias("h"))
 
 
-predicate("kw_no_time", K.is_time_keyword, TIME_ROWS)
-predicate("kw_no_date", K.is_date_keyword, DATE_ROWS)
+_all_numerals = r"([〇零一二三四五六七八九十百千万亿壹贰叁肆伍陆柒捌玖拾佰仟萬億两]+|\d+)"
+predicate("kw_no_time", K.is_time_keyword, "|".join([rf"{_all_numerals}[点时分秒]", *K.DAY_PARTS, *C.TIME_WORDS]))
+predicate(
+    "kw_no_date", K.is_date_keyword, "|".join([rf"{_all_numerals}[年月号日]", "^[号日]$", "(周|星期|礼拜)[一二三四五六日天]", "工作日", "周末", "双休", *K.RELATIVE_DAYS, "月[初中末底]", rf"第?{_all_numerals}季度", r"[Qq]\d+"]),
+    "(contains(k, '旬') and regexp_matches(k, '[上中下]'))",
+)
 
 
-@query("kw_min_span", "select * from (values " + ", ".join(f"({k}, {s}, {str(0 <= s <= 2 * len(w.replace(' ', ''))).lower()})" for k, (_, w, s) in enumerate(SPAN_ROWS)) + ") v(id, span, ok)")
+@query(
+    "kw_min_span",
+    "with t as (select conv_id * 1000 + turn as id, coalesce(text, '') as t, case role when 'user' then 'an on' else 'in de' end as word from conversations), p as (select *, replace(word, ' ', '') as w from t), "
+    "q as (select *, list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 1) = substr(w, 1, 1)) as s from p), "
+    "e as (select *, list_transform(s, lambda i: struct_pack(a := i, b := list_reduce(list_prepend(i, range(2, length(w) + 1)), lambda x, j: case when x = 0 then 0 when strpos(substr(t, x + 1), substr(w, j, 1)) = 0 then 0 else x + strpos(substr(t, x + 1), substr(w, j, 1)) end))) as z from q), "
+    "m as (select id, length(w) as n, coalesce(list_min(list_transform(list_filter(z, lambda q: q.b > 0), lambda q: q.b - q.a + 1)), -1)::int as span from e) select id, span, span >= 0 and span <= 2 * n as ok from m",
+)
 def kw_min_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, t, w) for k, (t, w, _) in enumerate(SPAN_ROWS)], "id int, t string, w string")
+    """The least span of a word with a blank in every turn, and whether it is near enough."""
+    rows = spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("t"), F.when(F.col("role") == "user", "an on").otherwise("in de").alias("w")))
     return rows.selectExpr("id", f"{K.min_span('w', 't')} as span", f"coalesce({K.span_valid('w', 't')}, false) as ok")
 
 
@@ -299,32 +317,38 @@ OBJ = "o as (select *, case when json_valid(regexp_extract(raw, '(?s)\\{.*\\}'))
 _kw = "json_extract(obj, '$.keywords')"
 
 
-def on_answers(name: str, make: Callable[[], dict[str, Column]], sql: str) -> None:
-    """``make`` is called when the query runs: columns need a session."""
+def on_answers(name: str, make: Callable[[], dict[str, Column]], sql: str, whole: bool = False) -> None:
+    """``make`` is called when the query runs: columns need a session. ``sql`` names its own source if it is ``whole``."""
 
-    @query(name, f"with {ANSWERS}, {OBJ} select doc_id, {sql} from o")
+    @query(name, f"with {ANSWERS}, {OBJ} select doc_id, {sql}" + ("" if whole else " from o"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return answers(spark, sf_dir).withColumn("obj", J.greedy_object(F.col("raw"))).select("doc_id", *(c.alias(k) for k, c in make().items()))
 
 
 _text = lambda j, path: F.get_json_object(j, path)
 _parsed = lambda: J.parse_response(F.col("raw"), ["keywords"])
+_fenced = "case when starts_with(raw, '```json') then trim(replace(replace(raw, '```json', ''), '```', '')) else raw end"
+_whole = f"case when json_valid(regexp_extract({_fenced}, '(?s)\\{{.*\\}}')) then regexp_extract({_fenced}, '(?s)\\{{.*\\}}')::json end"
+_inner = "list_filter(list_transform(json_keys(j), lambda k: json_extract(j, '$.\"' || k || '\"')), lambda v: json_type(v) = 'OBJECT' and list_contains(json_keys(v), 'keywords'))"
 on_answers(
     "parse_response",
     lambda: {"found": _parsed().isNotNull(), "first": F.md5(F.coalesce(_text(_parsed(), "$.keywords[0][1]"), F.lit("")).cast("binary"))},
-    "(obj is not null and doc_id % 7 <> 3) as found, md5(coalesce(case when doc_id % 7 = 2 then obj->'result'->'keywords'->0->>1 when doc_id % 7 <> 3 then obj->'keywords'->0->>1 end, '')) as first",
+    f"x is not null as found, md5(coalesce(x->'keywords'->0->>1, '')) as first from (select doc_id, case when list_contains(json_keys(j), 'keywords') then j else ({_inner})[1] end as x from (select doc_id, {_whole} as j from o))",
+    whole=True,
 )
 on_answers("parse_required", lambda: {"has": J.has_required(F.col("obj"), ["keywords", "category"])}, "(obj is not null and coalesce(list_has_all(json_keys(obj), ['keywords', 'category']), false)) as has")
 _brace = lambda: J.parse_first_last_brace(F.col("raw"))
 on_answers("parse_first_last_brace", lambda: {"found": _brace().isNotNull(), "n": F.coalesce(F.length(_brace()), F.lit(0)).cast("long")}, "(case when raw <> '' and json_valid(raw) then raw else obj end) is not null as found, coalesce(length(case when raw <> '' and json_valid(raw) then raw else obj end), 0)::bigint as n")
 _thinking = lambda: J.extract_thinking(F.col("raw"))
 _stripped = rx("x", f"^{SPACES}+|{SPACES}+$")
-on_answers("reward_extract_thinking", lambda: {"has": _thinking().isNotNull(), "h": F.md5(F.coalesce(_thinking(), F.lit("")).cast("binary"))}, "doc_id % 7 in (2, 5) as has, md5(case doc_id % 7 when 2 then trim(w) when 5 then 'short' else '' end) as h")
+on_answers("reward_extract_thinking", lambda: {"has": _thinking().isNotNull(), "h": F.md5(F.coalesce(_thinking(), F.lit("")).cast("binary"))}, "regexp_matches(raw, '<think>[\\s\\S]*?</think>') as has, md5(trim(regexp_extract(raw, '<think>([\\s\\S]*?)</think>', 1))) as h")
 on_answers("reward_parse_json", lambda: {"valid": J.reward_json(F.col("raw"), _thinking()).isNotNull()}, "obj is not null as valid")
 
 
 @query("parse_dpo_pair", "with a as (select doc_id, case when doc_id % 4 = 0 then concat('<chosen>{\"k\": 1} ', t, '</chosen><rejected> x ', t, '</rejected>') when doc_id % 4 = 1 then concat('<chosen>', t) when doc_id % 4 = 2 then concat(t, '<chosen> ', t, '</chosen>') else '' end as raw, t from (select doc_id, regexp_replace(coalesce(text, ''), '[^a-z ]+', '', 'g') as t from documents)) "
-    "select doc_id, md5(coalesce(case when doc_id % 4 = 0 then rtrim(concat('{\"k\": 1} ', t)) when doc_id % 4 = 2 then trim(t) end, '')) as chosen, md5(coalesce(case when doc_id % 4 = 0 then rtrim('x ' || t) end, '')) as rejected, doc_id % 4 = 0 as parsed from a")
+    "select doc_id, md5(coalesce(c, '')) as chosen, md5(coalesce(r, '')) as rejected, coalesce(json_valid(regexp_extract(c, '(?s)\\{.*\\}')), false) as parsed from (select doc_id, "
+    "case when strpos(raw, '<chosen>') > 0 and strpos(raw, '</chosen>') > 0 then trim(substr(raw, strpos(raw, '<chosen>') + 8, greatest(0, strpos(raw, '</chosen>') - strpos(raw, '<chosen>') - 8))) end as c, "
+    "case when strpos(raw, '<rejected>') > 0 and strpos(raw, '</rejected>') > 0 then trim(substr(raw, strpos(raw, '<rejected>') + 10, greatest(0, strpos(raw, '</rejected>') - strpos(raw, '<rejected>') - 10))) end as r from a)")
 def parse_dpo_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z ]+", "").alias("t"))
     raw = F.expr("case when doc_id % 4 = 0 then concat('<chosen>{\"k\": 1} ', t, '</chosen><rejected> x ', t, '</rejected>') when doc_id % 4 = 1 then concat('<chosen>', t) when doc_id % 4 = 2 then concat(t, '<chosen> ', t, '</chosen>') else '' end")
@@ -333,44 +357,74 @@ def parse_dpo_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", h("chosen"), h("rejected"), F.col("p.chosen_json").isNotNull().alias("parsed"))
 
 
-SOURCE_ROWS = [("开头\n【待处理评论】\n很好用\n\n请严格输出", "很好用"), ("【待处理文本】\n质量\n不错\n\n请严格", "质量\n不错"), ("待处理文本：便宜\n\n其他", "便宜"), ("没有标记", "没有标记"), ("", "")]
+_prompt_sql = "case lang when 'en' then concat('开头', chr(10), '【待处理评论】', chr(10), t, chr(10), chr(10), '请严格输出') when 'de' then concat('【待处理文本】 ', chr(10), t) when 'fr' then concat('待处理文本： ', t, chr(10), chr(10), '其他') else t end"
+_marked = lambda p: f"case when regexp_matches(p, {quoted(p)}) then {rx(f'regexp_extract(p, {quoted(p)}, 1)', f'^{SPACES}+|{SPACES}+$')} end"
 
 
-@query("reward_source_text", "select * from (values " + ", ".join(f"({k}, {quoted(b)})" for k, (_, b) in enumerate(SOURCE_ROWS)) + ") v(id, c)")
+@query("reward_source_text", f"select doc_id, length(c) as n, md5(c) as h from (select doc_id, coalesce({', '.join(_marked(p) for p in J.SOURCE_PATTERNS)}, p) as c from (select doc_id, {_prompt_sql} as p from (select *, coalesce(text, '') as t from documents)))")
 def reward_source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, a) for k, (a, _) in enumerate(SOURCE_ROWS)], "id int, t string").select("id", J.source_text(F.col("t")).alias("c"))
+    """Prompts around whole documents, by language with one of the marks or none."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t")))
+    mark = {"en": ("开头\n【待处理评论】\n", "\n\n请严格输出"), "de": ("【待处理文本】 \n", ""), "fr": ("待处理文本： ", "\n\n其他")}
+    prompt = F.col("t")
+    for lang, (before, after) in mark.items():
+        prompt = F.when(F.col("lang") == lang, F.concat(F.lit(before), F.col("t"), F.lit(after))).otherwise(prompt)
+    return docs.select("doc_id", J.source_text(prompt).alias("c")).select("doc_id", F.length("c").cast("long").alias("n"), F.md5(F.col("c").cast("binary")).alias("h"))
 
 
-KEY_ROWS = [('{"关键词": [["a", "好", 1]]}', 1), ('{"keywords": [1, 2]}', 2), ('{"关键词": [], "keywords": [1]}', 0), ('{"x": 1}', 0)]
+_key_sql = "case lang when 'en' then concat('{\"关键词\": ', w, '}') when 'de' then concat('{\"x\": 1, \"keywords\": ', w, '}') when 'fr' then concat('{\"keywords\": ', w, ', \"关键词\": [[]]}') else concat('{\"other\": ', w, '}') end"
+_words_json = "'[\"' || replace(regexp_replace(coalesce(text, ''), '[^a-z ]+', ''{g}), ' ', '\",\"') || '\"]'"
 
 
-@query("parse_keywords_key", "select * from (values " + ", ".join(f"({k}, {n})" for k, (_, n) in enumerate(KEY_ROWS)) + ") v(id, n)")
+@query("parse_keywords_key", f"select doc_id, coalesce(json_array_length(j), 0)::bigint as n, md5(coalesce(j->>0, '')) as first from (select doc_id, coalesce(json_extract(x, '$.\"关键词\"'), json_extract(x, '$.keywords')) as j from (select doc_id, ({_key_sql})::json as x from (select doc_id, lang, {_words_json.replace('{g}', ", 'g'")} as w from documents)))")
 def parse_keywords_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, a) for k, (a, _) in enumerate(KEY_ROWS)], "id int, t string").select("id", F.size(J.keyword_items(F.col("t"))).alias("n"))
+    """Objects with either key, both or none, whose items are all words of a document."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).selectExpr("doc_id", "lang", f"{_words_json.replace('{g}', '')} as w")
+    items = docs.select("doc_id", J.keyword_items(F.expr(_key_sql)).alias("k"))
+    return items.select("doc_id", F.size("k").cast("long").alias("n"), F.md5(F.coalesce(F.try_variant_get(F.get("k", F.lit(0)), "$", "string"), F.lit("")).cast("binary")).alias("first"))
 
 
 def _normal(kind: str) -> Column:
     return K.normalize(J.keyword_items(J.greedy_object(F.col("raw")), ("keywords",)), kind)
 
 
-def normal_query(name: str, kind: str, expected: str) -> None:
-    @query(name, f"with {ANSWERS} select doc_id, coalesce(array_to_string(list_transform({expected}, lambda x: md5(x.k) || ':' || x.s::varchar), ' '), '') as kws from a")
+_items_sql = "coalesce(json_extract(obj, '$.keywords[*]'), [])"
+_score_sql = lambda x: f"coalesce(case when json_type({x}) = 'BOOLEAN' then case when {x}->>'$' = 'true' then 1.0 else 0.0 end when json_type({x}) in ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') then try_cast({x}->>'$' as double) end, 0.5)"
+
+
+def item_sql(kind: str) -> str:
+    """A normalised item by the rule of its kind, null if it isn't one."""
+    made = lambda k, v: f"case when json_type({k}) = 'VARCHAR' then struct_pack(k := {k}->>'$', s := {_score_sql(v)}::double) end"
+    if kind == "old":
+        return f"case when json_type(i) = 'ARRAY' and json_array_length(i) >= 2 then {made('(i->0)', '(i->1)')} end"
+    return f"case when json_type(i) = 'ARRAY' then case when json_array_length(i) = 3 then {made('(i->1)', '(i->2)')} when json_array_length(i) = 2 and json_type(i->0) = 'VARCHAR' and json_type(i->1) in ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') then {made('(i->0)', '(i->1)')} end end"
+
+
+def normalised(kind: str) -> str:
+    return f"list_filter(list_transform({_items_sql}, lambda i: {item_sql(kind)}), lambda x: x is not null)"
+
+
+def normal_query(name: str, kind: str) -> None:
+    @query(name, f"with {ANSWERS}, {OBJ} select doc_id, coalesce(array_to_string(list_transform({normalised(kind)}, lambda x: md5(x.k) || ':' || x.s::varchar), ' '), '') as kws from o")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = lambda k: F.concat(F.md5(k["keyword"].cast("binary")), F.lit(":"), k["score"].cast("string"))
         return answers(spark, sf_dir).select("doc_id", F.array_join(F.transform(_normal(kind), one), " ").alias("kws"))
 
 
-_item = lambda k, s: f"struct_pack(k := {k}, s := {s}::double)"
-normal_query("kw_normalize_new", "new", f"case doc_id % 7 when 0 then [{_item('w', 0.9)}, {_item(quoted('ab'), 0.5)}] when 1 then [{_item('w', 0.25)}] when 5 then [{_item(quoted('bc'), 0.5)}, {_item(quoted('bc'), 1.5)}, {_item(quoted('bcdef'), 0.5)}] else [] end")
-normal_query("kw_normalize_old", "old", f"case doc_id % 7 when 0 then [{_item(quoted('r'), 0.5)}, {_item(quoted('s'), 0.5)}] when 1 then [{_item('w', 0.25)}, {_item(quoted('x'), 0.5)}] when 5 then [{_item(quoted('a'), 0.5)}, {_item(quoted('a'), 0.5)}, {_item(quoted('a'), 0.5)}] else [] end")
+normal_query("kw_normalize_new", "new")
+normal_query("kw_normalize_old", "old")
 
 
-@query("kw_post_process_result", f"with {ANSWERS} select doc_id, case doc_id % 7 when 0 then case when length(w) between 1 and 40 and trim(w) <> '' then w || '|ab' else 'ab' end when 5 then 'bc|bcdef' else '' end as keywords from a where doc_id % 7 <> 1")
+@query("kw_post_process_result", f"""
+    with {ANSWERS}, {OBJ}, n as (select doc_id, {normalised('new')} as ks from o),
+    x as (select doc_id, unnest(ks) as q, generate_subscripts(ks, 1) as pos from n),
+    f as (select doc_id, q.k as k, q.s as s, pos, row_number() over (partition by doc_id, q.k order by q.s desc, pos) as a from x where trim(q.k) <> ''),
+    t as (select *, row_number() over (partition by doc_id order by s desc, pos) as b from f where a = 1 and length(k) <= 40)
+    select n.doc_id, coalesce(string_agg(t.k, '|' order by s desc, pos), '') as keywords from n left join t on t.doc_id = n.doc_id and b <= 8 group by n.doc_id""")
 def kw_post_process_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed answers to final keywords: only where the first item is a list, normalised and processed."""
+    """Parsed answers to final keywords: normalised and processed. The text is empty, so none is left out for standing elsewhere."""
     rows = answers(spark, sf_dir).withColumn("kws", K.normalize(J.keyword_items(J.greedy_object(F.col("raw")), ("keywords",)))).withColumn("none", F.lit(""))
-    done = K.post_process("kws", "none", longest=40, time=False, date=False)
-    return rows.where("doc_id % 7 <> 1").select("doc_id", F.array_join(K.words_only(done), "|").alias("keywords"))
+    return rows.select("doc_id", F.array_join(K.words_only(K.post_process("kws", "none", longest=40)), "|").alias("keywords"))
 
 
 @query("kw_post_process_answers")
@@ -387,34 +441,41 @@ def reward_query(name: str, columns: list[str], sql: dict[str, str], preset: str
     """Whole documents as completions; the solution is one fixed list, the prompt the document's text."""
     body = ", ".join(f"round(({sql[c]})::double, 9) as {c}" for c in columns)
 
-    @query(name, f"with {ANSWERS}, {OBJ} select doc_id, {body} from o")
+    @query(name, f"with {ANSWERS}, {SCORED} select doc_id, {body} from sc")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         gold = F.lit('{"keywords": [["r", "bc", 1], ["r", "cd", 1]]}')
         parts = W.reward_parts(F.col("raw"), gold, F.concat(F.col("w"), F.lit(" bc")), W.PRESETS[preset])
         return answers(spark, sf_dir).select("doc_id", *(F.round(parts[c], 9).alias(c) for c in columns))
 
 
-_n_think = "case doc_id % 7 when 2 then length(trim(w)) when 5 then 5 end"
+_strip_sql = lambda t: rx(t, f"^{SPACES}+|{SPACES}+$")
+_keywords_sql = "coalesce(json_extract(rj, '$.keywords[*]'), [])"
+_words_of = lambda items: f"list_filter(list_transform({items}, lambda i: case when json_type(i) = 'ARRAY' and json_array_length(i) >= 2 then trim(coalesce(i->>1, 'None')) when json_type(i) = 'VARCHAR' then trim(i->>'$') end), lambda x: x is not null)"
+#: Of each answer: its thinking, the object behind it, that object's items and words, and the words of the fixed solution.
+SCORED = rf"""
+    th as (select *, regexp_matches(raw, '<think>[\s\S]*?</think>') as has, {_strip_sql("regexp_extract(raw, '<think>([\\s\\S]*?)</think>', 1)".replace(chr(92) * 2, chr(92)))} as think,
+        case when regexp_matches(raw, '<think>[\s\S]*?</think>') then regexp_extract(raw, '(?s)^.*</think>(.*)$', 1) else raw end as rest from a),
+    rj as (select *, case when json_valid(regexp_extract(rest, '(?s)\{{.*\}}')) then regexp_extract(rest, '(?s)\{{.*\}}')::json end as rj from th),
+    sc as (select *, {_keywords_sql} as items, {_words_of(_keywords_sql)} as words, ['bc', 'cd'] as gold, coalesce(len(json_keys(rj)), 0) as n_keys from rj)"""
 
 
 def reward_sql(c: W.RewardConfig) -> dict[str, str]:
-    """The parts for the seven kinds of answer; 0: w and ab, 1: three odd items, 2: nested, 3: no keywords, 5: bc twice and bcdef."""
+    """The parts by their rules, from SCORED."""
     t, f, q, a = c.thinking_weight, c.format_weight, c.quality_weight, c.accuracy_weight
-    has = {r: ("doc_id % 7 in (0, 1, 5)" if r == "keywords" else "false") for r in c.required}
-    present = " + ".join(f"(case when {x} then 1 else 0 end)" for x in has.values())
-    short = f"(case when length(trim(w)) between 1 and {c.max_keyword} then 1 else 0 end)"
+    words = " or ".join(f"contains(think, {quoted(x)})" for x in c.analysis_words)
+    present = " + ".join(f"(case when coalesce(json_type(json_extract(rj, '$.{r}')), 'NULL') <> 'NULL' then 1 else 0 end)" for r in c.required)
+    valid = f"len(list_filter(items, lambda i: json_type(i) = 'ARRAY' and json_array_length(i) = 3 and length(trim(coalesce(i->>1, 'None'))) between 1 and {c.max_keyword} and coalesce(case when json_type(i->2) = 'BOOLEAN' then case when i->>2 = 'true' then 1.0 else 0.0 end else try_cast(i->>2 as double) end between 0 and 1, false)))"
+    both = "len(list_intersect(list_distinct(words), gold))"
+    precision, recall = f"({both} / greatest(len(list_distinct(words)), 1.0))", f"({both} / len(gold)::double)"
     out = {
-        "thinking": f"coalesce(case when ({_n_think}) is not null then {t} * (0.5 + case when {_n_think} between {c.min_thinking} and {c.max_thinking} then 0.3 else 0 end) end, 0)",
-        "format": f"case when doc_id % 7 in (0, 1, 2, 3, 5) then {f} else 0 end",
-        "quality": f"case when doc_id % 7 in (0, 1, 2, 3, 5) then {q} * ({present}) / {len(has)}.0 else 0 end + {q} * 0.5 * case doc_id % 7 when 0 then ({short} + 1) / 2.0 when 1 then 0 when 5 then 1 / 3.0 else 0 end",
-        "f1": "case doc_id % 7 when 0 then case when trim(w) in ('bc', 'cd') then 0.5 else 0 end when 5 then 0.5 else 0 end",
+        "thinking": f"case when has then (0.5 + case when length(think) between {c.min_thinking} and {c.max_thinking} then 0.3 else 0 end + case when {words} then 0.2 else 0 end) * {t} else 0 end",
+        "format": f"case when rj is null then 0 when n_keys > 0 then {f} else 0.75 * {f} end",
+        "quality": f"case when n_keys = 0 then 0 else ({present}) / {len(c.required)}.0 * {q} + case when len(items) > 0 then {valid} / len(items)::double * (0.5 * {q}) - case when len(items) > {c.max_items} then 0.1 else 0 end else 0 end end",
+        "penalty": f"least({c.most_penalty}, {c.penalty} * len(list_filter(words, lambda x: not contains(w || ' bc', x))))" if c.check_source else "0",
+        "f1": f"case when {both} > 0 then 2 * {precision} * {recall} / ({precision} + {recall}) else 0 end",
     }
-    source = "(w || ' bc')"
-    strange = lambda x: f"(case when contains(s, {x}) then 0 else 1 end)"
-    s = f"trim({source})"
-    out["penalty"] = "0" if not c.check_source else f"least(0.3, 0.1 * case doc_id % 7 when 0 then {strange('trim(w)').replace('(s,', f'({s},')} + {strange(quoted('ab')).replace('(s,', f'({s},')} when 1 then {strange(quoted('0.25')).replace('(s,', f'({s},')} + {strange(quoted('y')).replace('(s,', f'({s},')} + {strange(quoted('t')).replace('(s,', f'({s},')} when 5 then 2 * {strange(quoted('bc')).replace('(s,', f'({s},')} + {strange(quoted('bcdef')).replace('(s,', f'({s},')} else 0 end)"
     start = f"({out['thinking']} + {out['format']})"
-    out["total"] = f"case when doc_id % 7 in (4, 6) then {start} else greatest(0, least(1, {start} + {out['quality']} - {out['penalty']} + {a} * ({out['f1']}))) end"
+    out["total"] = f"case when rj is null then {start} else greatest(0, least(1, {start} + {out['quality']} - {out['penalty']} + {a} * ({out['f1']}))) end"
     return out
 
 
@@ -425,15 +486,16 @@ for _preset in ("keyword", "sentiment", "entity"):
     reward_query(f"reward_preset_{_preset}", ["thinking", "format", "quality", "penalty", "total"], reward_sql(W.PRESETS[_preset]), _preset)
 
 _words = lambda: W.scored_keywords(J.greedy_object(F.col("raw")))
-on_answers("reward_keywords", lambda: {"n": F.size(_words()).cast("long"), "h": F.md5(F.array_join(_words(), "|").cast("binary"))},
-    "case doc_id % 7 when 0 then 2 when 1 then 3 when 5 then 3 else 0 end::bigint as n, md5(case doc_id % 7 when 0 then trim(w) || '|ab' when 1 then '0.25|y|t' when 5 then 'bc|bc|bcdef' else '' end) as h")
+on_answers("reward_keywords", lambda: {"n": F.size(_words()).cast("long"), "h": F.md5(F.array_join(_words(), "|").cast("binary"))}, f"len({_words_of(_items_sql)})::bigint as n, md5(coalesce(array_to_string({_words_of(_items_sql)}, '|'), '')) as h")
 _gold = lambda: W.parse_solution(F.col("raw"))
 on_answers("reward_parse_solution", lambda: {"n": F.size(_gold()).cast("long"), "h": F.md5(F.array_join(_gold(), "|").cast("binary"))},
     """len(list_filter(list_transform(coalesce(json_extract(obj, '$.keywords[*]'), []), lambda i: case when json_type(i) = 'ARRAY' and json_array_length(i) >= 2 then trim(i->>1) when json_type(i) = 'VARCHAR' then trim(i->>'$') end), lambda x: x is not null))::bigint as n,
     md5(coalesce(array_to_string(list_filter(list_transform(coalesce(json_extract(obj, '$.keywords[*]'), []), lambda i: case when json_type(i) = 'ARRAY' and json_array_length(i) >= 2 then trim(i->>1) when json_type(i) = 'VARCHAR' then trim(i->>'$') end), lambda x: x is not null), '|'), '')) as h""")
-on_answers("reward_has_content", lambda: {"has": F.coalesce(W.has_content(F.col("obj")), F.lit(False))}, "doc_id % 7 in (0, 1, 2, 3, 5) as has")
+_some_value = "len(list_filter(list_transform(json_keys(obj), lambda k: json_extract(obj, '$.\"' || k || '\"')), lambda v: not (v::varchar in ('null', '[]', '{}')))) > 0"
+on_answers("reward_has_content", lambda: {"has": F.coalesce(W.has_content(F.col("obj")), F.lit(False))}, f"coalesce(case when list_contains(json_keys(obj), 'keywords') then len({_items_sql}) > 0 else {_some_value} end, false) as has")
 _items = lambda: F.coalesce(F.try_variant_get(F.try_parse_json("obj"), "$.keywords", "array<variant>"), F.array().cast("array<variant>"))
-on_answers("reward_item_valid", lambda: {"n": F.size(F.filter(_items(), lambda i: W.item_valid(i, W.PRESETS["keyword"]))).cast("long")}, "case doc_id % 7 when 0 then 1 + case when length(trim(w)) between 1 and 4 then 1 else 0 end when 5 then 1 else 0 end::bigint as n")
+_valid_sql = "json_type(i) = 'ARRAY' and json_array_length(i) = 3 and length(trim(coalesce(i->>1, 'None'))) between 1 and 4 and coalesce(case when json_type(i->2) = 'BOOLEAN' then case when i->>2 = 'true' then 1.0 else 0.0 end else try_cast(i->>2 as double) end between 0 and 1, false)"
+on_answers("reward_item_valid", lambda: {"n": F.size(F.filter(_items(), lambda i: W.item_valid(i, W.PRESETS["keyword"]))).cast("long")}, f"len(list_filter({_items_sql}, lambda i: {_valid_sql}))::bigint as n")
 
 
 # ---- schemas ----
@@ -637,7 +699,7 @@ envelope_query("sink_sft_envelope", "total_count", datasets.sft_record, "keyword
 envelope_query("sink_dpo_envelope", "actual_processed", datasets.dpo_record, "parsed_result", lambda: F.struct(F.col("n_chars").alias("chosen"), F.lit(None).cast("string").alias("rejected")), "concat('{\"chosen\":', n_chars, ',\"rejected\":null}')")
 
 
-@query("gen_records")
+@query("gen_records", f"select doc_id as index, md5(c) as clean, true as parsed from (select doc_id, {_training_sql(_cjk("coalesce(text, '')"))} as c from documents) where {_strip_sql('c')} <> ''")
 def gen_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record chain over all documents, as Chinese comments, with a canned model: cleaned, asked, parsed."""
     made = F.translate("text", "etaoinshrdlu", "好快电池屏幕质量物流包装")
@@ -669,8 +731,10 @@ def src_comment_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.comment_column(docs).groupBy("comment").agg(F.count("*").alias("n"))
 
 
-@query("src_stopwords", "select distinct word from (values " + ", ".join(f"({quoted(w)})" for w in K.STOPWORDS) + ") v(word)")
-def src_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["# list", "", *(f" {w}\t" for w in K.STOPWORDS), K.STOPWORDS[0]]
-    return readers.stopwords(spark.createDataFrame([(x,) for x in lines], "value string"))
+_line = _strip_sql("line")
 
+
+@query("src_stopwords", f"select distinct word from (select {_line} as word from (select unnest(string_split(text, chr(10))) as line from documents)) where word <> '' and not starts_with(word, '#')")
+def src_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents as a list of words."""
+    return readers.stopwords(table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")))
