@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .cleaning import strip
 
@@ -15,6 +22,38 @@ def _array(names: list[str]) -> Column:
     return F.array(*map(F.lit, names)).cast("array<string>")
 
 
+def plain_json(text: str | None) -> str | None:
+    """JSON with one value for each key, the last one, and no number that isn't finite (those become texts); null if it isn't JSON even so."""
+
+    def number(digits: str) -> float | str:
+        return x if math.isfinite(x := float(digits)) else digits
+
+    try:
+        out = json.dumps(json.loads(text, parse_constant=str, parse_float=number), ensure_ascii=False) if text else None
+    except (ValueError, RecursionError):
+        return None
+    return out and out.encode("utf-8", "replace").decode()
+
+
+def plain_answer(answer: str | None) -> str | None:
+    """An answer whose object, from the first to the last brace, is plain JSON."""
+    found = re.search(r"\{.*\}", answer or "", re.S)
+    mended = plain_json(found[0]) if found else None
+    return answer[: found.start()] + mended + answer[found.end() :] if mended else answer
+
+
+@F.pandas_udf(StringType())
+def _plain(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for t in texts:
+        yield t.map(plain_json, na_action="ignore").astype(object)
+
+
+def mended(text: Column) -> Column:
+    """The text; where no variant can be made of it (repeated keys, numbers like NaN), as plain JSON, null if it isn't any. Only such texts are sent to Python."""
+    bad = F.try_parse_json(text).isNull()
+    return F.when(bad, _plain(F.when(bad, text))).otherwise(text)
+
+
 def has_required(obj: Column, required: list[str]) -> Column:
     """Whether a JSON object text has all keys; a null value counts."""
     if not required:

@@ -153,3 +153,13 @@ def reward_parts(completion: Column, solution: Column, prompt: Column, c: Reward
     gain = F.when(given, parts["f1"] * c.accuracy_weight).when(has_content(obj), 0.2).otherwise(0.0)
     total = F.least(F.lit(1.0), F.greatest(F.lit(0.0), start + parts["quality"] - parts["penalty"] + gain))
     return parts | {"total": F.when(obj.isNull(), start).otherwise(total)}
+
+
+def reward_list(completions: Column, solutions: Column | None = None, prompts: Column | None = None, c: RewardConfig = PRESETS["keyword"], words: Words | None = None) -> Column:
+    """The rewards of parallel arrays, in order, as many as the shortest has; no solutions, or an empty array of them, and no prompts stand for as many nulls as there are completions."""
+    none = F.transform(completions, lambda _: F.lit(None).cast("string"))
+    solutions = none if solutions is None else F.when(F.size(solutions) > 0, solutions).otherwise(none)
+    prompts = none if prompts is None else prompts
+    least = F.least(F.size(completions), F.size(solutions), F.size(prompts))
+    rows = F.slice(F.arrays_zip(completions.alias("c"), solutions.alias("s"), prompts.alias("p")), F.lit(1), least)
+    return F.transform(rows, lambda r: reward_parts(r["c"], r["s"], r["p"], c, words)["total"])

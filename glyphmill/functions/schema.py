@@ -36,6 +36,34 @@ _SAYS = {Kind.STRING: "string", Kind.INTEGER: "integer", Kind.FLOAT: "numeric",
 _SPARK = {Kind.STRING: T.StringType(), Kind.INTEGER: T.LongType(), Kind.FLOAT: T.DoubleType(), Kind.BOOLEAN: T.BooleanType(), Kind.OBJECT: T.VariantType()}
 
 
+def _typed(value: Column, kind: Kind, item_kind: Kind | None, item_schema: TaskSchema | None) -> Column:
+    if kind in (Kind.ARRAY, Kind.ARRAY_OF_OBJECTS):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        if item_schema:
+            made = F.transform(items, lambda i: F.when(F.schema_of_variant(i).rlike(_TYPES[Kind.OBJECT]), item_schema.typed(i)))
+        elif kind is Kind.ARRAY and item_kind in _SPARK:
+            made = F.transform(items, lambda i: _typed(i, item_kind, None, None))
+        else:
+            made = items
+        return F.when(F.schema_of_variant(value).rlike(_TYPES[kind]), made)
+    plain = value if kind is Kind.OBJECT else F.try_variant_get(value, "$", _SPARK[kind].simpleString())
+    if kind in (Kind.INTEGER, Kind.FLOAT):  # booleans pass for numbers
+        truth = F.when(F.try_variant_get(value, "$", "string") == "true", F.lit(1)).otherwise(F.lit(0)).cast(_SPARK[kind])
+        plain = F.when(F.schema_of_variant(value) == "BOOLEAN", truth).otherwise(plain)
+    return F.when(F.schema_of_variant(value).rlike(_TYPES[kind]), plain)
+
+
+def _fits(value: Column, kind: Kind, item_kind: Kind | None, item_schema: TaskSchema | None) -> Column:
+    fits = F.schema_of_variant(value).rlike(_TYPES[kind])
+    if kind in (Kind.ARRAY, Kind.ARRAY_OF_OBJECTS):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        if item_schema:
+            fits &= F.forall(items, lambda i: F.schema_of_variant(i).rlike(_TYPES[Kind.OBJECT]) & (F.size(item_schema.misfits(i)) == 0))
+        elif kind is Kind.ARRAY and item_kind in _SPARK:
+            fits &= F.forall(items, lambda i: _fits(i, item_kind, None, None))
+    return fits
+
+
 @dataclass
 class FieldSpec:
     name: str
@@ -76,6 +104,15 @@ class FieldSpec:
             return T.ArrayType(self.item_schema.struct_type() if self.item_schema else T.VariantType())
         return _SPARK[self.kind]
 
+    def typed(self, obj: Column) -> Column:
+        """The field's value in its declared type, null where it is absent or of another kind; so are items of an array."""
+        return _typed(F.try_variant_get(obj, f"$['{self.name}']", "variant"), self.kind, self.item_kind, self.item_schema)
+
+    def misfit(self, obj: Column) -> Column:
+        """Whether there is a value that the declared type can't hold as it is."""
+        value = F.try_variant_get(obj, f"$['{self.name}']", "variant")
+        return F.coalesce(value.isNotNull() & ~F.is_variant_null(value) & ~_fits(value, self.kind, self.item_kind, self.item_schema), F.lit(False))
+
     def error(self, obj: Column, name: str | None = None) -> Column:
         """The field's first error as text, null if it is valid. Limits of 0 on lengths aren't enforced."""
         name = name or self.name
@@ -146,6 +183,14 @@ class TaskSchema:
         """All fields' errors, in order of declaration. Keys that aren't declared are ignored."""
         return F.filter(F.array(*(f.error(obj) for f in self.fields)).cast("array<string>"), lambda e: e.isNotNull())
 
+    def typed(self, obj: Column) -> Column:
+        """A variant object as the declared struct: its fields are typed columns, which later steps can prune."""
+        return F.struct(*(f.typed(obj).alias(f.name) for f in self.fields))
+
+    def misfits(self, obj: Column) -> Column:
+        """Names of the fields whose value the struct doesn't hold as it is: the way by which such rows are routed."""
+        return F.filter(F.array(*(F.when(f.misfit(obj), F.lit(f.name)) for f in self.fields)).cast("array<string>"), lambda n: n.isNotNull())
+
     def required(self) -> list[str]:
         return [f.name for f in self.fields if f.required]
 

@@ -26,6 +26,15 @@ def sft_to_grpo(turns: DataFrame) -> DataFrame:
     return roles.where("user <> ''").select("conv_id", messages.alias("messages"), F.col("assistant").alias("original_response"))
 
 
+def sample_to_grpo(df: DataFrame, column: str) -> DataFrame:
+    """messages (system, user) and original_response of JSON samples {messages: [{role, content}]}: the last content of each role; samples without a user's text go."""
+    messages = F.from_json(column, f"messages array<{MESSAGE}>")["messages"]
+    last = lambda r: F.coalesce(F.get(F.reverse(F.filter(messages, lambda m: m["role"] == r)), F.lit(0))["content"], F.lit(""))
+    roles = df.select(*(last(r).alias(r) for r in ("system", "user", "assistant"))).where("user <> ''")
+    made = F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("content")) for r in ("system", "user")))
+    return roles.select(made.alias("messages"), F.col("assistant").alias("original_response"))
+
+
 def first_n(df: DataFrame, order: str, n: int | None) -> DataFrame:
     """The first n rows in the given order, all for none or 0."""
     return df.orderBy(order).limit(n) if n else df
@@ -117,8 +126,3 @@ def envelope_lines(df: DataFrame, category: str, record: Column, index: str, cou
     head = ends.select("category", (F.col("first") - 1).alias("at"), F.concat(F.lit('{"category":'), F.substr(name, F.lit(2), F.length(name) - 2), F.lit(f',"{count_name}":'), F.col("n").cast("string"), F.lit(',"results":[')).alias("line"))
     return lines.union(head).union(ends.select("category", (F.col("last") + 1).alias("at"), F.lit("]}").alias("line")))
 
-
-def write_envelopes(lines: DataFrame, path: str) -> None:
-    """A folder for each category; its files, in order of name, hold the lines of its JSON text."""
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines.repartitionByRange(tasks, "category", "at").sortWithinPartitions("category", "at").select("category", "line").write.partitionBy("category").text(path)

@@ -135,7 +135,7 @@ def ask(df: DataFrame, client_factory: Callable[[], Client], config: Config, req
             for attempt in range(config.max_retries + 1):
                 got = call(client(), system, user, request_params(config, attempt))
                 if got and parsable(got, required):
-                    return got, attempt + 1
+                    return jsonx.plain_answer(got), attempt + 1
             return None, config.max_retries + 1
 
         for frame, got in answered(frames, ["system", "user"], answer, config.thread_workers, config.batch_size):
@@ -145,8 +145,8 @@ def ask(df: DataFrame, client_factory: Callable[[], Client], config: Config, req
     return df.mapInPandas(run, ", ".join([*kept, "raw string", "attempts int"]))
 
 
-def extract(df: DataFrame, schema: TaskSchema, client_factory: Callable[[], Client], config: Config = Config(), builder: prompts.PromptBuilder | None = None, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """id, text -> id, data, keywords, error, is_fallback, attempts, schema_errors; a row for each row, also where ids are null ("unknown") or repeated.
+def extract(df: DataFrame, schema: TaskSchema, client_factory: Callable[[], Client], config: Config = Config(), builder: prompts.PromptBuilder | None = None, store: Callable[[DataFrame], DataFrame] | None = None, typed: bool = False) -> DataFrame:
+    """id, text -> id, data, keywords, error, is_fallback, attempts, schema_errors, and, if ``typed``, record (the model's data as the schema's struct) and misfits (fields it can't hold); a row for each row, also where ids are null ("unknown") or repeated.
 
     ``store`` materialises the answers (write and read); without it they are a table in the shared folder (``tables.release`` deletes it). Data
     of the fallback are triples of method, keyword and score.
@@ -162,7 +162,9 @@ def extract(df: DataFrame, schema: TaskSchema, client_factory: Callable[[], Clie
         "kw", "text", stopwords=keywords.STOPWORDS if config.filter_stopwords else None, time=config.filter_time, date=config.filter_date,
         longest=config.max_keyword_length if config.filter_long else 0, original=config.filter_not_in_original, n=config.post_process_top_n,
     ) if config.enable_post_process else F.col("kw")
-    good = kws.where("data is not null").select("id", "data", F.transform(done, lambda k: k["keyword"]).alias("keywords"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("is_fallback"), "attempts", "schema_errors")
+    object_ = F.try_parse_json("data")
+    more = [schema.typed(object_).alias("record"), schema.misfits(object_).alias("misfits")] if typed else []
+    good = kws.where("data is not null").select("id", "data", F.transform(done, lambda k: k["keyword"]).alias("keywords"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("is_fallback"), "attempts", "schema_errors", *more)
     failed = parsed.where("data is null").select("row", "id", "text", "attempts")
     if config.enable_fallback:
         found = fallback.extract(failed.select(F.col("row").alias("id"), "text"), config.fallback_method, config.fallback_top_k).groupBy(F.col("id").alias("row")).agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "score"))).alias("k"))
@@ -179,4 +181,4 @@ def extract(df: DataFrame, schema: TaskSchema, client_factory: Callable[[], Clie
     empty = clean.where("text = ''").select(
         "id", F.lit(None).cast("string").alias("data"), F.lit(None).cast("array<string>").alias("keywords"), F.lit("Text is empty after preprocessing").alias("error"), F.lit(False).alias("is_fallback"), F.lit(0).alias("attempts"), F.lit(None).cast("array<string>").alias("schema_errors")
     )
-    return good.unionByName(bad).unionByName(empty)
+    return good.unionByName(bad, allowMissingColumns=typed).unionByName(empty, allowMissingColumns=typed)

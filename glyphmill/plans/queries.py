@@ -738,3 +738,6 @@ _line = _strip_sql("line")
 def src_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all documents as a list of words."""
     return readers.stopwords(table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")))
+
+
+from . import corpus_queries  # noqa: E402, F401  (registers its queries)

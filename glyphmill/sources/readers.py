@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import strip
+from ..functions.jsonx import mended
 
 #: Column names in order of choice, and what counts as missing in a CSV.
 COMMENT_COLUMNS = ["Comment", "comment", "text"]
@@ -26,13 +27,15 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
     return comment_column(spark.read.csv(path, header=True, multiLine=True, escape='"'))
 
 
-def json_lines(lines: DataFrame) -> DataFrame:
-    """(value) -> value: stripped lines that are JSON; blank and bad ones go."""
-    return lines.select(strip(F.col("value")).alias("value")).where((F.col("value") != "") & F.try_parse_json("value").isNotNull())
+def json_lines(lines: DataFrame, lenient: bool = False) -> DataFrame:
+    """(value) -> value: stripped lines that are JSON; blank and bad ones go. Lines with repeated keys or NaN stay, as plain JSON, if ``lenient``."""
+    value = strip(F.col("value"))
+    found = lines.select(value.alias("value")).where(F.col("value") != "")
+    return found.select(mended(F.col("value")).alias("value")).where("value is not null") if lenient else found.where(F.try_parse_json("value").isNotNull())
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    return json_lines(spark.read.text(path))
+    return json_lines(spark.read.text(path), lenient=True)
 
 
 def item_text(describe: Column, text: Column) -> Column:
