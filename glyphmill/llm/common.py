@@ -119,6 +119,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > 0.6 * heap.maxMemory():  # what planning left behind goes before more is asked for
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
