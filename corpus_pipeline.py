@@ -49,7 +49,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
     key = ["doc_id", "text_hash"]
     groups = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80).where("doc_id is not null and component_no is not null")
-    members = groups.groupBy(*key).agg(F.min("component_no").alias("component_no"), F.count("*").alias("n"))
+    # a table, as what follows reads it four times
+    members = stored(groups.groupBy(*key).agg(F.min("component_no").alias("component_no"), F.count("*").alias("n")), "pipeline-members")
     kept = members.groupBy("component_no").agg(F.min(F.struct(*key, "n")).alias("k")).select("k.*")
     gone = members.select(*key).join(kept.select(*key), key, "left_anti")
     twice = kept.where("n > 1").select(*key)
