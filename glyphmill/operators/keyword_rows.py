@@ -14,7 +14,7 @@ def stop_exact(rows: DataFrame, stopwords: DataFrame) -> DataFrame:
     return rows.join(stopwords.select(F.col("word").alias("keyword")).distinct(), "keyword", "left_anti")
 
 
-def stop_contains(rows: DataFrame, stopwords: DataFrame, most: int = 100_000) -> DataFrame:
+def stop_contains(rows: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Rows whose keyword holds no stopword. Every substring of a keyword is looked up by equality, so no pair of tables is crossed.
 
     Keywords are short; their distinct substrings number at most length * (length + 1) / 2.
