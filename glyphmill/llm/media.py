@@ -38,6 +38,7 @@ from .common import drop, shuffle_partitions, shuffles_released, stored
 FRAME, LEAST, MEAN_BITS, MOST = 64, 512, 11, 8192
 RATE = 8000
 SENT_KEPT = 100_000
+FREQUENT = 1000
 
 MANIFEST = "n_bytes long, media binary, digests array<binary>, sizes array<int>"
 PAYLOADS = "media binary, sizes array<int>, packed binary"
@@ -234,16 +235,25 @@ def store_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return manifest, name
 
 
-def read_media(manifest: DataFrame, store: DataFrame) -> DataFrame:
-    """One row for each stored payload, rebuilt from chunk lists: see FACTS."""
+def read_media(store: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(one row for each stored medium, rebuilt from chunk lists: see FACTS; the tables that it reads, to drop when it is written).
+
+    Chunks that very many media ask for are sent to the tasks, at most FREQUENT of them; the others meet their askers by digest.
+    """
     listed = store.select("media", F.arrays_zip("digests", "owned").alias("c")).select("media", F.explode("c").alias("c")).select("media", "c.digests", "c.owned")
     owners = listed.where("owned").select(F.col("digests").alias("digest"), F.col("media").alias("owner"))
     # chunks that a payload lists without owning them
     missing = listed.groupBy("media", F.col("digests").alias("digest")).agg(F.max("owned").alias("owned")).where("not owned").select("media", "digest")
+    missing = stored(missing, "media-missing")
+    least = max(FREQUENT, missing.count() // FREQUENT)
     asked = missing.select("digest").distinct().join(owners, "digest").groupBy("owner").agg(F.collect_list("digest").alias("wanted"))
     chunks = store.join(asked.withColumnRenamed("owner", "media"), "media").select("digests", "sizes", "owned", "packed", "wanted").mapInArrow(_chunks, "digest binary, chunk binary")
-    foreign = missing.join(chunks, "digest").groupBy("media").agg(F.collect_list(F.struct("digest", "chunk")).alias("foreign"))
-    return store.join(foreign, "media", "left").select("media", "digests", "sizes", "owned", "packed", "foreign").mapInArrow(_facts, FACTS)
+    often = missing.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("digest", F.lit(True).alias("often"))
+    chunks = stored(chunks.join(often, "digest", "left"), "media-chunks")
+    sent = F.broadcast(chunks.where("often").select("digest", "chunk"))  # at most FREQUENT chunks of MOST bytes
+    rest = missing.join(sent.select("digest"), "digest", "left_anti").join(chunks.where("often is null").select("digest", "chunk"), "digest")
+    foreign = missing.join(sent, "digest").unionByName(rest).groupBy("media").agg(F.collect_list(F.struct("digest", "chunk")).alias("foreign"))
+    return store.join(foreign, "media", "left").select("media", "digests", "sizes", "owned", "packed", "foreign").mapInArrow(_facts, FACTS), [missing, chunks]
 
 
 def media_features(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +261,9 @@ def media_features(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = df.sparkSession
     manifest, name = store_media(df, id_col=id_col, text_col=text_col)
     try:
-        facts = stored(read_media(manifest, spark.table(name)), "media-facts")
+        read, held = read_media(spark.table(name))
+        facts = stored(read, "media-facts")
+        drop(*held)
     finally:
         spark.sql(f"drop table {name}")
     return manifest.select("doc_id", "n_bytes", "media").join(facts, "media").drop("media")

@@ -604,6 +604,20 @@ def test_media(spark):
     assert media.media_features(docs(spark, [], True)).count() == 0
 
 
+def test_media_with_frequent_chunks(spark, monkeypatch):
+    """Chunks that many media share come from the tasks' own copies, others by digest; the media are the same."""
+    random.seed(18)
+    make = lambda n: "".join(random.choices("abcdefgh \n", k=n))
+    common, some = make(30_000), make(20_000)
+    texts = [make(200 * k) + common + make(100) + (some if k % 7 == 0 else "") for k in range(30)]
+    monkeypatch.setattr(media, "FREQUENT", 6)
+    got = media.media_features(docs(spark, texts)).collect()
+    assert len(got) == 30
+    for r in got:
+        w = media.wav(media.payload(texts[r["doc_id"]])[1])
+        assert r["media_sha256"] == hashlib.sha256(w).hexdigest() and r["media_bytes"] == len(w)
+
+
 def test_chunks_follow_content():
     random.seed(11)
     data = bytes(random.choices(range(256), k=60_000))
