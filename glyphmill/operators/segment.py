@@ -16,9 +16,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .fallback import Tokenizer
 from .tables import settled
@@ -27,45 +30,100 @@ IDEOGRAPH = r"\x{4E00}-\x{9FFF}"
 LEXICON = "word string, n long, cohesion double, entropy double"
 
 
-def runs_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"([{IDEOGRAPH}]+)"), 1)
-
-
-def grams(texts: DataFrame, longest: int) -> DataFrame:
-    """gram, before, after (a neighbour's ideograph, empty at a run's end) of every string of up to ``longest`` ideographs."""
-    runs = texts.select(F.explode(runs_of(F.col("text"))).alias("run"))
-    sizes = runs.select("run", F.length("run").alias("n"), F.explode(F.sequence(F.lit(1), F.least(F.length("run"), F.lit(longest)))).alias("size"))
-    placed = sizes.select("run", "size", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("at"))
-    part = lambda at, size: F.substring(F.col("run"), at, size)
-    before = F.when(F.col("at") > 1, part(F.col("at") - 1, F.lit(1))).otherwise("")
-    return placed.select(part(F.col("at"), F.col("size")).alias("gram"), before.alias("before"), part(F.col("at") + F.col("size"), F.lit(1)).alias("after"))
+#: The first ideograph, and bits that tell all of them (and none) apart: four fit into one number.
+FIRST, LAST, BITS = 0x4E00, 0x9FFF, 15
+#: Characters counted at once.
+HELD = 1 << 20
+#: Runs whose paths a task keeps.
+KNOWN = 200_000
+
+
+def _counted(chars: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of strings of up to ``longest`` ideographs in an array of code points: (codes, side, neighbour, count), by side 0 before and 1 behind; neighbour 0 is a run's end."""
+    own = np.where((chars >= FIRST) & (chars <= LAST), chars - FIRST + 1, 0).astype(np.int64)
+    own = np.concatenate([[0], own, np.zeros(longest + 1, np.int64)])
+    code = np.zeros(len(own) - longest - 1, np.int64)
+    whole = np.ones(len(code), bool)
+    for size in range(1, longest + 1):
+        next_ = own[size - 1 : size - 1 + len(code)]
+        whole &= next_ > 0
+        code = (code << BITS) | next_
+        at = np.flatnonzero(whole)
+        grams, which = np.unique(code[at], return_inverse=True)
+        for side, marks in ((0, own[at - 1]), (1, own[at + size])):  # the first place is a blank
+            pairs, n = np.unique((which << BITS) | marks, return_counts=True)
+            yield grams[pairs >> BITS], np.full(len(pairs), side), pairs & ((1 << BITS) - 1), n
+
+
+def _text_of(code: int) -> str:
+    out = []
+    while code:
+        out.append(chr((code & ((1 << BITS) - 1)) + FIRST - 1))
+        code >>= BITS
+    return "".join(reversed(out))
+
+
+def neighbours(texts: DataFrame, longest: int) -> DataFrame:
+    """gram, side, mark, n: how often each string of up to ``longest`` (at most four) ideographs stands before (side 1) or behind (side 0) each neighbour, 0 for a run's end; summed up within each task first."""
+    if longest * BITS > 62:
+        raise ValueError("strings of more than four ideographs don't fit into one number")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for t in batch.column(0).to_pylist():
+                if t:
+                    held.append(t.lower())
+                    size += len(t)
+                if size > HELD:
+                    yield from counted(held)
+                    held, size = [], 0
+            if held:
+                yield from counted(held)
+
+    def counted(held: list[str]) -> Iterator[pa.RecordBatch]:
+        chars = np.frombuffer("\n".join(held).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        for grams, side, mark, n in _counted(chars, longest):
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(side.astype(np.int32)), pa.array(mark.astype(np.int32)), pa.array(n.astype(np.int64))], ["gram", "side", "mark", "n"])
+
+    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, side int, mark int, n long").groupBy("gram", "side", "mark").agg(F.sum("n").alias("n"))
+
+
+@F.pandas_udf(StringType())
+def _word(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for c in codes:
+        yield c.map(_text_of).astype(object)
 
 
 def lexicon(texts: DataFrame, *, longest: int = 4, least: int = 5, cohesion: float = 1.0, entropy: float = 0.5) -> DataFrame:
     """LEXICON of the words in ``texts`` (a column text): single ideographs all, longer strings by the three bounds; cohesion and entropy to six digits."""
     # counted once: all that follows reads this table
-    sides = settled(grams(texts, longest).groupBy("gram", "before", "after").agg(F.count("*").alias("n")), "lexicon-counts")
-    counts = sides.groupBy("gram").agg(F.sum("n").alias("n"))
-    n_all = counts.where(F.length("gram") == 1).agg(F.sum("n").alias("total")).first()["total"] or 0
+    sides = settled(neighbours(texts, longest), "lexicon-counts")
+    bits = [1 << (BITS * k) for k in range(longest)]
+    size = sum(((F.col("gram") >= b).cast("int") for b in bits), F.lit(0))
+    counts = settled(sides.where("side = 0").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("size", size), "lexicon-strings")
+    n_all = counts.where("size = 1").agg(F.sum("n").alias("total")).first()["total"] or 0
     if not n_all:
         return texts.sparkSession.createDataFrame([], LEXICON)
-    often = counts.where((F.length("gram") > 1) & (F.col("n") >= least))
+    often = counts.where((F.col("size") > 1) & (F.col("n") >= least))
 
-    cuts = often.select("gram", "n", F.explode(F.sequence(F.lit(1), F.length("gram") - 1)).alias("k"))
-    cuts = cuts.select("gram", "n", F.substring(F.col("gram"), F.lit(1), F.col("k")).alias("x"), F.substring(F.col("gram"), F.col("k") + 1, F.length("gram")).alias("y"))
+    cuts = often.select("gram", "n", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))  # k ideographs behind the cut
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k") * BITS)
+    cuts = cuts.select("gram", "n", F.call_function("shiftright", F.col("gram"), F.col("k") * BITS).alias("x"), F.col("gram").bitwiseAND(low - 1).alias("y"))
     for side in "xy":
         cuts = cuts.join(counts.select(F.col("gram").alias(side), F.col("n").alias(f"n{side}")), side)
     held = cuts.groupBy("gram", "n").agg(F.round(F.min(F.ln(F.col("n") * F.lit(float(n_all)) / (F.col("nx").cast("double") * F.col("ny")))), 6).alias("cohesion"))
 
-    def spread(side: str) -> DataFrame:
+    def spread(side: int) -> DataFrame:
         """Entropy of the neighbours on one side; ends of runs are neighbours that differ from one another."""
-        met = sides.where(F.length("gram") > 1).groupBy("gram", side).agg(F.sum("n").alias("m"))
-        bits = F.when(F.col(side) == "", F.lit(0.0)).otherwise(F.col("m") * F.ln("m"))
-        return met.groupBy("gram").agg((F.ln(F.sum("m")) - F.sum(bits) / F.sum("m")).alias(f"h_{side}"))
+        met = sides.where((F.col("side") == side) & (F.col("gram") >= 1 << BITS))
+        told = F.when(F.col("mark") == 0, F.lit(0.0)).otherwise(F.col("n") * F.ln("n"))
+        return met.groupBy("gram").agg((F.ln(F.sum("n")) - F.sum(told) / F.sum("n")).alias(f"h{side}"))
 
-    words = held.where(F.col("cohesion") >= cohesion).join(spread("before"), "gram").join(spread("after"), "gram")
-    words = words.select(F.col("gram").alias("word"), "n", "cohesion", F.round(F.least("h_before", "h_after"), 6).alias("entropy")).where(F.col("entropy") >= entropy)
-    return counts.where(F.length("gram") == 1).select(F.col("gram").alias("word"), "n", F.lit(0.0).alias("cohesion"), F.lit(0.0).alias("entropy")).union(words)
+    words = held.where(F.col("cohesion") >= cohesion).join(spread(0), "gram").join(spread(1), "gram")
+    words = words.select("gram", "n", "cohesion", F.round(F.least("h0", "h1"), 6).alias("entropy")).where(F.col("entropy") >= entropy)
+    found = counts.where("size = 1").select("gram", "n", F.lit(0.0).alias("cohesion"), F.lit(0.0).alias("entropy")).union(words)
+    return found.select(_word(F.col("gram")).alias("word"), "n", "cohesion", "entropy")
 
 
 class Lattice:
@@ -118,7 +176,18 @@ def segmenter(words: DataFrame, *, most: int = 500_000, classes: list[str] | Non
     def tokens(runs: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if "lattice" not in state:
             state["lattice"] = Lattice(sent.value[0])
-        path, wanted = state["lattice"].path, sent.value[1]
+        lattice, wanted = state["lattice"], sent.value[1]
+        known: dict[str, list[str]] = state.setdefault("known", {})
+
+        def path(run: str) -> list[str]:
+            """Short runs come again and again; the paths of KNOWN of them are kept."""
+            found = known.get(run)
+            if found is None:
+                found = lattice.path(run)
+                if len(run) <= 16 and len(known) < KNOWN:
+                    known[run] = found
+            return found
+
         for column in runs:
             out = []
             for parts in column:
