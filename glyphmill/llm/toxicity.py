@@ -50,11 +50,11 @@ def words_of(text: str | None) -> list[str]:
     return _word.findall(text.lower()) if text else []
 
 
-def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges, one after the other, and the range that each is from."""
+def spans(starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one after the other, and the value of the range that each is from."""
     size = ends - starts
-    owner = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(owner)) + np.repeat(starts - np.cumsum(size) + size, size), owner
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - upto + size, size), np.repeat(value, size)
 
 
 class BlockMaxIndex:
@@ -78,8 +78,8 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine (ties to the earlier) and their cosines; only positive ones."""
-        entry, owner = spans(self.entries[terms], self.entries[terms + 1])
-        at, share = self.block[entry], weights[owner]
+        entry, share = spans(self.entries[terms], self.entries[terms + 1], weights)
+        at = self.block[entry]
         bound = np.bincount(at, share * self.most[entry], self.blocks) * (1 + 1e-5)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
@@ -88,8 +88,9 @@ class BlockMaxIndex:
             mark = np.zeros(self.blocks, bool)
             mark[some[bound[some] >= edge]] = True
             use = np.flatnonzero(mark[at])
-            post, of = spans(self.begin[entry[use]], self.begin[entry[use] + 1])
-            got = np.bincount(self.docs[post], share[use][of] * self.weights[post], self.n)
+            opened = entry[use]
+            post, part = spans(self.begin[opened], self.begin[opened + 1], share[use])
+            got = np.bincount(self.docs[post], part * self.weights[post], self.n)
             ids = np.flatnonzero(got)
             ids = ids[ids != leave]
             if len(ids) > k:
@@ -144,10 +145,10 @@ class ToxicityModel:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights, of unit length."""
         get = self.ids.get
-        found = [(t, n) for w, n in Counter(words_of(text)).items() if (t := get(w)) is not None]
+        found = [t for w in words_of(text) if (t := get(w)) is not None]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms, times = np.array(found, np.int64).T
+        terms, times = np.unique(np.array(found, np.int64), return_counts=True)
         return terms, unit(times, self.weight[terms])
 
     def near(self, text: str | None, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
