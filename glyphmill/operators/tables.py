@@ -35,9 +35,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     """df written and read again, so that no later step computes it anew (or calls a model again). It stands until ``release``."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, key = new_folder(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")  # the table takes the place of the shuffles that made it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
