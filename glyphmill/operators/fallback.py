@@ -7,16 +7,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import settled
 
 Tokenizer = Callable[[Column], Column]
-#: Up to so many keywords document frequencies are sent to the tasks; beyond that they join as a table.
+#: The document frequencies of so many keywords, the most frequent ones, are sent to the tasks; those of the others join as a table.
 SENT = 500_000
 #: And up to so many bytes.
 SENT_BYTES = 1 << 26
+#: Texts whose words are Python objects at once.
+PART = 256
 
 
 def word_tokens(text: Column) -> Column:
@@ -43,11 +46,18 @@ def _kept(text: Column, tokenizer: Tokenizer, least: int) -> Column:
     return F.filter(tokenizer(text), lambda w: (F.length(w) >= least) | ((F.length(w) == 2) & w.rlike(r"^[\x{4E00}-\x{9FFF}]")))
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, as a text's words take many times its bytes as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def _counted(df: DataFrame, tokenizer: Tokenizer, least: int) -> DataFrame:
     """id, words (distinct, in order), times, total: counted within the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_parts(batches):
             tallies = [Counter(w) for w in batch.column(1).to_pylist()]
             words = [sorted(t) for t in tallies]
             times = [[t[w] for w in own] for t, own in zip(tallies, words, strict=True)]
@@ -58,11 +68,11 @@ def _counted(df: DataFrame, tokenizer: Tokenizer, least: int) -> DataFrame:
     return df.select("id", tokens.alias("w")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>, total long")
 
 
-def _near_best(weight: np.ndarray, k: int) -> np.ndarray:
-    """Places whose weight may be among the k highest once it is rounded to six digits."""
-    if len(weight) <= k:
-        return np.arange(len(weight))
-    return np.flatnonzero(weight >= np.partition(weight, len(weight) - k)[len(weight) - k] - 2e-6)
+def _near_best(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Places whose weight, somewhere from low to high, may be among the k highest once it is rounded to six digits."""
+    if len(low) <= k:
+        return np.arange(len(low))
+    return np.flatnonzero(high >= np.partition(low, len(low) - k)[len(low) - k] - 2e-6)
 
 
 def _best(df: DataFrame, k: int) -> DataFrame:
@@ -72,46 +82,84 @@ def _best(df: DataFrame, k: int) -> DataFrame:
     return top.select("id", F.col("x.keyword").alias("keyword"), F.least(-2 * F.col("x.m"), F.lit(1.0)).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
+def _well_known(frequencies: DataFrame, sent: int) -> int:
+    """The least document frequency of the words that may be sent: the most frequent ones, at most ``sent`` of them and SENT_BYTES, whole steps of frequency at a time."""
+    step = F.floor(F.log2("df") * 16)
+    steps = frequencies.groupBy(step.alias("step")).agg(F.min("df").alias("low"), F.max("df").alias("top"), F.count("*").alias("n"), F.sum(F.octet_length("keyword") + 16).alias("size")).collect()  # at most 16 x 64 rows
+    least, n, size = 1 + max((r["top"] for r in steps), default=0), 0, 0
+    for r in sorted(steps, key=lambda r: -r["low"]):
+        n, size = n + r["n"], size + r["size"]
+        if n > sent or size > SENT_BYTES:
+            break
+        least = r["low"]
+    return least
+
+
+def _candidates(counts: DataFrame, told: Broadcast, n: int, least: int, k: int) -> DataFrame:
+    """Of each row the words that may be among its best; df is 0 where it isn't told, so anything from 1 to least - 1."""
+
+    def weight(tf: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        return tf * (np.log((n + 1.0) / (spread + 1.0)) + 1.0)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = told.value.get
+        kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        for batch in _in_parts(batches):
+            out = []
+            for words, times, total in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                tf, spread = np.array(times, float) / max(total, 1), np.array([get(w, 0) for w in words], np.int64)
+                low, high = weight(tf, np.where(spread, spread, max(least - 1, 1))), weight(tf, np.where(spread, spread, 1))
+                best = _near_best(low, high, k).tolist()
+                out.append(([words[i] for i in best], [times[i] for i in best], spread[best].tolist()))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3), batch.column(4)], ["id", "words", "times", "df", "total", "row"])
+
+    return counts.mapInArrow(look, f"id {dict(counts.dtypes)['id']}, words array<string>, times array<long>, df array<long>, total long, row long")
+
+
 def tfidf(df: DataFrame, k: int = 8, tokenizer: Tokenizer = word_tokens, least: int = 3, idf: DataFrame | None = None, sent: int = SENT) -> DataFrame:
     """The k tokens of highest TF-IDF of each text (id, text), score min(2w, 1); rows are texts of their own.
 
-    Tokens are counted within the row, once (a table in the shared folder, until ``tables.release``), and
-    only distinct words are exchanged, with partial sums. Up to ``sent`` words (and SENT_BYTES) their
-    frequencies are looked up within the row too; beyond that, and where
-    ``idf`` (keyword, idf) is given, they join as a table and ranks take an exchange by row.
+    Tokens are counted within the row, once, and for the document frequencies only distinct words are
+    exchanged, with partial sums. The frequencies of the ``sent`` most frequent words (and SENT_BYTES)
+    are looked up within the row. Those of the others lie below a known one, so they bound
+    their words' weights, and most words of a row are out of its best k by these bounds. Only the rows
+    that the bounds leave open take an exchange, with the words that are left: words that few rows hold join
+    their frequencies, then these rows are ranked. The result is exact for any ``sent``. Tables stand in the
+    shared folder until ``tables.release``. Where ``idf`` (keyword, idf) is given, it joins as a table.
     """
-    counts = _counted(df, tokenizer, least)
-    if idf is None:
-        counts = settled(counts, "word-counts")  # counted once: for the frequencies and for the ranks
-        frequencies = counts.select(F.explode("words").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("df"))
-        n = counts.count()
-        some = frequencies.limit(sent + 1).toArrow()
-        if some.num_rows <= sent and some.nbytes <= SENT_BYTES:
-            known = dict(zip(some.column("keyword").to_pylist(), some.column("df").to_pylist(), strict=True))
-            told = df.sparkSession.sparkContext.broadcast(known)
-
-            def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                """Of each row the words that may be among the best."""
-                get = told.value.__getitem__
-                for batch in batches:
-                    out = []
-                    for words, times, total in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                        own, spread = np.array(times, float), np.array(list(map(get, words)), np.int64)
-                        best = _near_best(own / max(total, 1) * (np.log((n + 1.0) / (spread + 1.0)) + 1.0), k).tolist()
-                        out.append(([words[i] for i in best], [times[i] for i in best], spread[best].tolist()))
-                    kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                    columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], kind) for kind in kinds]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3)], ["id", "words", "times", "df", "total"])
-
-            found = counts.mapInArrow(look, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>, df array<long>, total long")
-            weight = F.zip_with("times", "df", lambda c, d: F.round(c / F.col("total") * (F.ln((F.lit(float(n)) + 1.0) / (d + 1.0)) + 1.0), 6))
-            return _best(found.select("id", "words", weight.alias("w")), k)
-        idf = frequencies.select("keyword", (F.ln((F.lit(float(n)) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    rows = counts.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "total", F.explode(F.arrays_zip("words", "times")).alias("x"))
-    scored = rows.select("row", "id", F.col("x.words").alias("keyword"), (F.col("x.times") / F.col("total")).alias("tf")).join(idf, "keyword")
+    counts = _counted(df, tokenizer, least).withColumn("row", F.monotonically_increasing_id())
+    if idf is not None:
+        rows = counts.select("row", "id", "total", F.explode(F.arrays_zip("words", "times")).alias("x"))
+        scored = rows.select("row", "id", F.col("x.words").alias("keyword"), (F.col("x.times") / F.col("total")).alias("tf")).join(idf, "keyword")
+        return _ranks(scored.withColumn("w", F.round(F.col("tf") * F.col("idf"), 6)), k)
+    counts = settled(counts, "word-counts")  # counted once: for the frequencies and for the ranks
+    frequencies = settled(counts.select(F.explode("words").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("df")), "word-frequencies")
+    n, known = counts.count(), _well_known(frequencies, sent)
+    some = frequencies.where(F.col("df") >= known).toArrow()  # at most `sent` rows and SENT_BYTES
+    told = df.sparkSession.sparkContext.broadcast(dict(zip(some.column("keyword").to_pylist(), some.column("df").to_pylist(), strict=True)))
+    found = _candidates(counts, told, n, known, k)
+
+    def weight(times: Column, spread: Column) -> Column:
+        return F.round(times / F.col("total") * (F.ln((F.lit(float(n)) + 1.0) / (spread + 1.0)) + 1.0), 6)
+
+    if known <= 1:
+        return _best(found.select("id", "words", F.zip_with("times", "df", weight).alias("w")), k)
+    found = settled(found, "word-candidates")
+    unsure = F.array_contains("df", 0)
+    sure = _best(found.where(~unsure).select("id", "words", F.zip_with("times", "df", weight).alias("w")), k)
+    left = found.where(unsure).select("row", "id", "total", F.explode(F.arrays_zip("words", "times", "df")).alias("x"))
+    left = left.select("row", "id", "total", F.col("x.words").alias("keyword"), F.col("x.times").alias("times"), F.col("x.df").alias("df"))
+    rare = left.where("df = 0").drop("df").join(frequencies.where(F.col("df") < known), "keyword").select(left.columns)
+    both = left.where("df > 0").unionByName(rare)
+    return sure.unionByName(_ranks(both.withColumn("w", weight(F.col("times"), F.col("df"))), k))
+
+
+def _ranks(scored: DataFrame, k: int) -> DataFrame:
+    """The k best (keyword, w) of each row, by an exchange by row."""
     rank = Window.partitionBy("row", "id").orderBy(F.desc("w"), "keyword")
-    scored = scored.withColumn("w", F.round(F.col("tf") * F.col("idf"), 6)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return scored.select("id", "keyword", F.least(2 * F.col("w"), F.lit(1.0)).alias("score"), "rank")
+    best = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return best.select("id", "keyword", F.least(2 * F.col("w"), F.lit(1.0)).alias("score"), "rank")
 
 
 def _ranked(words: list[str], span: int, rounds: int, damping: float) -> tuple[list[str], np.ndarray]:
@@ -135,12 +183,12 @@ def textrank(df: DataFrame, k: int = 8, tokenizer: Tokenizer = word_tokens, leas
     """The k tokens of highest rank in each text's graph of tokens that stand within ``span`` of each other. A graph is one text's, so nothing is exchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_parts(batches):
             words, ranks, most = [], [], []
             for tokens in batch.column(1).to_pylist():
                 names, r = _ranked(tokens, span, rounds, damping)
                 most.append(float(r.max(initial=1e-300)))
-                best = _near_best(r / most[-1], k).tolist()
+                best = _near_best(r / most[-1], r / most[-1], k).tolist()
                 words.append([names[i] for i in best])
                 ranks.append(r[best].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(ranks, pa.list_(pa.float64())), pa.array(most, pa.float64())], ["id", "words", "r", "most"])

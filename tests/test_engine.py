@@ -1,7 +1,9 @@
 """Golden cases and properties of the engine proper."""
 
 import json
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +165,31 @@ def test_tfidf_forms_agree(spark):
     assert a == b and len(a) > 100
 
 
+def test_tfidf_bounds_are_exact(spark):
+    """Whatever number of frequencies is told, the best words are those of brute force: rare words, ties, copies, nulls, empty texts, ids that repeat."""
+    rng = random.Random(5)
+    names = ["w" + "".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(400)]
+    texts = [" ".join(names[min(int(rng.paretovariate(0.7)), 399)] for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    texts += [texts[0]] * 60 + [None, "", "a b", " ".join(names)]
+    rows = [(k % 200, t) for k, t in enumerate(texts)]
+    tallies = [Counter(w for w in (t or "").split() if len(w) >= 3) for t in texts]
+    spread = Counter(w for tally in tallies for w in tally)
+    want = []
+    for (i, _), tally in zip(rows, tallies, strict=True):
+        weights = sorted((-round(c / tally.total() * (math.log((len(rows) + 1) / (spread[w] + 1)) + 1), 6), w) for w, c in tally.items())
+        want += [(i, w, min(-2 * m, 1.0), r + 1) for r, (m, w) in enumerate(weights[:5])]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    least = []
+    for sent in (10_000, 200, 30, 2, 0):
+        got = [tuple(r) for r in fallback.tfidf(df, 5, sent=sent).collect()]
+        least.append(fallback._well_known(spark.createDataFrame(list(spread.items()), "keyword string, df long"), sent))
+        assert Counter((i, r) for i, _, _, r in got) == Counter((i, r) for i, _, _, r in want), sent
+        assert sorted((i, w, round(s, 5)) for i, w, s, _ in got) == sorted((i, w, round(s, 5)) for i, w, s, _ in want), sent
+        assert sum(c >= least[-1] for c in spread.values()) <= sent
+    assert least == sorted(least) and least[0] == 1 and least[-1] == 1 + max(spread.values())
+    assert fallback.tfidf(df.limit(0), 5).count() == fallback.tfidf(df.where("text is null"), 5, sent=0).count() == 0
+
+
 def test_extraction_tells_rows_apart(spark):
     """Items without an id, and items that share one, keep their own keywords; the fallback's data are triples."""
     rows = spark.createDataFrame([(None, "alpha screen"), (None, "bright battery"), ("7", "green apple"), ("7", "yellow melon")], "id string, text string")
