@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import preprocess_training, strip
+from ..functions.cleaning import preprocess_training
 from ..functions.jsonx import parse_dpo, parse_first_last_brace
 from ..functions.prompts import dpo_prompt, keyword_prompt
 from .extraction import Client
@@ -99,12 +99,14 @@ def generated(df: DataFrame, client_factory: Callable[[], Client], kind: str = "
 
     A task has ``workers`` calls under way. Answers are written before they are parsed (``store``, else a table in the shared folder), so none is asked for twice.
     """
-    clean = df.select("index", F.col("comment").cast("string").alias("comment"), preprocess_training(F.col("comment")).alias("clean")).where(strip(F.col("clean")) != "")
+    clean = df.select("index", F.col("comment").cast("string").alias("comment"), preprocess_training(F.col("comment")).alias("clean"))
     system, user = (dpo_prompt if kind == "dpo" else keyword_prompt)(F.col("clean"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = one_each(client_factory)
-        for frame, raw in answered(frames, ["system", "user"], lambda s, u: client()(s, u, {}), workers):
+        # what is empty goes here: a filter before this would be pushed below the cleaning, so that each comment is cleaned twice
+        some = (frame[frame["clean"].map(lambda c: c.strip() != "").astype(bool)] for frame in frames)
+        for frame, raw in answered(some, ["system", "user"], lambda s, u: client()(s, u, {}), workers):
             yield frame[["index", "comment", "clean"]].assign(raw=pd.Series(raw, index=frame.index, dtype=object))
 
     asked = clean.select("index", "comment", "clean", system.alias("system"), user.alias("user"))

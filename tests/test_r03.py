@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from glyphmill.functions import cleaning
+from glyphmill.operators import clients, datasets
 
 
 def plan(df):
@@ -18,3 +19,15 @@ def test_rules_run_in_one_kernel(spark):
     assert cleaned(spark, cleaning.remove_dates, "在8\x1c点到，5\x1e月好") == "在到，好"
     made = spark.createDataFrame([("x",)], "t string").select(cleaning.preprocess_training(F.col("t")))
     assert "regexp_replace" not in plan(made) and plan(made).count("ArrowEvalPython") == 1
+
+
+def test_comments_are_cleaned_once(spark):
+    plans = []
+
+    def store(df):
+        plans.append(plan(df))
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    rows = spark.createDataFrame([(1, "好看"), (2, "abc"), (3, None)], "index long, comment string")
+    assert [r["index"] for r in datasets.generated(rows, clients.canned_pairs, store=store).collect()] == [1]
+    assert plans[0].count("ArrowEvalPython") == 1 and "Filter" not in plans[0]
