@@ -31,3 +31,9 @@ def test_comments_are_cleaned_once(spark):
     rows = spark.createDataFrame([(1, "好看"), (2, "abc"), (3, None)], "index long, comment string")
     assert [r["index"] for r in datasets.generated(rows, clients.canned_pairs, store=store).collect()] == [1]
     assert plans[0].count("ArrowEvalPython") == 1 and "Filter" not in plans[0]
+
+
+def test_addresses_that_touch_other_letters(spark):
+    """A line end between an address and an accented letter is taken out before addresses are."""
+    assert cleaned(spark, cleaning.preprocess_inference, "von ab.08@mail0.example.com\nÉtude") == "von Étude"
+    assert cleaned(spark, cleaning.remove_emails, "éa@b.orgé a@b.org1") == "éé a@b.org1"
