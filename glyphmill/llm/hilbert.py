@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import drop, shuffle_partitions, stored
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -69,21 +69,23 @@ def curve_index(coords: list[str], bits: int) -> str:
     return f"aggregate(sequence({bits - 1}, 0, -1), named_struct('h', 0L, 's', 0), (a, i) -> {step}).h"
 
 
-#: How many distinct strings of a dimension its cuts are chosen from.
-STRINGS = 10_000
-
-
 def _string_cuts(df: DataFrame, name: str, bits: int) -> list[str]:
-    """Values that cut the column's rows into about equal parts, by whole strings: from all distinct values if they are few, else from those that a hash chooses."""
+    """Values that cut the column's rows into about equal parts, by whole strings: exactly, from all distinct values.
+
+    They are sorted by range over all tasks; how many rows stand before one comes from the sums of the ranges (a row each) and
+    from the order within its range. At most 2**bits - 1 of them reach the driver.
+    """
     counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
-    part = max(1, -(-counts.count() // STRINGS))
-    rows = sorted((r["v"].encode(), r["v"], r["n"]) for r in counts.where(F.pmod(F.xxhash64("v"), F.lit(part)) == 0).collect())  # about STRINGS rows
-    total, seen, cuts = sum(n for _, _, n in rows), 0, []
-    for _, v, n in rows:
-        if (seen * 2**bits) // total != ((seen + n) * 2**bits) // total and (seen + n) < total:
-            cuts.append(v)
-        seen += n
-    return cuts
+    sorted_ = stored(counts.repartitionByRange(shuffle_partitions(df.sparkSession), "v").sortWithinPartitions("v").withColumn("__at", F.monotonically_increasing_id()), "shard-strings")
+    part = sorted_.select("v", "n", "__at", F.shiftright("__at", 33).alias("__part"))
+    sums = part.groupBy("__part").agg(F.sum("n").alias("__n"))
+    offsets = sums.selectExpr("__part", "sum(__n) over (order by __part) - __n as __before", "sum(__n) over () as __all")
+    own = part.withColumn("__seen", F.expr("sum(n) over (partition by __part order by __at)"))
+    placed = own.join(F.broadcast(offsets), "__part").withColumn("__seen", F.col("__seen") + F.col("__before"))
+    crossed = f"(__seen - n) * {2**bits} div __all <> __seen * {2**bits} div __all and __seen < __all"
+    cuts = sorted((r["v"].encode(), r["v"]) for r in placed.where(crossed).select("v").collect())
+    drop(sorted_)
+    return [v for _, v in cuts]
 
 
 def _under(cuts: Column, value: Column) -> Column:

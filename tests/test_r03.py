@@ -37,3 +37,18 @@ def test_addresses_that_touch_other_letters(spark):
     """A line end between an address and an accented letter is taken out before addresses are."""
     assert cleaned(spark, cleaning.preprocess_inference, "von ab.08@mail0.example.com\nÉtude") == "von Étude"
     assert cleaned(spark, cleaning.remove_emails, "éa@b.orgé a@b.org1") == "éé a@b.org1"
+
+
+def test_string_cuts_come_from_all_values(spark):
+    """More distinct strings than were looked at before, few of them with most of the rows."""
+    from glyphmill.llm import hilbert
+
+    values = [(f"w{i:05d}", 1 + (i * 7919) % 13 * (i % 50 == 0)) for i in range(25_000)]
+    total, seen, want = sum(n for _, n in values), 0, []
+    for v, n in values:
+        if seen * 8 // total != (seen + n) * 8 // total and seen + n < total:
+            want.append(v)
+        seen += n
+    rows = spark.createDataFrame(values, "s string, n int").selectExpr("s", "explode(sequence(1, n)) as k").select("s")
+    assert hilbert._string_cuts(rows.union(spark.createDataFrame([(None,)], "s string")), "s", 3) == want
+    assert hilbert._string_cuts(rows.where("false"), "s", 3) == []
