@@ -52,3 +52,16 @@ def test_string_cuts_come_from_all_values(spark):
     rows = spark.createDataFrame(values, "s string, n int").selectExpr("s", "explode(sequence(1, n)) as k").select("s")
     assert hilbert._string_cuts(rows.union(spark.createDataFrame([(None,)], "s string")), "s", 3) == want
     assert hilbert._string_cuts(rows.where("false"), "s", 3) == []
+
+
+def test_least_span_of_a_long_text():
+    """Many starts, each far from its end: all starts at once, in a moment."""
+    import time
+
+    from glyphmill.functions import spans
+
+    text, began = "b" * 200_000 + "c" + "b" * 200_000, time.time()
+    assert spans.least_span("bxc", text) == -1 and spans.least_span("bcbb", "bbbcbxb" + "b" * 9) == 5
+    assert spans.least_span("bdc", "b" * 150_000 + "d" + "e" * 150_000 + "c") == 150_003
+    assert spans.least_span("b c", "bxcb😀c") == 3 and spans.least_span("cd", "dc") == -1
+    assert time.time() - began < 5
