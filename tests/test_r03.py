@@ -65,3 +65,12 @@ def test_least_span_of_a_long_text():
     assert spans.least_span("bdc", "b" * 150_000 + "d" + "e" * 150_000 + "c") == 150_003
     assert spans.least_span("b c", "bxcb😀c") == 3 and spans.least_span("cd", "dc") == -1
     assert time.time() - began < 5
+
+
+def test_object_is_parsed_once_for_all_rewards(spark):
+    from glyphmill.functions import rewards
+
+    rows = spark.createDataFrame([('{"keywords": [["r", "bc", 1]]}', "bc")], "raw string, w string")
+    made = rows.select(rewards.reward_struct(F.col("raw"), F.lit('{"keywords": [["r", "bc", 1]]}'), F.col("w")).alias("p"))
+    assert plan(made).count("<think>") <= 2  # the pattern, and the test that it matches
+    assert made.first()["p"].asDict() == {k: v[0] for k, v in rows.select(*(x.alias(k) for k, x in rewards.reward_parts(F.col("raw"), F.lit('{"keywords": [["r", "bc", 1]]}'), F.col("w")).items())).toPandas().items()}
