@@ -74,3 +74,17 @@ def test_object_is_parsed_once_for_all_rewards(spark):
     made = rows.select(rewards.reward_struct(F.col("raw"), F.lit('{"keywords": [["r", "bc", 1]]}'), F.col("w")).alias("p"))
     assert plan(made).count("<think>") <= 2  # the pattern, and the test that it matches
     assert made.first()["p"].asDict() == {k: v[0] for k, v in rows.select(*(x.alias(k) for k, x in rewards.reward_parts(F.col("raw"), F.lit('{"keywords": [["r", "bc", 1]]}'), F.col("w")).items())).toPandas().items()}
+
+
+def test_prompts_alone_become_objects(spark):
+    """More rows than are taken at once keep their answers; other columns stay in Arrow."""
+    from glyphmill.operators import extraction
+
+    def echo():
+        return lambda system, user, params: None if user.endswith("7") else '{"k": "%s"}' % user
+
+    rows = spark.range(700).selectExpr("id", "'s' as system", "cast(id as string) as user").coalesce(1)
+    made = extraction.ask(rows, echo, extraction.Config(max_retries=1), ["k"])
+    assert "MapInArrow" in plan(made)
+    got = {r["id"]: (r["raw"], r["attempts"]) for r in made.collect()}
+    assert got == {i: (None, 2) if i % 10 == 7 else ('{"k": "%d"}' % i, 1) for i in range(700)}
