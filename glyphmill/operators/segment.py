@@ -4,7 +4,8 @@ The lexicon is learnt from counts over all texts. A string of ideographs is a wo
 frequent, if its parts meet more often than chance would have it (cohesion), and if many different
 neighbours stand on either side of it (boundary entropy). A run is then a lattice: an edge for each
 lexicon word that a trie finds at each place, and one for each single ideograph. The path of the
-highest probability, found by dynamic programming from the run's end, gives the words. A
+highest probability, found by dynamic programming from the run's end, gives the words; the runs of
+about half a million bytes of text are cut at once, on arrays. A
 lexicon may carry a class for each word (a part of speech, a topic) to keep words of some classes alone.
 
 Counting is all joins and partial sums; the lexicon that is sent to the tasks holds the ``most``
@@ -19,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -34,8 +36,12 @@ LEXICON = "word string, n long, cohesion double, entropy double"
 FIRST, LAST, BITS = 0x4E00, 0x9FFF, 15
 #: Characters counted at once.
 HELD = 1 << 20
-#: Runs whose paths a task keeps.
-KNOWN = 200_000
+#: Bytes of runs whose paths are sought at once.
+CUT = 1 << 19
+#: The mark behind a run; no character has it.
+END = (1 << 21) - 1
+#: Fewer runs of a length are cut one by one.
+FEW = 8
 
 
 def _counted(chars: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -71,8 +77,8 @@ def neighbours(texts: DataFrame, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            for t in batch.column(0).to_pylist():
-                if t:
+            for t in batch.column(0):
+                if t := t.as_py():
                     held.append(t.lower())
                     size += len(t)
                 if size > HELD:
@@ -127,73 +133,127 @@ def lexicon(texts: DataFrame, *, longest: int = 4, least: int = 5, cohesion: flo
 
 
 class Lattice:
-    """A trie of words with logarithms of their probabilities."""
+    """A trie of words with logarithms of their probabilities, as arrays: edge k, a node and a character, leads to node k + 1."""
 
     def __init__(self, words: Iterable[tuple[str, float]]):
         found = list(words)
         total = math.log(sum(n for _, n in found) or 1)
-        self.root: dict = {}
-        for word, n in found:
-            node = self.root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = math.log(n) - total
+        own = {word: math.log(n) - total for word, n in found if word}
+        chars = np.frombuffer("".join(own).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        starts, node, levels, n = np.cumsum(sizes) - sizes, np.zeros(len(own), np.int64), [np.zeros(0, np.int64)], 0
+        self.longest = int(sizes.max(initial=1))
+        for depth in range(self.longest):
+            live = np.flatnonzero(sizes > depth)
+            level, place = np.unique(node[live] << 21 | chars[starts[live] + depth], return_inverse=True)
+            node[live] = n + place + 1
+            levels.append(level)
+            n += len(level)
+        self.edges = np.concatenate(levels)  # in order, as deeper nodes have higher numbers
+        self.weight = np.full(n + 1, -np.inf)
+        self.weight[node] = np.fromiter(own.values(), float, len(own))
         self.unknown = -total - 1  # an ideograph outside the lexicon is rarer than any word
 
-    def edges(self, run: str, at: int) -> list[tuple[int, float]]:
-        """(end, weight) of the words that begin here; the single ideograph always."""
-        out, node = [], self.root
-        for end in range(at, len(run)):
-            node = node.get(run[end])
-            if node is None:
-                break
-            if "" in node:
-                out.append((end + 1, node[""]))
-        return out if out and out[0][0] == at + 1 else [(at + 1, self.unknown), *out]
+    def weights(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the words of each size that begin at the places ``at``; the single ideograph always has one."""
+        out = np.full((self.longest, len(chars)), -np.inf)
+        out[0] = self.unknown
+        node = np.zeros(len(at), np.int64)
+        for size in range(self.longest if len(self.edges) else 0):
+            code = node << 21 | chars[at + size]
+            place = np.minimum(np.searchsorted(self.edges, code), len(self.edges) - 1)
+            hit = self.edges[place] == code
+            at, node = at[hit], place[hit] + 1
+            word = self.weight[node] > -np.inf
+            out[size, at[word]] = self.weight[node[word]]
+        return out
+
+    def cut(self, runs: list[str], whole: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+        """The words of all runs, and how many each run has: those of the most probable path, of equal ones the path whose first differing word is longer. Runs marked as ``whole`` stay as they are."""
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        whole = np.zeros(len(runs), bool) if whole is None else whole
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        chars = np.frombuffer("\n".join([*runs, ""]).encode("utf-32-le"), "<u4").astype(np.int64)
+        chars[ends] = END
+        weights = self.weights(chars, np.flatnonzero(np.repeat(~whole, sizes + 1)))
+        best, step = np.zeros(len(chars) + self.longest), np.ones(len(chars), np.int64)
+
+        # all runs at once from their ends, longer ones first
+        own = np.flatnonzero(~whole)
+        own = own[np.argsort(-sizes[own], kind="stable")]
+        back = 0
+        while (n := int(np.searchsorted(-sizes[own], -(back + 1), "right"))) >= FEW:
+            back += 1
+            at = ends[own[:n]] - back
+            top, cut = weights[0, at] + best[at + 1], np.ones(n, np.int64)
+            for size in range(2, min(self.longest, back) + 1):
+                x = weights[size - 1, at] + best[at + size]
+                cut[x >= top] = size
+                top = np.maximum(x, top)
+            best[at], step[at] = top, cut
+        for k in own[:n].tolist():
+            low, high = int(starts[k]), int(ends[k]) - back
+            behind, edges = best[high : high + self.longest].tolist()[::-1], weights[:, low:high].T.tolist()
+            for at in range(high - 1, low - 1, -1):
+                top, step[at] = max((w + b, size) for size, (w, b) in enumerate(zip(edges[at - low], reversed(behind[-self.longest :])), 1))
+                behind.append(top)
+
+        step[starts[whole]] = sizes[whole]
+        first, at = np.zeros(len(chars) + 1, np.int64), starts[sizes > 0]
+        while len(at):
+            first[at + 1] = 1
+            at = at + step[at]
+            at = at[chars[at] != END]
+        width = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+        width[ends] = 0
+        upto = np.cumsum(width)
+        offsets = np.concatenate([(upto - width)[first[1:] > 0], upto[-1:]]) if runs else np.zeros(1)
+        words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer("".join(runs).encode()))
+        before = np.cumsum(first)
+        return words, before[ends] - before[starts]
 
     def path(self, run: str) -> list[str]:
-        """The words of the most probable path; of equal ones the path whose first differing word is longer."""
-        best: list[tuple[float, int]] = [(0.0, 0)] * (len(run) + 1)
-        for at in range(len(run) - 1, -1, -1):
-            best[at] = max((weight + best[end][0], end) for end, weight in self.edges(run, at))
-        out, at = [], 0
-        while at < len(run):
-            end = best[at][1]
-            out.append(run[at:end])
-            at = end
-        return out
+        return self.cut([run])[0].to_pylist()
+
+
+def _bounded(lists: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Rows of about so many bytes of strings."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    size = np.concatenate([[0], np.cumsum(pc.binary_length(lists.flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)])[np.cumsum(n)]
+    at = 0
+    while at < len(lists):
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield lists.slice(at, upto - at)
+        at = upto
 
 
 def segmenter(words: DataFrame, *, most: int = 500_000, classes: list[str] | None = None) -> Tokenizer:
     """A tokenizer for ``fallback``: runs of ideographs by their best path, runs of other letters as they are. ``words`` holds word and n, and ``class`` if ``classes`` are asked for; then only words of these classes stay."""
     named = "class" in words.columns
     rows = words.select("word", F.col("n").cast("double").alias("n"), (F.col("class") if named else F.lit(None).cast("string")).alias("class")).where("word <> '' and n > 0")
-    kept = rows.orderBy(F.desc("n"), "word").limit(most).collect()  # bounded by ``most``
-    sent = words.sparkSession.sparkContext.broadcast(([(r["word"], r["n"]) for r in kept], {r["word"] for r in kept if classes and r["class"] in classes}))
-    state: dict = {}
-
-    @F.pandas_udf("array<string>")
-    def tokens(runs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if "lattice" not in state:
-            state["lattice"] = Lattice(sent.value[0])
-        lattice, wanted = state["lattice"], sent.value[1]
-        known: dict[str, list[str]] = state.setdefault("known", {})
-
-        def path(run: str) -> list[str]:
-            """Short runs come again and again; the paths of KNOWN of them are kept."""
-            found = known.get(run)
-            if found is None:
-                found = lattice.path(run)
-                if len(run) <= 16 and len(known) < KNOWN:
-                    known[run] = found
-            return found
-
-        for column in runs:
-            out = []
-            for parts in column:
-                found = [w for p in parts for w in (path(p) if "一" <= p[0] <= "鿿" else [p])]
-                out.append([w for w in found if w in wanted] if classes else found)
-            yield pd.Series(out, dtype=object)
+    kept = rows.orderBy(F.desc("n"), "word").limit(most).toArrow()  # bounded by ``most``
+    names = kept.column("word").to_pylist()
+    wanted = pa.array([w for w, c in zip(names, kept.column("class").to_pylist(), strict=True) if c in (classes or [])], pa.string())
+    sent = words.sparkSession.sparkContext.broadcast((Lattice(zip(names, kept.column("n").to_pylist(), strict=True)), wanted))
+
+    @F.arrow_udf("array<string>")
+    def tokens(parts: pa.Array) -> pa.Array:
+        """Runs come again and again: the different ones of a piece are cut, and no word becomes a Python object."""
+        lattice, wanted = sent.value
+        out = [pa.array([], pa.list_(pa.string()))]
+        for part in _bounded(parts, CUT):
+            flat = part.flatten().dictionary_encode()
+            runs, which = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+            found, n = lattice.cut(runs, np.array([not "一" <= r[0] <= "鿿" for r in runs], bool))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), found)
+            own = lists.take(flat.indices).flatten()
+            upto = np.concatenate([[0], np.cumsum(n[which])])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))])]
+            if classes:
+                kept = pc.is_in(own, value_set=wanted)
+                own, upto = own.filter(kept), np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])[upto]
+            out.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), own))
+        return pa.concat_arrays(out)
 
     def tokenize(text: Column) -> Column:
         low = F.lower(F.coalesce(text, F.lit("")))

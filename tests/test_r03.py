@@ -88,3 +88,28 @@ def test_prompts_alone_become_objects(spark):
     assert "MapInArrow" in plan(made)
     got = {r["id"]: (r["raw"], r["attempts"]) for r in made.collect()}
     assert got == {i: (None, 2) if i % 10 == 7 else ('{"k": "%d"}' % i, 1) for i in range(700)}
+
+
+def test_many_runs_are_cut_at_once(spark):
+    """The paths of many runs on arrays are those of each run alone; words stay in Arrow, in pieces of bounded text."""
+    import random
+
+    import pyarrow as pa
+
+    from glyphmill.operators import segment
+
+    rng = random.Random(4)
+    words = {"".join(rng.choices("一二三四五", k=rng.randint(1, 6))): float(rng.randint(1, 9)) for _ in range(60)}
+    runs = ["".join(rng.choices("一二三四五六𠀀", k=rng.randint(1, 12))) for _ in range(300)] + ["abc", "一" * 500]
+    lattice = segment.Lattice(words.items())
+    found, n = lattice.cut(runs, pa.array(r == "abc" for r in runs).to_numpy(zero_copy_only=False))
+    found, at = found.to_pylist(), 0
+    for run, k in zip(runs, n.tolist(), strict=True):
+        assert found[at : at + k] == (["abc"] if run == "abc" else lattice.path(run))
+        at += k
+    assert lattice.edges.nbytes + lattice.weight.nbytes < 10_000  # no object for each letter
+    rows = spark.createDataFrame([(1, "一二abc三" * 60_000), (2, None), (3, "xyz"), (4, "三" + "一二," * 100_000)], "id long, text string").coalesce(1)
+    told = spark.createDataFrame([("一二", 9, "n"), ("三", 3, "m")], "word string, n long, class string")
+    for classes, want in ((None, {1: 180_000, 2: 0, 3: 1, 4: 100_001}), (["n"], {1: 60_000, 2: 0, 3: 0, 4: 100_000})):
+        tokens = segment.segmenter(told, classes=classes)
+        assert {r["id"]: r["n"] for r in rows.select("id", F.size(tokens(F.col("text"))).alias("n")).collect()} == want
