@@ -113,3 +113,15 @@ def test_many_runs_are_cut_at_once(spark):
     for classes, want in ((None, {1: 180_000, 2: 0, 3: 1, 4: 100_001}), (["n"], {1: 60_000, 2: 0, 3: 0, 4: 100_000})):
         tokens = segment.segmenter(told, classes=classes)
         assert {r["id"]: r["n"] for r in rows.select("id", F.size(tokens(F.col("text"))).alias("n")).collect()} == want
+
+
+def test_answers_are_mended_in_pieces():
+    """An Arrow kernel, whose texts are Python objects a few at a time: more than it holds at once, nulls, texts that are no JSON."""
+    import pyarrow as pa
+
+    from glyphmill.functions import jsonx
+
+    texts = ['{"a": 1, "a": NaN, "b": "%s"}' % ("x" * 700_000)] * 4 + [None, "", "{", '{"a": 1}']
+    got = jsonx._plain.func(pa.array(texts)).to_pylist()
+    assert got == ['{"a": "NaN", "b": "%s"}' % ("x" * 700_000)] * 4 + [None, None, None, '{"a": 1}']
+    assert jsonx._plain.func(pa.array([], pa.string())).to_pylist() == []
