@@ -7,9 +7,9 @@ it are merged exactly. Encoded words are kept in a bounded table, so that a text
 split and one join.
 
 Words come from the vocabulary file's own rules: special tokens are cut out first, then the
-text is put in normal form and lower case and split. Texts of plain Latin letters take a
-direct path that gives the same words; all others go through the file's own normaliser and
-splitter.
+text is put in normal form and lower case and split. Texts of plain Latin letters are split on
+arrays, all at once, which gives the same words; of these only different ones become Python
+objects. All others go through the file's own normaliser and splitter.
 
 Defined results: null and empty texts have no tokens and decode to the empty string; repeated
 rows give repeated rows; other columns pass through unless they are named like an output
@@ -35,12 +35,35 @@ from .common import give_back
 NEVER = np.int64(1) << 40
 #: Words of more bytes are merged one by one.
 WIDEST = 64
-#: Characters for which normal form is the identity and letters are known below; all below U+0250.
-_plain = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]*")
+#: Characters below U+0250 for which normal form is the identity; capitals whose small letter is beyond go the other way.
+_plain = re.compile("[" + "".join(re.escape(chr(c)) for c in (*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x250)) if len(low := chr(c).lower()) == 1 and low < "ɐ") + "]*")
 _words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: Of plain characters: 0 white space, 1 letter, 2 digit, 3 any other.
+_kinds = np.array([0 if chr(c).isspace() else 2 if re.match("[0-9\xb2\xb3\xb9\xbc-\xbe]", chr(c)) else 1 if re.match("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]", chr(c)) else 3 for c in range(0x250)], np.int8)
 WORDS_KEPT = 400_000
 
 
+def plain_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of plain texts, in order, and how many each text has: runs of letters, single digits, runs of other characters, and endings with an apostrophe that no other such character precedes."""
+    low = " ".join([*texts, ""]).lower()
+    chars = np.frombuffer(low.encode("utf-16-le"), "<u2")
+    kind = _kinds[chars]
+    start = (kind > 0) & ((kind == 2) | (np.diff(kind, prepend=np.int8(0)) != 0))
+    at = np.flatnonzero(start & (chars == ord("'")))
+    a, b = chars[at + 1], chars[np.minimum(at + 2, len(chars) - 1)]
+    two = np.isin(a, [ord(c) for c in "stmd"])
+    three = (b == ord("e")) & ((a == ord("r")) | (a == ord("v"))) | (a == ord("l")) & (b == ord("l"))
+    start[at[two | three] + 1] = False
+    behind = np.concatenate([at[two] + 2, at[three] + 3])
+    start[behind] = kind[behind] > 0
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    upto = np.cumsum(np.where(kind > 0, 1 + (chars >= 0x80), 0))
+    first = np.flatnonzero(start)
+    offsets = np.concatenate([np.where(first > 0, upto[first - 1], 0), upto[-1:]]) if texts else np.zeros(1)
+    words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(low.encode().translate(None, b" \t\n\x0b\x0c\r")))
+    return words, np.diff(np.searchsorted(first, ends), prepend=0)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable, else the next free one from U+0100."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -313,39 +336,73 @@ class WordEncoder:
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.bytes[c] for c in piece).decode(errors="surrogateescape") for piece, _ in split]
 
+    def marked(self, text: str) -> bool:
+        """Whether special tokens stand in the text."""
+        return bool(self.cut) and any(s in text for s in self.special)
+
     def parts(self, text: str) -> list[str]:
         """Words of a text; special tokens stand as they are."""
-        if not self.cut or not any(s in text for s in self.special):
+        if not self.marked(text):
             return self.words(text)
         out = []
         for k, piece in enumerate(self.cut.split(text)):
             out += [piece] if k % 2 else self.words(piece)
         return out
 
-    def encode(self, texts: list[str | None], decoded: bool = True) -> tuple[list[bytes], list[str]]:
-        """Little-endian 32-bit ids of each text, and what they decode to."""
-        parts = [self.parts(t) if t else [] for t in texts]
-        ids, shown, at = [], [], 0
-        while at < len(parts):  # in runs, so that the table may be emptied between them
+    def ready(self, used: list[str], decoded: bool) -> None:
+        """From now on these words are in the table."""
+        if len(self.known) > self.keep:
+            self.known.clear()
+            self.shown.clear()
+        if fresh := [w for w in used if w not in self.known]:
+            if words := [w for w in fresh if w not in self.special]:
+                self.learn(words)
+            self.known |= {s: np.array([self.special[s]], "<u4").tobytes() for s in fresh if s in self.special}
+        for w in used if decoded else []:
+            if w not in self.shown:
+                self.shown[w] = self.decode(np.frombuffer(self.known[w], "<u4").tolist())
+
+    def runs(self, counts: list[int]) -> Iterator[tuple[int, int]]:
+        """Texts so that the table may be emptied between them."""
+        at = 0
+        while at < len(counts):
             stop, n = at, 0
-            while stop < len(parts) and n < self.keep:
-                n += len(parts[stop])
+            while stop < len(counts) and n < self.keep:
+                n += counts[stop]
                 stop += 1
-            used = set().union(*parts[at:stop])
-            if len(self.known) > self.keep:
-                self.known.clear()
-                self.shown.clear()
-            if fresh := [w for w in used if w not in self.known]:
-                if words := [w for w in fresh if w not in self.special]:
-                    self.learn(words)
-                self.known |= {s: np.array([self.special[s]], "<u4").tobytes() for s in fresh if s in self.special}
-            ids += [b"".join(map(self.known.__getitem__, p)) for p in parts[at:stop]]
-            if decoded:
-                for w in used:
-                    if w not in self.shown:
-                        self.shown[w] = self.decode(np.frombuffer(self.known[w], "<u4").tolist())
-                shown += [" ".join(map(self.shown.__getitem__, p)) for p in parts[at:stop]]
+            yield at, stop
             at = stop
+
+    def encode(self, texts: list[str | None], decoded: bool = True) -> tuple[list[bytes], list[str]]:
+        """Little-endian 32-bit ids of each text, and what they decode to."""
+        ids, shown = [b""] * len(texts), [""] * (len(texts) if decoded else 0)
+        filled = [k for k, t in enumerate(texts) if t]
+        plain = [k for k in filled if _plain.fullmatch(texts[k]) and not self.marked(texts[k])]
+        words, counts = plain_words([texts[k] for k in plain])
+        place = np.concatenate([[0], np.cumsum(counts)])
+        for at, stop in self.runs(counts.tolist()):
+            coded = words.slice(place[at], place[stop] - place[at]).dictionary_encode()
+            used = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self.ready(used, decoded)
+            bounds = place[at : stop + 1] - place[at]
+            own = pa.array([*map(self.known.__getitem__, used)], pa.binary()).take(coded.indices)
+            ends = np.frombuffer(own.buffers()[1], np.int32)[bounds] if len(own) else np.zeros_like(bounds)
+            flat = memoryview(own.buffers()[2] or b"")
+            for k, a, b in zip(plain[at:stop], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                ids[k] = bytes(flat[a:b])
+            if decoded:
+                told = pa.array([*map(self.shown.__getitem__, used)], pa.string()).take(coded.indices)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), told), " ").to_pylist()
+                for k, t in zip(plain[at:stop], joined, strict=True):
+                    shown[k] = t
+        others = sorted(set(filled).difference(plain))
+        parts = [self.parts(texts[k]) for k in others]
+        for at, stop in self.runs([*map(len, parts)]):
+            self.ready(list(set().union(*parts[at:stop])), decoded)
+            for k, p in zip(others[at:stop], parts[at:stop], strict=True):
+                ids[k] = b"".join(map(self.known.__getitem__, p))
+                if decoded:
+                    shown[k] = " ".join(map(self.shown.__getitem__, p))
         return ids, shown
 
     def decode(self, ids: Iterable[int]) -> str:

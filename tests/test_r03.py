@@ -125,3 +125,29 @@ def test_answers_are_mended_in_pieces():
     got = jsonx._plain.func(pa.array(texts)).to_pylist()
     assert got == ['{"a": "NaN", "b": "%s"}' % ("x" * 700_000)] * 4 + [None, None, None, '{"a": 1}']
     assert jsonx._plain.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_plain_texts_are_split_on_arrays():
+    """The words of the pattern, many texts at once; capitals whose small letter lies beyond U+024F go by the file's own splitter."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from glyphmill.llm import bpe
+
+    rng = random.Random(6)
+    for _ in range(300):
+        texts = ["".join(rng.choices("  \n''''strevlmdSTREx.,1²é\xad", k=rng.randint(0, 30))) for _ in range(rng.randint(0, 6))]
+        words, n = bpe.plain_words(texts)
+        assert [len(bpe._words.findall(t.lower())) for t in texts] == n.tolist()
+        assert [w for t in texts for w in bpe._words.findall(t.lower())] == words.to_pylist()
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), bpe.WordEncoder(path)
+    texts = ["aȺbȾ İx Ɓa", None, "it's 'some ''s we've I'LL", "", "<|endoftext|> a", "é" * 3000, " \n", "日本 x"]
+    for encoder.keep in (10_000, 1):  # the table is emptied between texts
+        ids, shown = encoder.encode(texts)
+        for t, i, s in zip(texts, ids, shown, strict=True):
+            want = library.encode(t or "", add_special_tokens=False).ids
+            assert np.frombuffer(i, "<u4").tolist() == want and s == library.decode(want, skip_special_tokens=False)
