@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,21 +18,25 @@ Tokenizer = Callable[[Column], Column]
 SENT = 500_000
 #: And up to so many bytes.
 SENT_BYTES = 1 << 26
-#: Texts whose words are Python objects at once.
+#: Texts whose words are taken at once.
 PART = 256
 
 
+def _spaced(text: Column) -> Column:
+    """The words of ``word_tokens`` with blanks between them."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FFF}]+|[\p{L}&&[^\x{4E00}-\x{9FFF}]]+)"), 1)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x{4E00}-\x{9FFF}]{2,}"), pairs(r)).otherwise(F.array(r))))
+    return F.when(low.rlike(r"[\x{4E00}-\x{9FFF}]"), F.array_join(mixed, " ")).otherwise(F.regexp_replace(low, r"[^\p{L}]+", " "))
+
+
 def word_tokens(text: Column) -> Column:
     """Lower-case runs of letters, in order; a run of ideographs, which no spaces divide, gives its pairs of neighbours, or itself if it is one.
 
     A tokenizer may be any function of a Column to an array, so one that knows parts of speech can keep nouns and adjectives alone.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}]+", " "), " "), lambda w: w != "")
-    runs = F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FFF}]+|[\p{L}&&[^\x{4E00}-\x{9FFF}]]+)"), 1)
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x{4E00}-\x{9FFF}]{2,}"), pairs(r)).otherwise(F.array(r))))
-    return F.when(low.rlike(r"[\x{4E00}-\x{9FFF}]"), mixed).otherwise(words)
+    return F.filter(F.split(_spaced(text), " "), lambda w: w != "")
 
 
 def simple(df: DataFrame, k: int = 20, score: float = 0.5, tokenizer: Tokenizer = word_tokens, least: int = 2) -> DataFrame:
@@ -53,18 +57,41 @@ def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, PART)
 
 
+def _list(items: pa.Array, n: np.ndarray) -> pa.Array:
+    """Lists of so many items each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), items)
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _tallied(lists: pa.Array, least: int) -> list[pa.Array]:
+    """words (distinct, in order), times, total of each list: the words of at least so many letters; two ideographs are a word, an empty text is none."""
+    coded = lists.flatten().dictionary_encode()
+    size = pc.utf8_length(coded.dictionary)
+    kept = pc.or_(pc.greater_equal(size, max(least, 1)), pc.and_(pc.equal(size, 2), pc.match_substring_regex(coded.dictionary, r"^[\x{4E00}-\x{9FFF}]")))
+    order = pc.sort_indices(coded.dictionary)
+    names, place = coded.dictionary.take(order), np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    which = coded.indices.to_numpy()
+    own = kept.to_numpy(zero_copy_only=False)[which]
+    row = np.repeat(np.arange(len(lists)), _lengths(lists))[own]
+    code, times = np.unique(row * max(len(names), 1) + place[which[own]], return_counts=True)
+    n = np.bincount(code // max(len(names), 1), minlength=len(lists))
+    return [_list(names.take(pa.array(code % max(len(names), 1))), n), _list(pa.array(times, pa.int64()), n), pa.array(np.bincount(row, minlength=len(lists)), pa.int64())]
+
+
 def _counted(df: DataFrame, tokenizer: Tokenizer, least: int) -> DataFrame:
-    """id, words (distinct, in order), times, total: counted within the row."""
+    """id, words (distinct, in order), times, total: counted within the row, on arrays of the words of many rows. The default words come with blanks between them and are parted there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _in_parts(batches):
-            tallies = [Counter(w) for w in batch.column(1).to_pylist()]
-            words = [sorted(t) for t in tallies]
-            times = [[t[w] for w in own] for t, own in zip(tallies, words, strict=True)]
-            columns = [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())), pa.array([t.total() for t in tallies], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "words", "times", "total"])
+            own = batch.column(1)
+            own = own if pa.types.is_list(own.type) or pa.types.is_large_list(own.type) else pc.split_pattern(own, " ")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_tallied(own, least)], ["id", "words", "times", "total"])
 
-    tokens = _kept(F.col("text"), tokenizer, least)
+    tokens = (_spaced if tokenizer is word_tokens else tokenizer)(F.col("text"))
     return df.select("id", tokens.alias("w")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, words array<string>, times array<long>, total long")
 
 
@@ -75,6 +102,14 @@ def _near_best(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(high >= np.partition(low, len(low) - k)[len(low) - k] - 2e-6)
 
 
+def _near_bests(low: np.ndarray, high: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """``_near_best`` within each of the rows, which have n places each: whether a place is among them."""
+    row, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+    bound, many = np.full(len(n), -np.inf), np.flatnonzero(n > k)
+    bound[many] = low[np.lexsort((-low, row))][(ends - n)[many] + k - 1] - 2e-6
+    return high >= bound[row]
+
+
 def _best(df: DataFrame, k: int) -> DataFrame:
     """(id, words, w) to the k words of highest weight of each row, ranked within the row."""
     keyed = F.transform(F.arrays_zip("words", "w"), lambda x: F.struct((-x["w"]).alias("m"), x["words"].alias("keyword")))
@@ -103,15 +138,15 @@ def _candidates(counts: DataFrame, told: Broadcast, n: int, least: int, k: int)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = told.value.get
-        kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in _in_parts(batches):
-            out = []
-            for words, times, total in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                tf, spread = np.array(times, float) / max(total, 1), np.array([get(w, 0) for w in words], np.int64)
-                low, high = weight(tf, np.where(spread, spread, max(least - 1, 1))), weight(tf, np.where(spread, spread, 1))
-                best = _near_best(low, high, k).tolist()
-                out.append(([words[i] for i in best], [times[i] for i in best], spread[best].tolist()))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            words, times = (batch.column(c).flatten() for c in (1, 2))
+            size, coded = _lengths(batch.column(1)), words.dictionary_encode()
+            spread = np.array([get(w, 0) for w in coded.dictionary.to_numpy(zero_copy_only=False)], np.int64)[coded.indices.to_numpy()]
+            tf = times.to_numpy() / np.repeat(np.maximum(batch.column(3).to_numpy(), 1), size)
+            low, high = weight(tf, np.where(spread, spread, max(least - 1, 1))), weight(tf, np.where(spread, spread, 1))
+            best = _near_bests(low, high, size, k)
+            n = np.diff(np.concatenate([[0], np.cumsum(best)])[np.cumsum(size)], prepend=0)
+            columns = [_list(x, n) for x in (words.filter(pa.array(best)), times.filter(pa.array(best)), pa.array(spread[best]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3), batch.column(4)], ["id", "words", "times", "df", "total", "row"])
 
     return counts.mapInArrow(look, f"id {dict(counts.dtypes)['id']}, words array<string>, times array<long>, df array<long>, total long, row long")

@@ -151,3 +151,31 @@ def test_plain_texts_are_split_on_arrays():
         for t, i, s in zip(texts, ids, shown, strict=True):
             want = library.encode(t or "", add_special_tokens=False).ids
             assert np.frombuffer(i, "<u4").tolist() == want and s == library.decode(want, skip_special_tokens=False)
+
+
+def test_words_are_counted_on_arrays():
+    """Tallies and the words near the best of many rows, against Counter and row by row: no words, nulls, short words, ideographs, ties."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from glyphmill.operators import fallback
+
+    rng = random.Random(7)
+    names = ["", "a", "ab", "abc", "abcd", "é", "éàü", "一二", "一", "一a", "zeta", "𠀀bc", "beta"]
+    rows = [rng.choices(names, k=rng.randint(0, 40)) for _ in range(200)] + [None, [], [""]]
+    words, times, total = fallback._tallied(pa.array(rows, pa.list_(pa.string())).slice(3), 3)
+    for own, w, t, n in zip(rows[3:], words.to_pylist(), times.to_pylist(), total.to_pylist(), strict=True):
+        want = Counter(x for x in own or [] if len(x) >= 3 or x in ("一二", "一a"))
+        assert w == sorted(want) and t == [want[x] for x in w] and n == want.total()
+    assert [x.to_pylist() for x in fallback._tallied(pa.array([], pa.list_(pa.string())), 3)] == [[], [], []]
+    n = np.array([0, 1, 5, 6, 40, 0])
+    low = np.array([rng.randint(1, 9) / 9 for _ in range(n.sum())])
+    high = low + np.array([rng.choice([0, 0, 1e-6, 0.3]) for _ in low])
+    for k in (1, 5, 8):
+        found, at = fallback._near_bests(low, high, n, k), 0
+        for size in n.tolist():
+            assert np.flatnonzero(found[at : at + size]).tolist() == fallback._near_best(low[at : at + size], high[at : at + size], k).tolist()
+            at += size
